@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import ALL, MATCH_SCORE, NATIONAL
 from ..functions.text import or_empty
-from ..sizing import lookup_join
+from ..sizing import AUTO, SHUFFLE, lookup_join
 
 WILDCARD = "*"
 AGE_STEP = 10
@@ -164,16 +164,17 @@ def profile_keys(profiles: DataFrame) -> DataFrame:
 
 
 def eligible_pairs(
-    profiles: DataFrame, schemes: DataFrame, strategy: str = "auto"
+    profiles: DataFrame, schemes: DataFrame, strategy: str = AUTO
 ) -> DataFrame:
     """(profile_id, scheme_id) for every profile and every scheme it qualifies for.
 
     ``strategy``: ``auto`` broadcasts the scheme keys when they measure within the bound and
     otherwise shuffles on the composite key with profiles salted.
     """
+    keys = scheme_keys(schemes)
     joined = lookup_join(
         profile_keys(profiles),
-        scheme_keys(schemes),
+        keys,
         RULE_KEYS,
         spread=["profile_id"],
         strategy=strategy,
@@ -188,7 +189,7 @@ def eligible_pairs(
 
 def eligible_pairs_by_state(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
     """The large-catalog form. Nothing is broadcast; state leads the shuffle key."""
-    return eligible_pairs(profiles, schemes, strategy="shuffle")
+    return eligible_pairs(profiles, schemes, strategy=SHUFFLE)
 
 
 def display_schemes(schemes: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def display_schemes(schemes: DataFrame) -> DataFrame:
 
 
 def match_eligible(
-    profiles: DataFrame, schemes: DataFrame, strategy: str = "auto"
+    profiles: DataFrame, schemes: DataFrame, strategy: str = AUTO
 ) -> DataFrame:
     """Every qualifying pair with the scheme's display columns."""
     pairs = eligible_pairs(profiles, schemes, strategy)

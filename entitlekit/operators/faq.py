@@ -1,10 +1,13 @@
 """Score free-text queries against a FAQ catalog, and relate FAQs to schemes and each other.
 
-A pair scores only through a shared keyword or through containment, so candidates come from three
-equi-joins: shared keyword, FAQ text inside the query, query inside a FAQ text. The keyword join
-skips words that cannot decide: to reach the threshold with ``n`` query keywords a pair must share
-at least ``ceil(0.3 n)`` of them, so it must share one of any ``n - ceil(0.3 n) + 1`` of them, and
-only the longest (rarest) that many are probed. Booster words score more and are always probed.
+A pair scores only through a shared keyword or through containment, so candidates come from one
+equi-join on hashed keys of five kinds: whole text, keyword, booster word, anchor of a FAQ text
+inside the query, and head of a query inside a FAQ text. The keyword kind skips words that cannot
+decide: to reach the threshold with ``n`` query keywords a pair must share at least
+``ceil(0.3 n)`` of them, so it must share one of any ``n - ceil(0.3 n) + 1`` of them, and only the
+longest (rarest) that many are probed. Booster words score more and are always probed. Every
+candidate is then scored from the two texts, so neither a skipped key nor a hash collision can
+change the result.
 """
 
 from __future__ import annotations
@@ -20,8 +23,16 @@ from ..fixed_values import (
     STOP_WORDS,
 )
 from ..functions.text import clean_query, clean_question, or_empty, strip, word_set, words
-from ..sizing import lookup_join
-from .containment import phrases_inside, texts_holding
+from ..sizing import AUTO, BROADCAST, lookup_join, strategy_for
+from .containment import (
+    GRAM,
+    ROW_GROWTH,
+    STEM,
+    head_piece,
+    rare_anchors,
+    text_pieces,
+    texts_holding,
+)
 from .ranking import bounded_lists, keep_first, top_k
 
 SCHEME_RELATED = 8
@@ -59,7 +70,7 @@ def faq_score(query_keys: Column, faq_keys: Column, faq_boosters: Column, contai
     return base + F.when(contained, F.lit(CONTAINMENT_POINTS)).otherwise(F.lit(0.0))
 
 
-def faq_keys(faqs: DataFrame, boosters: DataFrame) -> DataFrame:
+def faq_keys(faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO) -> DataFrame:
     """(pos, faq_text, faq_keys, faq_boosters) of every FAQ that has a question."""
     base = (
         english_faqs(faqs)
@@ -72,6 +83,7 @@ def faq_keys(faqs: DataFrame, boosters: DataFrame) -> DataFrame:
         boosters.select("word").distinct(),
         ["word"],
         spread=["pos"],
+        strategy=strategy,
     )
     lists = boosted.groupBy("pos").agg(F.collect_set("word").alias("boosted"))
     none = F.array().cast("array<string>")
@@ -94,80 +106,101 @@ def query_keys(queries: DataFrame) -> DataFrame:
     )
 
 
-def _by_keyword(queries: DataFrame, faqs: DataFrame, strategy: str) -> DataFrame:
-    decisive = F.slice("query_keys", 1, F.size("query_keys") - F.col("needed").cast("int") + 1)
-    probe = F.explode(
-        F.concat(
-            F.transform(decisive, lambda w: F.struct(w.alias("word"), F.lit(False).alias("booster"))),
-            F.transform("query_keys", lambda w: F.struct(w.alias("word"), F.lit(True).alias("booster"))),
-        )
+WHOLE, WORD, BOOSTER, ANCHOR, HEAD = "whole", "word", "booster", "anchor", "head"
+
+
+def _key(kind: str, text: Column) -> Column:
+    return F.xxhash64(F.lit(kind), text)
+
+
+def _keys(kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda t: _key(kind, t))
+
+
+def faq_index(catalog: DataFrame, strategy: str) -> DataFrame:
+    """(key, kind, pos): every hashed key a FAQ can be found by."""
+
+    def rows(kind: str, keys: Column, source: DataFrame = catalog) -> DataFrame:
+        return source.select(F.explode(keys).alias("key"), F.lit(kind).alias("kind"), "pos")
+
+    scored = catalog.where(F.size("faq_keys") > 0)
+    anchors = rare_anchors(scored, "pos", "faq_text", strategy)
+    anchored = anchors.select(
+        _key(ANCHOR, F.col("anchor")).alias("key"),
+        F.when(F.col("short"), "short").otherwise(ANCHOR).alias("kind"),
+        "pos",
     )
-    probes = (
-        queries.where(F.size("query_keys") > 0)
-        .withColumn("probe", probe)
-        .select("query_id", "query_keys", "needed", "probe.*")
+    heads = text_pieces("faq_text", list(range(1, STEM + 1)))
+    return (
+        rows(WHOLE, F.array(_key(WHOLE, strip("faq_text"))))
+        .unionByName(rows(WORD, _keys(WORD, F.col("faq_keys"))))
+        .unionByName(rows(BOOSTER, _keys(BOOSTER, F.col("faq_boosters"))))
+        .unionByName(rows(HEAD, _keys(HEAD, heads), scored))
+        .unionByName(anchored)
     )
-    filed = F.explode(
-        F.concat(
-            F.transform("faq_keys", lambda w: F.struct(w.alias("word"), F.lit(False).alias("booster"))),
-            F.transform("faq_boosters", lambda w: F.struct(w.alias("word"), F.lit(True).alias("booster"))),
-        )
+
+
+def query_probes() -> Column:
+    """Keys a query looks up, apart from pieces of fewer than ``GRAM`` characters."""
+    decisive = F.slice("query_keys", 1, F.size("query_keys") - F.col("needed").cast("int") + 1)
+    return F.concat(
+        F.array(
+            _key(WHOLE, F.col("query_text")), _key(HEAD, or_empty(head_piece("query_text")))
+        ),
+        F.when(F.size("query_keys") > 0, _keys(WORD, decisive)).otherwise(
+            F.array().cast("array<bigint>")
+        ),
+        _keys(BOOSTER, F.col("query_keys")),
+        _keys(ANCHOR, text_pieces("query_text", [GRAM])),
     )
-    index = faqs.withColumn("filed", filed).select("pos", "faq_keys", "faq_boosters", "filed.*")
-    pairs = lookup_join(
-        probes, index, ["word", "booster"], spread=["query_id"], strategy=strategy
-    ).where(F.col("booster") | (F.size("faq_keys") >= F.col("needed")))
-    score = faq_score(F.col("query_keys"), F.col("faq_keys"), F.col("faq_boosters"), F.lit(False))
-    return pairs.select("query_id", "pos", score.alias("score"))
-
-
-def _by_containment(queries: DataFrame, faqs: DataFrame, strategy: str) -> DataFrame:
-    scored = queries.where(F.size("query_keys") > 0)
-    catalog = faqs.where(F.size("faq_keys") > 0)
-    inside_query = texts_holding(
-        scored, "query_id", "query_text", catalog, "pos", "faq_text", ("query_keys",), strategy
+
+
+def _score_hits(hits: DataFrame) -> DataFrame:
+    """Verify and score (query, FAQ, kind) rows that carry both sides."""
+    kind, asked, known = F.col("kind"), F.col("query_text"), F.col("faq_text")
+    contained = (
+        F.when(kind.isin(ANCHOR, "short"), asked.contains(known))
+        .when(kind == HEAD, known.contains(asked))
+        .otherwise(F.lit(False))
     )
-    inside_faq = phrases_inside(
-        scored, "query_id", "query_text", catalog, "pos", "faq_text", ("query_keys",), strategy
+    can_reach = kind.isin(BOOSTER, WHOLE) | contained | (
+        (kind == WORD) & (F.size("faq_keys") >= F.col("needed"))
     )
-    pairs = lookup_join(
-        inside_query.unionByName(inside_faq),
-        catalog.select("pos", "faq_keys", "faq_boosters"),
-        ["pos"],
-        spread=["query_id"],
-        strategy=strategy,
+    both = (F.size("query_keys") > 0) & (F.size("faq_keys") > 0)
+    score = faq_score(F.col("query_keys"), F.col("faq_keys"), F.col("faq_boosters"), contained)
+    exact = (kind == WHOLE) & (strip(known) == asked)
+    scored = hits.where(can_reach).select(
+        "query_id", "pos", exact.alias("exact"), F.when(both & ~exact, score).alias("score")
     )
-    score = faq_score(F.col("query_keys"), F.col("faq_keys"), F.col("faq_boosters"), F.lit(True))
-    return pairs.select("query_id", "pos", score.alias("score"))
-
-
-def _exact(queries: DataFrame, faqs: DataFrame, strategy: str) -> DataFrame:
-    texts = faqs.groupBy(strip("faq_text").alias("query_text")).agg(F.min("pos").alias("pos"))
-    return lookup_join(
-        queries.select("query_id", "query_text"),
-        texts,
-        ["query_text"],
-        spread=["query_id"],
-        strategy=strategy,
-    ).select("query_id", "pos")
+    return scored.where(F.col("exact") | (F.col("score") >= FAQ_THRESHOLD))
 
 
 def faq_candidates(
-    queries: DataFrame, faqs: DataFrame, boosters: DataFrame, strategy: str = "auto"
+    queries: DataFrame, faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO
 ) -> DataFrame:
     """(query_id, pos, exact, score) for every pair that can reach the threshold.
 
-    A pair may appear more than once; its highest score is its score.
+    A pair may appear more than once; its highest score is its score. With a broadcast catalog
+    the queries are probed in place. Otherwise only (id, key) rows are shuffled, salted by query.
     """
-    keyed, catalog = query_keys(queries), faq_keys(faqs, boosters)
-    scored = _by_keyword(keyed, catalog, strategy).unionByName(
-        _by_containment(keyed, catalog, strategy)
-    )
-    scored = scored.where(F.col("score") >= FAQ_THRESHOLD).withColumn("exact", F.lit(False))
-    exact = _exact(keyed, catalog, strategy).select(
-        "query_id", "pos", F.lit(None).cast("double").alias("score"), F.lit(True).alias("exact")
-    )
-    return scored.unionByName(exact)
+    strategy = strategy_for(strategy, faqs, growth=ROW_GROWTH * STEM)
+    keyed, catalog = query_keys(queries), faq_keys(faqs, boosters, strategy)
+    index = faq_index(catalog, strategy)
+    short_probes = _keys(ANCHOR, text_pieces("query_text", list(range(1, GRAM))))
+    found = None
+    for wanted, probes in ((F.col("kind") != "short", query_probes()),
+                           (F.col("kind") == "short", short_probes)):
+        part, key = index.where(wanted), F.explode(probes).alias("key")
+        if strategy == BROADCAST:
+            hits = keyed.select("*", key).join(F.broadcast(part), "key")
+            hits = hits.join(F.broadcast(catalog), "pos")
+        else:
+            slim = lookup_join(keyed.select("query_id", key), part, ["key"], "inner", ["query_id"], strategy)
+            hits = lookup_join(slim, catalog, ["pos"], "inner", ["query_id"], strategy)
+            hits = hits.join(keyed, "query_id")
+        scored = _score_hits(hits)
+        found = scored if found is None else found.unionByName(scored)
+    return found
 
 
 def best_of(candidates: DataFrame) -> DataFrame:
@@ -181,7 +214,7 @@ def best_of(candidates: DataFrame) -> DataFrame:
 
 
 def best_faq(
-    queries: DataFrame, faqs: DataFrame, boosters: DataFrame, strategy: str = "auto"
+    queries: DataFrame, faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO
 ) -> DataFrame:
     """The answering FAQ of each query that has one."""
     return best_of(faq_candidates(queries, faqs, boosters, strategy))
@@ -190,11 +223,13 @@ def best_faq(
 # ---- FAQ, scheme and topic relations -------------------------------------------
 
 
-def tagged_faqs(schemes: DataFrame, faqs: DataFrame) -> DataFrame:
+def tagged_faqs(schemes: DataFrame, faqs: DataFrame, strategy: str = AUTO) -> DataFrame:
     """(scheme_id, pos) of FAQs tagged with the scheme's name, ignoring case."""
+    strategy = strategy_for(strategy, schemes)
     tags = english_faqs(faqs).select("pos", F.lower(or_empty("scheme")).alias("tag"))
     named = schemes.select("scheme_id", F.lower("name").alias("tag"))
-    return lookup_join(tags, named, ["tag"], spread=["pos"]).select("scheme_id", "pos")
+    pairs = lookup_join(tags, named, ["tag"], spread=["pos"], strategy=strategy)
+    return pairs.select("scheme_id", "pos")
 
 
 def name_words(name: Column | str) -> Column:
@@ -202,20 +237,26 @@ def name_words(name: Column | str) -> Column:
     return F.filter(words(F.lower(or_empty(name))), lambda w: F.length(w) > 3)
 
 
-def _faqs_by_word(schemes: DataFrame, faqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _faqs_by_word(
+    schemes: DataFrame, faqs: DataFrame, strategy: str
+) -> tuple[DataFrame, DataFrame]:
     """(scheme_id, word) and (word, pos): FAQs whose question holds a word of some name."""
     owned = schemes.select("scheme_id", F.explode(F.array_distinct(name_words("name"))).alias("word"))
     vocabulary_ = owned.select("word").distinct().withColumn("needle", F.col("word"))
     questions = english_faqs(faqs).select("pos", F.lower(or_empty("question")).alias("asked"))
-    held = texts_holding(questions, "pos", "asked", vocabulary_, "word", "needle")
+    held = texts_holding(
+        questions, "pos", "asked", vocabulary_, "word", "needle", strategy=strategy
+    )
     return owned, held
 
 
-def worded_faqs(schemes: DataFrame, faqs: DataFrame) -> DataFrame:
+def worded_faqs(schemes: DataFrame, faqs: DataFrame, strategy: str = AUTO) -> DataFrame:
     """(scheme_id, pos) of FAQs that hold a word of the name and are not tagged with it."""
-    owned, held = _faqs_by_word(schemes, faqs)
-    pairs = lookup_join(held, owned, ["word"], spread=["pos"]).select("scheme_id", "pos").distinct()
-    return pairs.join(tagged_faqs(schemes, faqs), ["scheme_id", "pos"], "left_anti")
+    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
+    owned, held = _faqs_by_word(schemes, faqs, strategy)
+    pairs = lookup_join(held, owned, ["word"], spread=["pos"], strategy=strategy)
+    pairs = pairs.select("scheme_id", "pos").distinct()
+    return pairs.join(tagged_faqs(schemes, faqs, strategy), ["scheme_id", "pos"], "left_anti")
 
 
 def scheme_questions(schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATED) -> DataFrame:
@@ -225,14 +266,17 @@ def scheme_questions(schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATE
     (at most ``k`` of them repeat tagged ones), so each word is cut to those before it meets the
     schemes that own it.
     """
+    strategy = strategy_for(AUTO, schemes, faqs, growth=ROW_GROWTH)
     asked = english_faqs(faqs).select("pos", or_empty("question").alias("question"))
-    owned, held = _faqs_by_word(schemes, faqs)
-    by_word = keep_first(lookup_join(held, asked, ["pos"]), ["word", "question"], ["pos"])
+    owned, held = _faqs_by_word(schemes, faqs, strategy)
+    worded = lookup_join(held, asked, ["pos"], spread=["word"], strategy=strategy)
+    by_word = keep_first(worded, ["word", "question"], ["pos"])
     heads = top_k(by_word, ["word"], ["pos"], 2 * k).drop("rank")
     secondary = owned.join(heads, "word").select(
         "scheme_id", F.lit(1).alias("tier"), "pos", "question"
     )
-    primary = lookup_join(tagged_faqs(schemes, faqs), asked, ["pos"]).select(
+    tagged = tagged_faqs(schemes, faqs, strategy)
+    primary = lookup_join(tagged, asked, ["pos"], spread=["scheme_id"], strategy=strategy).select(
         "scheme_id", F.lit(0).alias("tier"), "pos", "question"
     )
     merged = primary.unionByName(secondary).where(F.col("question") != "")
@@ -244,7 +288,8 @@ def topic_faqs(faqs: DataFrame, topics: DataFrame) -> DataFrame:
     """Every FAQ of each distinct topic in ``topics(topic)``."""
     rows = english_faqs(faqs)
     wanted = topics.select(F.col("topic").alias("category")).distinct()
-    return lookup_join(rows, wanted, ["category"], spread=["pos"]).select(
+    pairs = lookup_join(rows, wanted, ["category"], spread=["pos"])
+    return pairs.select(
         F.col("category").alias("topic"), "pos", "question"
     )
 
@@ -273,8 +318,9 @@ def related_faqs(faqs: DataFrame) -> DataFrame:
         keep_first(rows, ["category", "question"], ["pos"]),
         ["category"], ["pos"], entry, ALL_RELATED + SCHEME_RELATED + 1, "category_heads",
     )
-    joined = lookup_join(rows, by_scheme, ["scheme"], "left", ["pos"])
-    joined = lookup_join(joined, by_category, ["category"], "left", ["pos"])
+    strategy = strategy_for(AUTO, faqs)
+    joined = lookup_join(rows, by_scheme, ["scheme"], "left", ["pos"], strategy)
+    joined = lookup_join(joined, by_category, ["category"], "left", ["pos"], strategy)
     none = F.array().cast("array<struct<pos:bigint,question:string>>")
 
     def others(heads: str) -> Column:
@@ -294,9 +340,14 @@ def related_faqs(faqs: DataFrame) -> DataFrame:
     )
 
 
+def seeded(value: Column | str, seed: int) -> Column:
+    """A repeatable draw order."""
+    return F.md5(F.concat_ws(":", F.lit(seed), value))
+
+
 def faq_pools(faqs: DataFrame, seed: int = 0, k: int = 5) -> DataFrame:
     """Size of each category's pool and its first ``k`` FAQs in seeded order."""
-    rows = english_faqs(faqs).withColumn("draw", F.xxhash64("pos", F.lit(seed)))
+    rows = english_faqs(faqs).withColumn("draw", seeded("pos", seed))
     sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("pool_size"))
     heads = bounded_lists(rows, ["category"], ["draw", "pos"], F.col("pos"), k, "drawn")
     return sizes.join(heads, "category")
@@ -308,9 +359,9 @@ def stratified_sample(faqs: DataFrame, seed: int = 0, size: int = 5) -> DataFram
     Ranking needs only the first ``size`` rows of each category and of the whole catalog, which
     Spark takes as distributed top-k.
     """
-    rows = english_faqs(faqs).withColumn("draw", F.xxhash64("pos", F.lit(seed)))
+    rows = english_faqs(faqs).withColumn("draw", seeded("pos", seed))
     leaders = keep_first(rows, ["category"], ["draw", "pos"]).withColumn(
-        "turn", F.xxhash64("category", F.lit(seed))
+        "turn", seeded("category", seed)
     )
     first = leaders.orderBy("turn", "category").limit(size).withColumn("tier", F.lit(0))
     fill = (

@@ -89,9 +89,9 @@ def translate_fragments(
 
 
 def text_fragments(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key.., lang, at, fragment) of every non-English, non-empty text."""
+    """(key.., lang, part, fragment) of every non-English, non-empty text."""
     wanted = rows.where((F.col("lang") != ENGLISH) & present(text))
-    return wanted.select(*key, "lang", F.posexplode(split_compound(text)).alias("at", "fragment"))
+    return wanted.select(*key, "lang", F.posexplode(split_compound(text)).alias("part", "fragment"))
 
 
 def distinct_fragments(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def localize(
     """L1: ``rows(key.., lang, text, ..)`` with the localized text; ``key`` must be unique."""
     fragments = text_fragments(rows, key, text)
     unique_key = [k for k in key if k != "lang"]
-    fragments = fragments.select(*unique_key, "lang", "at", "fragment")
+    fragments = fragments.select(*unique_key, "lang", "part", "fragment")
     tables = [dictionary] if proper_nouns is None else [dictionary, proper_nouns]
     if strategy_for(strategy, *tables, growth=2) == BROADCAST:
         placed = translate_fragments(
@@ -127,7 +127,7 @@ def localize(
         )
     placed = placed.where(F.col("target").isNotNull())
     by_text = placed.groupBy(*unique_key).agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "target"))).alias("__targets")
+        F.map_from_entries(F.collect_list(F.struct("part", "target"))).alias("__targets")
     )
     joined = rows.join(by_text, unique_key, "left")
     parts = F.transform(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SPECIFIC_KEYWORDS
 from ..functions.text import clean_topic_text, first_of, or_empty, strip, words
-from ..sizing import lookup_join
-from .containment import phrases_inside, texts_holding
+from ..sizing import AUTO, lookup_join, strategy_for
+from .containment import ROW_GROWTH, STEM, phrases_inside, texts_holding
 from .faq import name_words
 from .ranking import first_match
 
@@ -47,6 +47,7 @@ def exact_scheme(
         F.explode(F.array(F.lit(ANY_LANGUAGE), F.col("lang"))).alias("key_lang"),
     )
     plain = F.lower(or_empty("name"))
+    strategy = strategy_for(AUTO, schemes, growth=2)
     keys = schemes.select(
         "pos",
         F.lit(ANY_LANGUAGE).alias("key_lang"),
@@ -59,15 +60,20 @@ def exact_scheme(
             strip(F.lower("target")).alias("name_key"),
         )
         keys = keys.unionByName(
-            lookup_join(local, schemes.select("name", "pos"), ["name"]).select(*keys.columns)
+            lookup_join(
+                local, schemes.select("name", "pos"), ["name"], strategy=strategy
+            ).select(*keys.columns)
         )
     index = keys.groupBy("key_lang", "name_key").agg(F.min("pos").alias("pos"))
-    pairs = lookup_join(probes, index, ["key_lang", "name_key"], spread=["query_id"])
+    pairs = lookup_join(
+        probes, index, ["key_lang", "name_key"], spread=["query_id"], strategy=strategy
+    )
     return first_match(pairs, "query_id", "pos")
 
 
-def contained_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto") -> DataFrame:
+def contained_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
     """A scheme's whole name occurs in the query. Blank names name nothing."""
+    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
     names = distinct_names(schemes).withColumn("name_id", F.col("name_text"))
     held = texts_holding(
         texts, "query_id", "topic_text", names, "name_id", "name_text", strategy=strategy
@@ -77,18 +83,20 @@ def contained_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto
     return first_match(pairs, "query_id", "pos")
 
 
-def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto") -> DataFrame:
+def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
     """At least two long words of a scheme's name occur in the query.
 
     Two hits among a name's words means a hit outside its most widely used word, so that word is
     not indexed; candidates are verified on the whole word list.
     """
+    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
     listed = schemes.select("pos", name_words("name").alias("name_words")).where(
         F.size("name_words") >= 2
     )
     spread_words = listed.select("pos", F.posexplode("name_words").alias("at", "word"))
     usage = spread_words.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = lookup_join(spread_words, usage, ["word"], spread=["pos"]).groupBy("pos").agg(
+    counted = lookup_join(spread_words, usage, ["word"], spread=["pos"], strategy=strategy)
+    ranked = counted.groupBy("pos").agg(
         F.sort_array(F.collect_list(F.struct("uses", "word", "at"))).alias("ranked")
     )
     rare = F.transform("ranked", lambda r: r["word"])
@@ -105,12 +113,13 @@ def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto")
     return first_match(pairs.where(F.size(hits) >= 2), "query_id", "pos")
 
 
-def token_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto") -> DataFrame:
+def token_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
     """The query's first word occurs in a scheme's name; a query without words takes the
     first scheme. The word is taken literally, not as a pattern."""
     asked = texts.select("query_id", or_empty(first_of(words("topic_text"))).alias("token"))
     tokens = asked.select("token").where(F.col("token") != "").distinct()
     tokens = tokens.withColumn("needle", F.col("token"))
+    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH * STEM)
     names = distinct_names(schemes)
     inside = phrases_inside(tokens, "token", "needle", names, "pos", "name_text", strategy=strategy)
     found = first_match(inside, "token", "pos")
@@ -123,15 +132,16 @@ def token_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = "auto") -
 
 def keyword_topic(texts: DataFrame, keywords: DataFrame, faqs: DataFrame | None = None) -> DataFrame:
     """(query_id, topic[, topic_has_faqs]) from the first query word in the keyword table."""
+    strategy = strategy_for(AUTO, keywords)
     table = keywords.groupBy("word").agg(F.max("label").alias("label"))
     fields = ["at", "label"]
     if faqs is not None:
         used = faqs.select(F.col("category").alias("label")).distinct()
         used = used.withColumn("has_faqs", F.lit(True))
-        table = lookup_join(table, used, ["label"], "left", ["word"])
+        table = lookup_join(table, used, ["label"], "left", ["word"], strategy)
         fields.append("has_faqs")
     probes = texts.select("query_id", F.posexplode(words("topic_text")).alias("at", "word"))
-    hits = lookup_join(probes, table, ["word"], spread=["query_id"])
+    hits = lookup_join(probes, table, ["word"], spread=["query_id"], strategy=strategy)
     first = hits.groupBy("query_id").agg(F.min(F.struct(*fields)).alias("hit"))
     out = first.select("query_id", F.col("hit.label").alias("topic"), "hit")
     if faqs is None:
@@ -153,6 +163,7 @@ def specific_scheme(texts: DataFrame, schemes: DataFrame) -> DataFrame:
     names = distinct_names(schemes)
     index = names.select("pos", held_by("name_text")).groupBy("k.kw").agg(F.min("pos").alias("pos"))
     probes = texts.select("query_id", held_by("topic_text")).select("query_id", "k.at", "k.kw")
-    hits = lookup_join(probes, index, ["kw"], spread=["query_id"])
+    # At most one index row per listed keyword.
+    hits = probes.join(F.broadcast(index), "kw")
     first = hits.groupBy("query_id").agg(F.min(F.struct("at", "pos"))["pos"].alias("pos"))
     return first

@@ -36,12 +36,13 @@ from ..functions.text import (
     title_case,
     topic_title,
 )
-from ..sizing import lookup_join
+from ..sizing import AUTO, lookup_join, strategy_for
 from .faq import (
     best_faq,
     english_faqs,
     related_faqs,
     scheme_questions,
+    seeded,
     stratified_sample,
     topic_questions,
     vocabulary,
@@ -115,7 +116,9 @@ def prepare_queries(
         base = base.withColumn("english", F.col("query"))
     else:
         labels = navigation_labels(dictionary)
-        base = lookup_join(base, labels, ["lang"], "left", ["query_id"])
+        base = lookup_join(
+            base, labels, ["lang"], "left", ["query_id"], strategy_for(AUTO, dictionary)
+        )
         for name, text in defaults.items():
             base = base.withColumn(name, F.coalesce(name, F.lit(text)))
         base = to_english(base, dictionary)
@@ -279,7 +282,8 @@ def related_questions(schemes: DataFrame, faqs: DataFrame) -> DataFrame:
         F.lower(or_empty("target_beneficiaries")).alias("topic"),
     )
     rows = rows.join(own, "scheme_id", "left")
-    rows = lookup_join(rows, by_topic, ["topic"], "left", ["scheme_pos"])
+    strategy = strategy_for(AUTO, faqs)
+    rows = lookup_join(rows, by_topic, ["topic"], "left", ["scheme_pos"], strategy)
     questions = F.coalesce("questions", "topic_questions")
     return rows.select(
         "scheme_pos", with_navigation(questions, SCHEME_SUGGESTIONS).alias("suggestions")
@@ -291,7 +295,7 @@ def general_suggestions(faqs: DataFrame, fixed: list[str], seed: int = 0) -> Dat
 
     The sample holds five rows, so the one-row list is bounded.
     """
-    sample = stratified_sample(faqs, seed).withColumn("draw", F.xxhash64("pos", F.lit(seed)))
+    sample = stratified_sample(faqs, seed).withColumn("draw", seeded("pos", seed))
     listed = sample.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("draw", "question"))), lambda s: s["question"]
@@ -387,7 +391,7 @@ def answer_catalog(
     topics = topic_questions(faqs, TOPIC_SUGGESTIONS - len(NAV)).withColumn(
         "key", F.when(F.col("category").contains("state_"), "state_intro").otherwise("topic_intro")
     )
-    topics = lookup_join(topics, intro, ["key"], spread=["category"])
+    topics = lookup_join(topics, intro, ["key"], "inner", ["category"], strategy_for(AUTO, messages))
     topic_answers = topics.select(
         F.lit("topic").alias("kind"),
         F.col("category").alias("ref"),
@@ -425,13 +429,16 @@ def localize_answers(
     messages: DataFrame,
     dictionary: DataFrame | None = None,
     proper_nouns: DataFrame | None = None,
+    strategy: str = AUTO,
 ) -> DataFrame:
     """(kind, ref, lang, response, suggestions) for the distinct answers a batch needs."""
-    rows = lookup_join(wanted, catalog, ["kind", "ref"])
+    rows = lookup_join(wanted, catalog, ["kind", "ref"], strategy=strategy)
     own = messages.where(F.col("lang") != "en").select(
         F.lit("message").alias("kind"), F.col("key").alias("ref"), "lang", F.col("text").alias("own")
     )
-    rows = lookup_join(rows, own, ["kind", "ref", "lang"], "left")
+    rows = lookup_join(
+        rows, own, ["kind", "ref", "lang"], "left", strategy=strategy_for(AUTO, messages)
+    )
     if dictionary is None:
         shown = rows.select(
             "kind", "ref", "lang", "own", "parts", F.col("parts").alias("shown"), "suggestions"
@@ -491,7 +498,11 @@ def answer_queries(
     )
     wanted = aimed.select("kind", "ref", "lang").distinct()
     catalog = answer_catalog(schemes, faqs, messages, fixed, seed)
-    answers = localize_answers(wanted, catalog, messages, dictionary, proper_nouns)
-    return lookup_join(aimed, answers, ["kind", "ref", "lang"], "left", ["query_id"]).select(
+    # An answer holds its own texts, up to ten questions and the labels, once per language.
+    strategy = strategy_for(AUTO, schemes, faqs, messages, growth=32)
+    answers = localize_answers(wanted, catalog, messages, dictionary, proper_nouns, strategy)
+    return lookup_join(
+        aimed, answers, ["kind", "ref", "lang"], "left", ["query_id"], strategy
+    ).select(
         "query_id", "lang", "stage", "response", "suggestions"
     )

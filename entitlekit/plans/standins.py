@@ -36,9 +36,12 @@ def strings(*items: str) -> Column:
 
 
 def profile_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw form rows: every value a string."""
-    nation = F.broadcast(table(spark, sf_dir, "nation"))
-    customer = table(spark, sf_dir, "customer")
+    return forms_of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+
+
+def forms_of(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Raw form rows, every value a string. ``nation`` has 25 rows at every scale factor."""
+    nation = F.broadcast(nation)
     joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     key = F.col("c_custkey")
     segment = F.col("c_mktsegment")
@@ -329,3 +332,88 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang", F.col("source").alias("key")).agg(
         F.min("text").alias("text")
     )
+
+
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts of every customer, of four kinds, with what the customer claims."""
+    key = F.col("c_custkey")
+    name = F.concat(
+        F.lit("Asha "), F.translate("c_mktsegment", "AEIOU", "aeiou"), F.lit(" "),
+        F.translate(F.right(key.cast("string"), F.lit(2)), "0123456789", "BaDeFiGoHu"),
+    )
+    date = F.concat(F.lit("1"), (key % 10).cast("string"), F.lit("/05/19"),
+                    F.lpad((key % 90 + 10).cast("string"), 2, "0"))
+    amount = F.format_string("%,d", F.floor(F.abs("c_acctbal") * 100).cast("bigint"))
+    identity = F.concat(
+        F.lit("GOVERNMENT OF INDIA\n  "), name, F.lit("\nDOB: "), date,
+        F.lit("\n"), pick(key, 8, {0: F.lit("MALE")}, F.lit("FEMALE")), F.lit("\nPost Office Road 12345"),
+    )
+    income = F.concat(
+        F.lit("INCOME CERTIFICATE\nTotal 12\nAnnual Income: Rs. "), amount, F.lit(" only"),
+    )
+    caste = F.concat(F.lit("Certificate of class\n"), pick(
+        key, 12, {2: F.lit("OBC member"), 6: F.lit("SCHEDULED TRIBE")}, F.lit("CASTE GENERAL")))
+    other = F.concat(F.col("c_name"), F.lit("\nno known kind "), date)
+    return table(spark, sf_dir, "customer").select(
+        key.alias("doc_id"),
+        pick(key, 4, {0: identity, 1: income, 2: caste}, other).alias("text"),
+        pick(key, 5, {0: F.lit("Asha"), 1: F.lit("Nobody Here")}, name).alias("claimed_name"),
+        pick(key, 7, {0: F.lit("")}, F.concat(
+            F.lit("19"), F.lpad((key % 90 + 10).cast("string"), 2, "0"), F.lit("-05-1"),
+            (key % 10).cast("string"))).alias("claimed_dob"),
+    )
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity scans: the payload of every customer, and a text with the name near a date."""
+    key = F.col("c_custkey")
+    given = F.concat(F.lit("rakesh "), F.lower("c_mktsegment"))
+    date = F.concat(F.lit("199"), (key % 10).cast("string"), F.lit("-03-1"), (key % 10).cast("string"))
+    on_line = F.concat(F.lit("GOVT OF STATE\n"), given, F.lit(" "), date, F.lit("\nMALE"))
+    before = F.concat(F.lit("Mera Pehchaan\n"), given, F.lit("\n!\nDOB "), date, F.lit("\nFEMALE 12"))
+    nowhere = F.concat(F.lit("Zoom\nab\n"), given, F.lit(" mohan\nMALE here"))
+    text = pick(key, 3, {0: on_line, 1: before}, nowhere)
+    return payloads(spark, sf_dir).select(
+        "doc_id",
+        F.when(F.col("doc_id") % 2 == 1, F.col("payload")).otherwise(F.lit("")).alias("payload"),
+    ).join(table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text")), "doc_id")
+
+
+def tag_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemes named by the FAQ tags, in the other case: one per size class of ``part``."""
+    number = (F.col("p_size") % 11).cast("string")
+    return table(spark, sf_dir, "part").groupBy(F.concat(F.lit("S"), number).alias("name")).agg(
+        F.min("p_partkey").alias("pos")
+    ).select(F.col("name").alias("scheme_id"), "pos", "name")
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that name a scheme: the name itself, in upper case, or as a question."""
+    pos = F.col("pos")
+    query = pick(
+        pos, 3, {0: F.upper("name"), 1: F.concat(F.lit(" "), F.col("name"), F.lit("?"))},
+        F.concat(F.lit("About "), F.col("name")),
+    )
+    return named_schemes(spark, sf_dir).select(
+        pos.alias("query_id"), query.alias("query"), F.lit("en").alias("lang")
+    )
+
+
+def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("phrase"),
+        F.lit("hi").alias("lang"),
+        F.concat(F.lit("ब्रांड "), F.col("n_nationkey").cast("string")).alias("target"),
+    )
+
+
+def profile_changes_of(events: DataFrame) -> DataFrame:
+    """A profile change per event, one moment per user and row."""
+    value, none = F.col("value"), F.lit(None).cast("string")
+    return events.select(
+        "user_id", "ts", F.col("event_id").cast("string").alias("name"),
+        F.floor(value).cast("bigint").alias("age"), F.col("event_type").alias("gender"),
+        F.lit("here").alias("state"), none.alias("district"),
+        F.floor(value * 10).cast("bigint").alias("income"), F.lit("").alias("occupation"),
+        F.lit("sc").alias("category"), F.lit("none").alias("special_category"),
+    )
