@@ -116,8 +116,8 @@ def scheme_keys(schemes: DataFrame) -> DataFrame:
     rules = F.col("rules")
     state = F.col("state")
     national = state.isNull() | (state == NATIONAL)
-    low = F.coalesce(_age_bucket(rules["min_age"]), F.lit(0))
-    high = F.coalesce(_age_bucket(rules["max_age"]), F.lit(AGE_BUCKETS))
+    low = F.when(rules["min_age"].isNull(), 0).otherwise(_age_bucket(rules["min_age"]))
+    high = F.when(rules["max_age"].isNull(), AGE_BUCKETS).otherwise(_age_bucket(rules["max_age"]))
     return (
         schemes.where(F.coalesce(rules["min_age"] <= rules["max_age"], F.lit(True)))
         .select(

@@ -228,7 +228,7 @@ def name_validity(spark, sf):
     lines = s.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(docs.text_lines("text")).alias("at", "line")
     )
-    return lines.select("doc_id", F.col("at").cast("bigint").alias("at"), docs.is_valid_name("line").alias("valid"))
+    return lines.select("doc_id", F.col("at").cast("bigint").alias("idx"), docs.is_valid_name("line").alias("valid"))
 
 
 @query
@@ -301,9 +301,10 @@ def faq_best_match_documents(spark, sf):
 
 @query
 def faq_exact_questions(spark, sf):
-    """FAQ texts asked back: whole, in upper case, and by their sentences."""
+    """FAQ texts asked back: whole, in lower case, and by their sentences."""
     whole = s.faqs(spark, sf).select(
-        (-1 - F.col("pos")).alias("query_id"), F.upper("question").alias("query")
+        (-1 - F.col("pos")).alias("query_id"),
+        F.concat(F.lower("question"), F.lit("!")).alias("query"),
     )
     return _best(spark, sf, whole.unionByName(s.name_queries(spark, sf).select("query_id", "query")))
 
@@ -567,7 +568,7 @@ def localized_directory(spark, sf):
 def english_queries(spark, sf):
     entries = s.named_schemes(spark, sf).select(
         F.lit("to_en").alias("direction"), F.lit(None).cast("string").alias("lang"),
-        F.upper("name").alias("source"), F.concat(F.lit("EN "), F.col("name")).alias("target"),
+        F.lower("name").alias("source"), F.concat(F.lit("EN "), F.col("name")).alias("target"),
         F.col("pos").alias("ord"),
     )
     queries = s.name_queries(spark, sf).withColumn(
@@ -593,10 +594,10 @@ def translation_worklist(spark, sf):
 
 @query
 def merged_translations(spark, sf):
-    """Replies to the worklist: upper case with a heading; some lose a part or fail."""
+    """Replies to the worklist: marked and with a heading; some lose a part or fail."""
     groups = localization.worklist(untranslated_fragments(spark, sf))
     number = F.col("bucket")
-    answered = F.transform("fragments", lambda f: F.concat(F.lit("Title : "), F.upper(f)))
+    answered = F.transform("fragments", lambda f: F.concat(F.lit("Title : ~"), f))
     kept = F.slice(answered, 2, 10)
     reply = (
         F.when(number % 5 == 0, F.array_join(kept, "\n\n"))

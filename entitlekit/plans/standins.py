@@ -207,7 +207,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of ``benchmark``: as split from the texts, in upper case as their translation.
+    """Sentences of ``benchmark``: as split from the texts, marked as their translation.
 
     Every second sentence is stored in lower case, so it is found only when case is ignored.
     """
@@ -222,7 +222,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = F.explode(strings(*LANGS)).alias("lang")
     return sentences.select(
         F.lit("from_en").alias("direction"), langs, stored.alias("source"),
-        F.upper("source").alias("target"), ord_.cast("bigint").alias("ord"),
+        F.concat(F.lit("~ "), F.col("source")).alias("target"), ord_.cast("bigint").alias("ord"),
     )
 
 
@@ -388,10 +388,10 @@ def tag_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that name a scheme: the name itself, in upper case, or as a question."""
+    """Queries that name a scheme: in lower case, as a question, or inside a phrase."""
     pos = F.col("pos")
     query = pick(
-        pos, 3, {0: F.upper("name"), 1: F.concat(F.lit(" "), F.col("name"), F.lit("?"))},
+        pos, 3, {0: F.lower("name"), 1: F.concat(F.lit(" "), F.col("name"), F.lit("?"))},
         F.concat(F.lit("About "), F.col("name")),
     )
     return named_schemes(spark, sf_dir).select(
