@@ -37,12 +37,14 @@ def or_empty(text: Column | str) -> Column:
     return F.coalesce(col(text), F.lit(""))
 
 
+def text_list(items: Iterable[str]) -> Column:
+    """A constant array of texts (one literal, folded by the optimizer)."""
+    return F.split(F.lit("\x01".join(items)), "\x01")
+
+
 def contains_any(text: Column | str, phrases: Iterable[str]) -> Column:
     text = col(text)
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | text.contains(phrase)
-    return hit
+    return F.exists(text_list(phrases), lambda phrase: text.contains(phrase))
 
 
 def first_of(items: Column) -> Column:
@@ -72,7 +74,7 @@ def clean_topic_text(query: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Words in order; no empty items."""
-    return F.filter(F.split(strip(text), BLANK_RUN), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(strip(text), BLANK_RUN), "")
 
 
 def word_set(text: Column | str) -> Column:

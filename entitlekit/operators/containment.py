@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
+from ..functions.text import BLANKS
 from ..sizing import AUTO, BROADCAST, SALT, for_every_salt, lookup_join, strategy_for, with_salt
 
 GRAM = 4
@@ -20,45 +20,40 @@ STEM = 12
 ROW_GROWTH = 64
 
 
-def _pieces_of_size(size: int):
-    def cut(word: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(word) - (size - 1))
-        pieces = F.transform(starts, lambda i: F.substr(word, i, F.lit(size)))
-        return F.when(F.length(word) >= size, pieces).otherwise(F.array().cast("array<string>"))
+def _distinct_words(text: str) -> str:
+    blanks = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
+    return f"array_distinct(array_remove(split(btrim({text}, '{blanks}'), '(?U)\\\\s+'), ''))"
 
-    return cut
 
+def text_pieces(text: str, smallest: int, largest: int, wrap: str = "{}") -> Column:
+    """Distinct pieces of ``smallest`` to ``largest`` characters over the words of a text column.
 
-def text_pieces(text: Column | str, sizes: list[int]) -> Column:
-    """Distinct pieces of the given sizes over the words of a text."""
-    tokens = word_set(text)
-    found = [F.flatten(F.transform(tokens, _pieces_of_size(n))) for n in sizes]
-    return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])
-
-
-def hashed(pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.xxhash64(p))
+    ``wrap`` is an SQL expression applied to each distinct piece.
+    """
+    pieces = f"""
+      array_distinct(flatten(flatten(transform(
+        filter({_distinct_words(text)}, w -> length(w) >= {smallest}),
+        w -> transform(
+          sequence({smallest}, least({largest}, length(w))),
+          n -> transform(sequence(1, length(w) - n + 1), i -> substr(w, i, n)))))))"""
+    return F.expr(pieces if wrap == "{}" else f"transform({pieces}, p -> {wrap.format('p')})")
 
 
-def phrase_pieces(text: Column | str) -> Column:
+def phrase_pieces(text: str) -> Column:
     """Pieces a phrase can be filed under: ``GRAM`` characters, or a whole shorter word."""
-    cut = _pieces_of_size(GRAM)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                word_set(text),
-                lambda w: F.when(F.length(w) >= GRAM, cut(w)).otherwise(F.array(w)),
-            )
-        )
-    )
+    return F.expr(f"""
+      array_distinct(flatten(transform({_distinct_words(text)}, w ->
+        if(length(w) < {GRAM}, array(w),
+           transform(sequence(1, length(w) - {GRAM - 1}), i -> substr(w, i, {GRAM}))))))""")
 
 
-def longest_word(text: Column | str) -> Column:
-    ranked = F.transform(word_set(text), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return F.array_max(ranked)["w"]
+def longest_word(text: str) -> Column:
+    return F.expr(
+        f"array_max(transform({_distinct_words(text)}, w -> struct(length(w) as n, w as w))).w"
+    )
 
 
-def head_piece(text: Column | str) -> Column:
+def head_piece(text: str) -> Column:
     """The piece a text looks itself up by in a ``STEM`` index."""
     return F.substring(longest_word(text), 1, STEM)
 
@@ -97,9 +92,9 @@ def texts_holding(
     )
     carried = [text_id, text, *keep]
     found = []
-    for short, sizes in ((False, [GRAM]), (True, list(range(1, GRAM)))):
+    for short, smallest, largest in ((False, GRAM, GRAM), (True, 1, GRAM - 1)):
         index = filed.where(F.col("short") == short).drop("short")
-        pieces = F.explode(hashed(text_pieces(text, sizes))).alias("piece")
+        pieces = F.explode(text_pieces(text, smallest, largest, "xxhash64({})")).alias("piece")
         if strategy == BROADCAST:
             hits = texts.select(*carried, pieces).join(F.broadcast(index), "piece")
         else:
@@ -127,8 +122,8 @@ def phrases_inside(
     its longest word.
     """
     strategy = strategy_for(strategy, texts, growth=ROW_GROWTH * STEM)
-    sizes = list(range(1, STEM + 1))
-    index = texts.select(text_id, F.explode(hashed(text_pieces(text, sizes))).alias("piece"))
+    pieces = text_pieces(text, 1, STEM, "xxhash64({})")
+    index = texts.select(text_id, F.explode(pieces).alias("piece"))
     probes = phrases.select(phrase_id, phrase, F.xxhash64(head_piece(phrase)).alias("piece"))
     probes = probes.where(F.col(phrase).rlike(r"\S"))
     candidates = lookup_join(probes, index, ["piece"], spread=[phrase_id], strategy=strategy)

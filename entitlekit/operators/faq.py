@@ -22,7 +22,15 @@ from ..fixed_values import (
     FAQ_THRESHOLD,
     STOP_WORDS,
 )
-from ..functions.text import clean_query, clean_question, or_empty, strip, word_set, words
+from ..functions.text import (
+    clean_query,
+    clean_question,
+    or_empty,
+    strip,
+    text_list,
+    word_set,
+    words,
+)
 from ..sizing import AUTO, BROADCAST, lookup_join, strategy_for
 from .containment import (
     GRAM,
@@ -51,14 +59,14 @@ def english_faqs(faqs: DataFrame) -> DataFrame:
 
 def vocabulary(keywords: DataFrame) -> DataFrame:
     """Keyword words and the listed boosters, distinct."""
-    extra = F.explode(F.array(*[F.lit(w) for w in EXTRA_BOOSTERS])).alias("word")
+    extra = F.explode(text_list(EXTRA_BOOSTERS)).alias("word")
     listed = keywords.sparkSession.range(1).select(extra)
     return keywords.select("word").union(listed).distinct()
 
 
 def keywords_of(cleaned: Column) -> Column:
     """Distinct words without stop words."""
-    return F.array_except(word_set(cleaned), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_except(word_set(cleaned), text_list(STOP_WORDS))
 
 
 def faq_score(query_keys: Column, faq_keys: Column, faq_boosters: Column, contained: Column) -> Column:
@@ -95,26 +103,24 @@ def faq_keys(faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO) -> Data
 def query_keys(queries: DataFrame) -> DataFrame:
     """(query_id, query_text, query_keys, needed): keywords longest first."""
     cleaned = queries.select("query_id", clean_query(or_empty("query")).alias("query_text"))
-    ranked = F.array_sort(
-        F.transform(
-            keywords_of(F.col("query_text")),
-            lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")),
-        )
+    keyed = cleaned.withColumn("query_keys", keywords_of(F.col("query_text")))
+    longest_first = F.expr(
+        "transform(array_sort(transform(query_keys, w -> struct(-length(w) as n, w as w))), s -> s.w)"
     )
-    return cleaned.withColumn("query_keys", F.transform(ranked, lambda s: s["w"])).withColumn(
-        "needed", F.floor((3 * F.size("query_keys") + 9) / 10)
+    return keyed.withColumn("query_keys", longest_first).withColumn(
+        "needed", F.expr("(3 * size(query_keys) + 9) div 10")
     )
 
 
-WHOLE, WORD, BOOSTER, ANCHOR, HEAD = "whole", "word", "booster", "anchor", "head"
+WHOLE, WORD, BOOSTER, ANCHOR, SHORT, HEAD = "whole", "word", "booster", "anchor", "short", "head"
 
 
-def _key(kind: str, text: Column) -> Column:
+def _key(kind: str, text: Column | str) -> Column:
     return F.xxhash64(F.lit(kind), text)
 
 
-def _keys(kind: str, texts: Column) -> Column:
-    return F.transform(texts, lambda t: _key(kind, t))
+def _keys(kind: str, texts: str) -> Column:
+    return F.expr(f"transform({texts}, t -> xxhash64('{kind}', t))")
 
 
 def faq_index(catalog: DataFrame, strategy: str) -> DataFrame:
@@ -126,32 +132,27 @@ def faq_index(catalog: DataFrame, strategy: str) -> DataFrame:
     scored = catalog.where(F.size("faq_keys") > 0)
     anchors = rare_anchors(scored, "pos", "faq_text", strategy)
     anchored = anchors.select(
-        _key(ANCHOR, F.col("anchor")).alias("key"),
-        F.when(F.col("short"), "short").otherwise(ANCHOR).alias("kind"),
+        _key(ANCHOR, "anchor").alias("key"),
+        F.when(F.col("short"), SHORT).otherwise(ANCHOR).alias("kind"),
         "pos",
     )
-    heads = text_pieces("faq_text", list(range(1, STEM + 1)))
+    heads = text_pieces("faq_text", 1, STEM, f"xxhash64('{HEAD}', {{}})")
     return (
         rows(WHOLE, F.array(_key(WHOLE, strip("faq_text"))))
-        .unionByName(rows(WORD, _keys(WORD, F.col("faq_keys"))))
-        .unionByName(rows(BOOSTER, _keys(BOOSTER, F.col("faq_boosters"))))
-        .unionByName(rows(HEAD, _keys(HEAD, heads), scored))
+        .unionByName(rows(WORD, _keys(WORD, "faq_keys")))
+        .unionByName(rows(BOOSTER, _keys(BOOSTER, "faq_boosters")))
+        .unionByName(rows(HEAD, heads, scored))
         .unionByName(anchored)
     )
 
 
 def query_probes() -> Column:
     """Keys a query looks up, apart from pieces of fewer than ``GRAM`` characters."""
-    decisive = F.slice("query_keys", 1, F.size("query_keys") - F.col("needed").cast("int") + 1)
     return F.concat(
-        F.array(
-            _key(WHOLE, F.col("query_text")), _key(HEAD, or_empty(head_piece("query_text")))
-        ),
-        F.when(F.size("query_keys") > 0, _keys(WORD, decisive)).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-        _keys(BOOSTER, F.col("query_keys")),
-        _keys(ANCHOR, text_pieces("query_text", [GRAM])),
+        F.array(_key(WHOLE, "query_text"), _key(HEAD, or_empty(head_piece("query_text")))),
+        _keys(WORD, "slice(query_keys, 1, greatest(size(query_keys) - int(needed) + 1, 0))"),
+        _keys(BOOSTER, "query_keys"),
+        text_pieces("query_text", GRAM, GRAM, f"xxhash64('{ANCHOR}', {{}})"),
     )
 
 
@@ -159,7 +160,7 @@ def _score_hits(hits: DataFrame) -> DataFrame:
     """Verify and score (query, FAQ, kind) rows that carry both sides."""
     kind, asked, known = F.col("kind"), F.col("query_text"), F.col("faq_text")
     contained = (
-        F.when(kind.isin(ANCHOR, "short"), asked.contains(known))
+        F.when(kind.isin(ANCHOR, SHORT), asked.contains(known))
         .when(kind == HEAD, known.contains(asked))
         .otherwise(F.lit(False))
     )
@@ -186,10 +187,10 @@ def faq_candidates(
     strategy = strategy_for(strategy, faqs, growth=ROW_GROWTH * STEM)
     keyed, catalog = query_keys(queries), faq_keys(faqs, boosters, strategy)
     index = faq_index(catalog, strategy)
-    short_probes = _keys(ANCHOR, text_pieces("query_text", list(range(1, GRAM))))
+    short_probes = text_pieces("query_text", 1, GRAM - 1, f"xxhash64('{ANCHOR}', {{}})")
     found = None
-    for wanted, probes in ((F.col("kind") != "short", query_probes()),
-                           (F.col("kind") == "short", short_probes)):
+    for wanted, probes in ((F.col("kind") != SHORT, query_probes()),
+                           (F.col("kind") == SHORT, short_probes)):
         part, key = index.where(wanted), F.explode(probes).alias("key")
         if strategy == BROADCAST:
             hits = keyed.select("*", key).join(F.broadcast(part), "key")

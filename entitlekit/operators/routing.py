@@ -33,6 +33,7 @@ from ..functions.text import (
     or_empty,
     present,
     strip,
+    text_list,
     title_case,
     topic_title,
 )
@@ -265,7 +266,7 @@ def scheme_cards(schemes: DataFrame) -> DataFrame:
 
 def with_navigation(questions: Column | str, size: int) -> Column:
     """The two menu labels, then the questions not yet listed, cut to ``size``."""
-    nav = F.array(*[F.lit(label) for label in NAV])
+    nav = text_list(NAV)
     questions = F.col(questions) if isinstance(questions, str) else questions
     none = F.array().cast("array<string>")
     return F.slice(F.array_distinct(F.concat(nav, F.coalesce(questions, none))), 1, size)
@@ -301,9 +302,7 @@ def general_suggestions(faqs: DataFrame, fixed: list[str], seed: int = 0) -> Dat
             F.sort_array(F.collect_list(F.struct("draw", "question"))), lambda s: s["question"]
         ).alias("questions")
     )
-    static = F.array(
-        *[F.lit(s) for s in list(dict.fromkeys([*reversed(NAV), *fixed]))[:GENERAL_SUGGESTIONS]]
-    )
+    static = text_list(list(dict.fromkeys([*reversed(NAV), *fixed]))[:GENERAL_SUGGESTIONS])
     sampled = with_navigation("questions", GENERAL_SUGGESTIONS)
     return listed.select(
         F.when(F.size("questions") <= 3, static).otherwise(sampled).alias("suggestions")
@@ -364,7 +363,7 @@ def answer_catalog(
     """
     english = messages.where(F.col("lang") == "en")
     menu = F.array(F.lit(MENU_LABEL))
-    states = F.array(F.lit(MENU_LABEL), *[F.lit(s) for s in STATE_OPTIONS])
+    states = text_list([MENU_LABEL, *STATE_OPTIONS])
     general = general_suggestions(faqs, fixed or [], seed).select(
         F.lit(True).alias("wants_general"), F.col("suggestions").alias("general")
     )
