@@ -40,17 +40,21 @@ def normalize_date(value: Column | str) -> Column:
 
 
 def is_valid_name(value: Column | str) -> Column:
-    """False for texts that cannot be a person's name; never NULL."""
+    """False for texts that cannot be a person's name; never NULL.
+
+    The cheap tests come first: most lines of a document fail one of them.
+    """
     name = or_empty(value)
-    upper = F.upper(name)
     compact = F.translate(name, " .,", "")
     letters = F.length(F.regexp_replace(compact, r"[^\p{L}]", ""))
-    shouted_acronym = (upper == name) & (F.length(compact) < 5) & ~compact.rlike("[AEIOU]")
+    shouted_acronym = (
+        (F.length(compact) < 5) & ~compact.rlike("[AEIOU]") & (F.upper(name) == name)
+    )
     return ~(
         (F.length(strip(name)) < 2)
-        | shouted_acronym
-        | contains_any(upper, ADDRESS_WORDS)
         | compact.rlike(r"(?s)(.).*\1.*\1.*\1")
+        | shouted_acronym
+        | contains_any(F.upper(name), ADDRESS_WORDS)
         | (2 * letters < F.length(compact))
         | ((F.length(compact) > 5) & ~F.upper(compact).rlike("[AEIOU]"))
     )

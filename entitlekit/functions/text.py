@@ -43,8 +43,13 @@ def text_list(items: Iterable[str]) -> Column:
 
 
 def contains_any(text: Column | str, phrases: Iterable[str]) -> Column:
-    text = col(text)
-    return F.exists(text_list(phrases), lambda phrase: text.contains(phrase))
+    """One pattern of literal alternatives, so that the text is evaluated once."""
+    return col(text).rlike("|".join(rf"\Q{phrase}\E" for phrase in phrases))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def first_of(items: Column) -> Column:

@@ -37,6 +37,7 @@ from ..functions.text import (
     col,
     contains_any,
     first_of,
+    let,
     or_empty,
     present,
     strip,
@@ -60,7 +61,7 @@ def targeted_name(lines: Column, claimed: Column | str) -> Column:
 
     def holds_claim(line: Column) -> Column:
         cleaned = F.upper(clean_val(line))
-        return F.exists(wanted, lambda w: cleaned.contains(w))
+        return let(cleaned, lambda c: F.exists(wanted, lambda w: c.contains(w)))
 
     hits = F.filter(F.slice(lines, 1, 20), lambda line: holds_claim(line) & is_valid_name(line))
     return first_of(hits)

@@ -189,7 +189,7 @@ def point_lookup(spark, sf):
 
 @query
 def cleaned_texts(spark, sf):
-    return s.table(spark, sf, "documents").select(
+    return s.spread_table(spark, sf, "documents", "doc_id").select(
         "doc_id",
         F.md5(text.clean_query("text")).alias("query_text"),
         F.md5(text.clean_question("text")).alias("question_text"),
@@ -200,7 +200,7 @@ def cleaned_texts(spark, sf):
 
 @query
 def keyword_sets(spark, sf):
-    cleaned = s.table(spark, sf, "documents").select("doc_id", text.clean_query("text").alias("t"))
+    cleaned = s.spread_table(spark, sf, "documents", "doc_id").select("doc_id", text.clean_query("text").alias("t"))
     return cleaned.select(
         "doc_id",
         F.size(text.word_set("t")).cast("bigint").alias("words"),
@@ -225,7 +225,7 @@ def normalized_dates(spark, sf):
 
 @query
 def name_validity(spark, sf):
-    lines = s.table(spark, sf, "documents").select(
+    lines = s.spread_table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.posexplode(docs.text_lines("text")).alias("at", "line")
     )
     return lines.select("doc_id", F.col("at").cast("bigint").alias("idx"), docs.is_valid_name("line").alias("valid"))
@@ -248,7 +248,7 @@ def masked_names(spark, sf):
 def text_languages(spark, sf):
     key = F.col("doc_id")
     mark = s.pick(key, 9, {i: F.lit(chr(c)) for i, c in enumerate(SCRIPT_SAMPLES)}, F.lit(""))
-    rows = s.table(spark, sf, "documents").select("doc_id", F.concat("text", mark).alias("text"), "lang")
+    rows = s.spread_table(spark, sf, "documents", "doc_id").select("doc_id", F.concat("text", mark).alias("text"), "lang")
     asked = F.when(key % 4 == 0, F.lit("auto")).when(key % 4 == 1, F.lit("")).when(key % 4 == 2, F.col("lang"))
     return rows.select(
         "doc_id", language.detect_language("text").alias("detected"),

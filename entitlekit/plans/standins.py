@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table read by at least as many tasks as there are cores.
+
+    A small file is one task however costly its rows are; such a table is spread by key. A table
+    with enough splits of its own is not moved.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def pick(number: Column, size: int, options: dict[int, Column], default: Column) -> Column:
     case = F.when(F.lit(False), default)
     for rest, value in options.items():
@@ -36,7 +47,7 @@ def strings(*items: str) -> Column:
 
 
 def profile_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms_of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    return forms_of(spread_table(spark, sf_dir, "customer", "c_custkey"), table(spark, sf_dir, "nation"))
 
 
 def forms_of(customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -182,7 +193,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    rows = spread_table(spark, sf_dir, "conversations", "conv_id").where(F.col("role") == "user")
     return rows.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.col("text").alias("query"),
@@ -191,7 +202,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("query_id"), F.col("text").alias("query"),
         F.lit(None).cast("string").alias("lang"),
     )
@@ -199,7 +210,7 @@ def long_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text to localize, into one of two languages."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("text_id"),
         pick(F.col("doc_id"), 2, {0: F.lit(LANGS[0])}, F.lit(LANGS[1])).alias("lang"),
         "text",
@@ -241,7 +252,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claimed_income = pick(
         key, 5, {0: income, 1: F.floor(income * 1.1), 2: F.floor(income * 1.2)}, income
     ).cast("bigint")
-    return table(spark, sf_dir, "customer").select(
+    return spread_table(spark, sf_dir, "customer", "c_custkey").select(
         key.alias("user_id"), name.alias("name"), dob.alias("dob"),
         F.when(key % 6 != 0, claimed_income.cast("string")).alias("income"),
         F.lower("c_mktsegment").alias("category"),
@@ -273,7 +284,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nGender: "), F.when(gender == "M", "Male").otherwise("Female"),
     )
     broken = F.concat(F.lit("<PrintLetterBarcodeData><name>"), name, F.lit("</name><dob>"), dob)
-    return table(spark, sf_dir, "customer").select(
+    return spread_table(spark, sf_dir, "customer", "c_custkey").select(
         key.alias("doc_id"),
         pick(key, 4, {0: tag, 1: attribute, 2: plain}, broken).alias("payload"),
     )
@@ -354,7 +365,7 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     caste = F.concat(F.lit("Certificate of class\n"), pick(
         key, 12, {2: F.lit("OBC member"), 6: F.lit("SCHEDULED TRIBE")}, F.lit("CASTE GENERAL")))
     other = F.concat(F.col("c_name"), F.lit("\nno known kind "), date)
-    return table(spark, sf_dir, "customer").select(
+    return spread_table(spark, sf_dir, "customer", "c_custkey").select(
         key.alias("doc_id"),
         pick(key, 4, {0: identity, 1: income, 2: caste}, other).alias("text"),
         pick(key, 5, {0: F.lit("Asha"), 1: F.lit("Nobody Here")}, name).alias("claimed_name"),
