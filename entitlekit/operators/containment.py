@@ -15,7 +15,7 @@ from ..functions.text import BLANKS
 from ..sizing import AUTO, BROADCAST, SALT, for_every_salt, lookup_join, strategy_for, with_salt
 
 GRAM = 4
-STEM = 12
+STEM = 6
 # Bytes of piece rows per byte of text, at most: one row of about 64 bytes per size and character.
 ROW_GROWTH = 64
 
