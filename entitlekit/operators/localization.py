@@ -24,7 +24,7 @@ from ..functions.text import (
     strip,
     words,
 )
-from ..sizing import BROADCAST, SHUFFLE, lookup_join, strategy_for
+from ..sizing import AUTO, BROADCAST, SALTS, SHUFFLE, lookup_join, strategy_for
 from .ranking import keep_first
 
 ENGLISH = "en"
@@ -68,19 +68,22 @@ def translate_fragments(
     dictionary: DataFrame,
     proper_nouns: DataFrame | None = None,
     spread: list[str] | None = None,
-    strategy: str = "auto",
+    strategy: str = AUTO,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """``fragments(lang, fragment, ..)`` with their target; untranslated ones have NULL."""
+    """``fragments(lang, fragment, ..)`` with their target; untranslated ones have NULL.
+
+    Distinct fragments have no hot key and need no salt (``salts=1``).
+    """
     tables = [dictionary] if proper_nouns is None else [dictionary, proper_nouns]
     strategy = strategy_for(strategy, *tables, growth=2)
     keyed = fragments.withColumn("exact_key", strip("fragment")).withColumn(
         "lower_key", F.lower("exact_key")
     )
     exact = exact_lookup(dictionary, proper_nouns)
-    found = lookup_join(keyed, exact, ["lang", "exact_key"], "left", spread, strategy)
-    found = lookup_join(
-        found, lower_lookup(dictionary), ["lang", "lower_key"], "left", spread, strategy
-    )
+    lower = lower_lookup(dictionary)
+    found = lookup_join(keyed, exact, ["lang", "exact_key"], "left", spread, strategy, salts)
+    found = lookup_join(found, lower, ["lang", "lower_key"], "left", spread, strategy, salts)
     target = F.coalesce(F.nullif("exact_target", F.lit("")), F.nullif("lower_target", F.lit("")))
     return found.select(*fragments.columns, target.alias("target"))
 
@@ -106,7 +109,7 @@ def localize(
     proper_nouns: DataFrame | None = None,
     text: str = "text",
     out: str = "localized",
-    strategy: str = "auto",
+    strategy: str = AUTO,
 ) -> DataFrame:
     """L1: ``rows(key.., lang, text, ..)`` with the localized text; ``key`` must be unique."""
     fragments = text_fragments(rows, key, text)
@@ -120,7 +123,7 @@ def localize(
     else:
         targets = translate_fragments(
             fragments.select("lang", "fragment").distinct(), dictionary, proper_nouns,
-            ["lang", "fragment"], SHUFFLE,
+            ["lang", "fragment"], SHUFFLE, salts=1,
         ).where(F.col("target").isNotNull())
         placed = lookup_join(
             fragments, targets, ["lang", "fragment"], "inner", unique_key, strategy
@@ -154,7 +157,7 @@ def localize_one(
     proper_nouns: DataFrame | None = None,
     text: str = "text",
     out: str = "localized",
-    strategy: str = "auto",
+    strategy: str = AUTO,
 ) -> DataFrame:
     """L2: the whole text as a key first, then its parts; an unsplit text has no second chance."""
     whole = exact_lookup(dictionary).select(
@@ -173,7 +176,7 @@ def localize_one(
     return by_parts.withColumn(out, result).drop("__whole", "__parts")
 
 
-def to_english(queries: DataFrame, dictionary: DataFrame, strategy: str = "auto") -> DataFrame:
+def to_english(queries: DataFrame, dictionary: DataFrame, strategy: str = AUTO) -> DataFrame:
     """L4: ``english`` from the dictionary's reverse entries, else the query itself."""
     entries = dictionary.where(F.col("direction") == TO_ENGLISH).select(
         F.col("source").alias("query"), "ord", "target"
@@ -195,7 +198,7 @@ def bundle_lookup(requests: DataFrame, bundles: DataFrame, fallback: str = ENGLI
     default = bundles.where(F.col("lang") == fallback).select(
         "key", F.col("text").alias("__default")
     )
-    strategy = strategy_for("auto", bundles)
+    strategy = strategy_for(AUTO, bundles)
     found = lookup_join(requests, own, ["lang", "key"], "left", strategy=strategy)
     found = lookup_join(found, default, ["key"], "left", strategy=strategy)
     return found.withColumn("text", F.coalesce("__own", "__default")).drop("__own", "__default")
@@ -242,7 +245,7 @@ def localize_catalog(
     lang: str,
     dictionary: DataFrame,
     proper_nouns: DataFrame | None = None,
-    strategy: str = "auto",
+    strategy: str = AUTO,
 ) -> DataFrame:
     """L3: the catalog with seven texts and four rule lists localized, in one pass over all."""
     if not lang or lang == ENGLISH:
@@ -279,10 +282,10 @@ def localize_catalog(
 
 
 def untranslated(fragments: DataFrame, dictionary: DataFrame,
-                 proper_nouns: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
-    """The trimmed fragments of ``fragments(lang, fragment)`` that have no target."""
+                 proper_nouns: DataFrame | None = None, strategy: str = AUTO) -> DataFrame:
+    """The trimmed ones of distinct ``fragments(lang, fragment)`` that have no target."""
     missing = translate_fragments(
-        fragments, dictionary, proper_nouns, ["lang", "fragment"], strategy
+        fragments, dictionary, proper_nouns, ["lang", "fragment"], strategy, salts=1
     ).where(F.col("target").isNull())
     return missing.select("lang", strip("fragment").alias("fragment")).where(
         F.col("fragment") != ""

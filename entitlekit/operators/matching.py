@@ -71,25 +71,12 @@ def exact_scheme(
     return first_match(pairs, "query_id", "pos")
 
 
-def contained_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
-    """A scheme's whole name occurs in the query. Blank names name nothing."""
-    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
-    names = distinct_names(schemes).withColumn("name_id", F.col("name_text"))
-    held = texts_holding(
-        texts, "query_id", "topic_text", names, "name_id", "name_text", strategy=strategy
-    )
-    index = names.select("name_id", "pos")
-    pairs = lookup_join(held, index, ["name_id"], spread=["query_id"], strategy=strategy)
-    return first_match(pairs, "query_id", "pos")
+def _rare_name_words(schemes: DataFrame, strategy: str) -> DataFrame:
+    """(phrase, pos, name_words): each name's long words but its most widely used one.
 
-
-def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
-    """At least two long words of a scheme's name occur in the query.
-
-    Two hits among a name's words means a hit outside its most widely used word, so that word is
-    not indexed; candidates are verified on the whole word list.
+    Two hits among a name's words means a hit outside its most widely used word, so that word
+    need not be indexed.
     """
-    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
     listed = schemes.select("pos", name_words("name").alias("name_words")).where(
         F.size("name_words") >= 2
     )
@@ -99,18 +86,52 @@ def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -
     ranked = counted.groupBy("pos").agg(
         F.sort_array(F.collect_list(F.struct("uses", "word", "at"))).alias("ranked")
     )
-    rare = F.transform("ranked", lambda r: r["word"])
-    owned = ranked.select(
-        "pos", F.explode(F.array_distinct(F.slice(rare, 1, F.size(rare) - 1))).alias("word")
-    ).join(listed, "pos")
-    needles = owned.select("word").distinct().withColumn("needle", F.col("word"))
+    rare = F.expr("array_distinct(transform(slice(ranked, 1, size(ranked) - 1), r -> r.word))")
+    return ranked.select("pos", F.explode(rare).alias("phrase")).join(listed, "pos")
+
+
+def search_schemes(
+    texts: DataFrame, schemes: DataFrame, strategy: str = AUTO, names: bool = True, partial: bool = True
+) -> DataFrame:
+    """J5 and J6 in one scan of the texts: (query_id, name_pos, partial_pos)."""
+    strategy = strategy_for(strategy, schemes, growth=ROW_GROWTH)
+    owners = []
+    if names:
+        owners.append(
+            distinct_names(schemes).select(
+                F.col("name_text").alias("phrase"), "pos",
+                F.lit(None).cast("array<string>").alias("name_words"),
+            )
+        )
+    if partial:
+        owners.append(_rare_name_words(schemes, strategy).select("phrase", "pos", "name_words"))
+    index = owners[0] if len(owners) == 1 else owners[0].unionByName(owners[1])
+    needles = index.select("phrase").distinct().withColumn("needle", F.col("phrase"))
     keyed = texts.withColumn("whole_text", F.col("topic_text"))
     held = texts_holding(
-        keyed, "query_id", "topic_text", needles, "word", "needle", ("whole_text",), strategy
+        keyed, "query_id", "topic_text", needles, "phrase", "needle", ("whole_text",), strategy
+    )
+    pairs = lookup_join(held, index, ["phrase"], spread=["query_id"], strategy=strategy)
+    hits = F.size(F.filter("name_words", lambda w: F.col("whole_text").contains(w)))
+    by_name = F.when(F.col("name_words").isNull(), F.col("pos"))
+    by_words = F.when(F.col("name_words").isNotNull() & (hits >= 2), F.col("pos"))
+    return pairs.groupBy("query_id").agg(
+        F.min(by_name).alias("name_pos"), F.min(by_words).alias("partial_pos")
+    )
+
+
+def contained_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
+    """A scheme's whole name occurs in the query. Blank names name nothing."""
+    found = search_schemes(texts, schemes, strategy, partial=False)
+    return found.where(F.col("name_pos").isNotNull()).select("query_id", F.col("name_pos").alias("pos"))
+
+
+def partial_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:
+    """At least two long words of a scheme's name occur in the query."""
+    found = search_schemes(texts, schemes, strategy, names=False)
+    return found.where(F.col("partial_pos").isNotNull()).select(
+        "query_id", F.col("partial_pos").alias("pos")
     )
-    pairs = lookup_join(held, owned, ["word"], spread=["query_id"], strategy=strategy)
-    hits = F.filter("name_words", lambda w: F.col("whole_text").contains(w))
-    return first_match(pairs.where(F.size(hits) >= 2), "query_id", "pos")
 
 
 def token_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) -> DataFrame:

@@ -50,11 +50,10 @@ from .faq import (
 )
 from .localization import localize, to_english
 from .matching import (
-    contained_scheme,
     exact_scheme,
     keyword_topic,
-    partial_scheme,
     scheme_total,
+    search_schemes,
     specific_scheme,
     token_scheme,
 )
@@ -159,9 +158,8 @@ def route_queries(
     facts = rows.select("query_id", "lang", "cheap_stage", "asks_list", "asks_state")
     for part in (
         found("exact_pos", exact_scheme(unresolved, schemes, dictionary)),
-        found("name_pos", contained_scheme(texts, schemes)),
+        search_schemes(texts, schemes),
         found("keyword_pos", specific_scheme(texts, schemes)),
-        found("partial_pos", partial_scheme(texts, schemes)),
         found("token_pos", token_scheme(texts, schemes)),
         keyword_topic(texts, keywords, faqs),
         best_faq(english, faqs, vocabulary(keywords)).select("query_id", "faq_pos"),
@@ -364,17 +362,18 @@ def answer_catalog(
     english = messages.where(F.col("lang") == "en")
     menu = F.array(F.lit(MENU_LABEL))
     states = text_list([MENU_LABEL, *STATE_OPTIONS])
+    # One row each, given the keys of the messages they belong to.
     general = general_suggestions(faqs, fixed or [], seed).select(
-        F.lit(True).alias("wants_general"), F.col("suggestions").alias("general")
+        F.explode(text_list(["greeting", "thanks", "small_talk", "fallback"])).alias("key"),
+        F.col("suggestions").alias("general"),
     )
     total = scheme_total(schemes).select(
-        F.lit("list_all").alias("key"), F.col("scheme_total").cast("string").alias("count")
+        F.explode(text_list(["list_all"])).alias("key"),
+        F.col("scheme_total").cast("string").alias("count"),
     )
     intros = F.col("key").isin("topic_intro", "state_intro")
-    said = english.where(~intros).withColumn(
-        "wants_general", ~F.col("key").isin("list_all", "state_prompt")
-    )
-    said = said.join(F.broadcast(general), "wants_general", "left")
+    said = english.where(~intros)
+    said = said.join(F.broadcast(general), "key", "left")
     said = said.join(F.broadcast(total), "key", "left")
     shown = F.replace(F.col("text"), F.lit("{count}"), F.coalesce("count", F.lit("")))
     answers = said.select(
