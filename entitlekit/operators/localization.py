@@ -24,7 +24,7 @@ from ..functions.text import (
     strip,
     words,
 )
-from ..sizing import AUTO, BROADCAST, SALTS, SHUFFLE, lookup_join, strategy_for
+from ..sizing import AUTO, BROADCAST, SHUFFLE, lookup_join, strategy_for
 from .ranking import keep_first
 
 ENGLISH = "en"
@@ -69,7 +69,7 @@ def translate_fragments(
     proper_nouns: DataFrame | None = None,
     spread: list[str] | None = None,
     strategy: str = AUTO,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """``fragments(lang, fragment, ..)`` with their target; untranslated ones have NULL.
 

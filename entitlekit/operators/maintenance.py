@@ -88,11 +88,16 @@ def put_document(documents: Column, key: Column, document: Column) -> Column:
     return F.when(documents.isNull(), entry).otherwise(F.map_concat(kept, entry))
 
 
-def update_nested(base: DataFrame, changes: DataFrame, key: str = "user_id") -> DataFrame:
+def update_nested(
+    base: DataFrame, changes: DataFrame, key: str = "user_id", order: list[str] | None = None
+) -> DataFrame:
     """Set ``documents.<doc_key>`` from ``changes(key, doc_key, document)``.
 
-    Several documents of one user are folded into one map first; a user holds few document types.
+    With ``order`` the newest change of each document counts; without it each document may have
+    one change. A user's changes are folded into one map; a user holds few document types.
     """
+    if order:
+        changes = last_write_wins(changes, [key, "doc_key"], order)
     per_user = changes.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("doc_key", "document"))).alias("__new")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 128 * 1024 * 1024
-SALTS = 16
+SALTS, MAX_SALTS = 16, 256
 SALT = "__salt"
 AUTO, BROADCAST, SHUFFLE = "auto", "broadcast", "shuffle"
 
@@ -35,16 +35,22 @@ def strategy_for(strategy: str, *catalogs: DataFrame, growth: int = 1) -> str:
     return BROADCAST if size * growth <= BROADCAST_BYTES else SHUFFLE
 
 
-def with_salt(df: DataFrame, spread: list[str], salts: int = SALTS) -> DataFrame:
-    """Spread rows of one join key over ``salts`` sub-keys, by a repeatable hash."""
+def salts_for(df: DataFrame) -> int:
+    """Sub-keys per key: a quarter of the shuffle partitions, between 16 and 256."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(SALTS, min(MAX_SALTS, partitions // 4))
+
+
+def with_salt(df: DataFrame, spread: list[str], salts: int | None = None) -> DataFrame:
+    """Spread rows of one join key over sub-keys, by a repeatable hash of ``spread``."""
+    salts = salts or salts_for(df)
     return df.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)))
 
 
-def for_every_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
+def for_every_salt(df: DataFrame, salts: int | None = None) -> DataFrame:
     """Replicate the small side once per sub-key."""
-    return df.withColumn(
-        SALT, F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
-    )
+    last = (salts or salts_for(df)) - 1
+    return df.withColumn(SALT, F.explode(F.expr(f"sequence(0L, {last}L)")))
 
 
 def lookup_join(
@@ -54,15 +60,18 @@ def lookup_join(
     how: str = "inner",
     spread: list[str] | None = None,
     strategy: str = AUTO,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join many ``rows`` to a smaller ``table``.
 
     A table within the measured bound is broadcast, so ``rows`` never move. A larger one is
-    shuffled, with ``rows`` salted on ``spread`` so that a hot key is split over tasks.
+    shuffled, with ``rows`` salted on ``spread`` so that a hot key is split over tasks;
+    ``salts=1`` when the keys of ``rows`` are known to be distinct.
     """
     if strategy_for(strategy, table) == BROADCAST:
         return rows.join(F.broadcast(table), on, how)
+    if salts == 1:
+        return rows.join(table, on, how)
     salted = with_salt(rows, spread or rows.columns, salts)
     return salted.join(for_every_salt(table, salts), [*on, SALT], how).drop(SALT)
 

@@ -47,6 +47,10 @@ def test_nested_values(spark):
     got = {r.user_id: r.documents for r in m.update_nested(users, doc).collect()}
     assert got[1]["income"].extracted_data.dob == "1990-01-01" and set(got[1]) == {"aadhaar", "income", "caste"}
     assert got[2]["income"].extracted_data.dob is None
+    replayed = doc.withColumn("ts", F.lit(1)).unionByName(
+        doc.select("user_id", "doc_key", F.lit(None).cast(doc.schema["document"].dataType).alias("document"), F.lit(2).alias("ts")))
+    newest = {r.user_id: r.documents for r in m.update_nested(users, replayed, order=["ts"]).collect()}
+    assert newest[1]["income"] is None
     keys = spark.createDataFrame([(0,), (77,)], "user_id long")
     unset, missing = m.unset_fields(users, keys)
     row = unset.where("user_id = 0").first()
