@@ -23,11 +23,6 @@ def strip(text: Column | str) -> Column:
     return F.btrim(col(text), F.lit(BLANKS))
 
 
-def squash(text: Column | str) -> Column:
-    """Collapse blank runs to one space."""
-    return F.regexp_replace(col(text), BLANK_RUN, " ")
-
-
 def present(text: Column | str) -> Column:
     """True for a non-null, non-empty text; never NULL."""
     return F.coalesce(F.length(col(text)) > 0, F.lit(False))

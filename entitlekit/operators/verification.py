@@ -38,7 +38,6 @@ from ..functions.text import (
     contains_any,
     first_of,
     let,
-    or_empty,
     present,
     strip,
     title_case,

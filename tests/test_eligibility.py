@@ -85,6 +85,21 @@ def test_pairs_equal_brute_force(data, strategy):
     assert sorted(map(tuple, pairs.collect())) == expected
 
 
+def test_single_predicates_agree(data):
+    profiles, schemes, expected = data
+    rules = F.col("rules")
+    both = profiles.crossJoin(schemes.withColumnRenamed("state", "scheme_state"))
+    kept = both.where(
+        e.state_matches(F.col("scheme_state"), F.col("state"))
+        & e.age_matches(rules, F.col("age"))
+        & e.income_matches(rules, F.col("income"))
+        & e.set_matches(rules["allowed_categories"], F.col("category"))
+        & e.set_matches(rules["gender"], F.col("gender"))
+        & e.set_matches(rules["special_category"], F.col("special_category"))
+    )
+    assert sorted(map(tuple, kept.select("profile_id", "scheme_id").collect())) == expected
+
+
 def test_counts_include_zero(data):
     profiles, schemes, expected = data
     counts = dict(map(tuple, e.eligible_counts(profiles, e.eligible_pairs(profiles, schemes)).collect()))

@@ -51,6 +51,8 @@ def test_nested_values(spark):
         doc.select("user_id", "doc_key", F.lit(None).cast(doc.schema["document"].dataType).alias("document"), F.lit(2).alias("ts")))
     newest = {r.user_id: r.documents for r in m.update_nested(users, replayed, order=["ts"]).collect()}
     assert newest[1]["income"] is None
+    renamed = users.withColumn("profile", m.set_nested(F.col("profile"), "name", F.lit("x")))
+    assert {r.profile.name for r in renamed.collect()} == {"x"}
     keys = spark.createDataFrame([(0,), (77,)], "user_id long")
     unset, missing = m.unset_fields(users, keys)
     row = unset.where("user_id = 0").first()
