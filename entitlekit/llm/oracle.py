@@ -57,3 +57,32 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
   sha256(CASE WHEN head IS NULL THEN unhex(h) ELSE unhex(head || substr(h, 2 * tail_from + 1)) END) AS kept_sha256
 FROM docs d LEFT JOIN cut c ON d.doc_id = c.doc_id
 """
+
+ORACLE_SQL["op10_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(words)) AS width, array_to_string(list_slice(words, p, p + least(13, len(words)) - 1), ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS p FROM items WHERE len(words) > 0)
+), widths AS (
+  SELECT DISTINCT width FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, width, p, array_to_string(list_slice(words, p, p + width - 1), ' ') AS w
+  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS p FROM docs, widths WHERE len(words) >= width)
+), hits AS (
+  SELECT d.doc_id, d.p, d.width, i.item_id FROM doc_windows d JOIN item_windows i ON d.width = i.width AND d.w = i.w
+), covered AS (
+  SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT doc_id, p, width FROM hits), range(13) AS t(k)
+  WHERE k < width GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import recompression, suffixes
+from entitlekit.llm import decontamination, recompression, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -31,3 +31,13 @@ def op6_suffix_dedup(spark, sf):
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op10_decontamination(spark, sf):
+    """Words of every document inside a passage of the benchmark."""
+    found = decontamination.find_passages(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return decontamination.contamination(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
