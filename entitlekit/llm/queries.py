@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, recompression, suffixes
+from entitlekit.llm import decontamination, minhash, recompression, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -41,3 +41,9 @@ def op10_decontamination(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op7_minhash_near_dedup(spark, sf):
+    """The class of near-duplicates of every document."""
+    return minhash.near_classes(read(spark, sf, "documents"))
