@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, minhash, recompression, suffixes
+from entitlekit.llm import decontamination, minhash, packing, recompression, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -47,3 +47,10 @@ def op10_decontamination(spark, sf):
 def op7_minhash_near_dedup(spark, sf):
     """The class of near-duplicates of every document."""
     return minhash.near_classes(read(spark, sf, "documents"))
+
+
+@query
+def op1_packing(spark, sf):
+    """All documents as pieces of packed sequences."""
+    pieces = packing.pack(read(spark, sf, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
