@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, minhash, packing, recompression, suffixes
+from entitlekit.llm import decontamination, minhash, packing, quality, recompression, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -54,3 +54,10 @@ def op1_packing(spark, sf):
     """All documents as pieces of packed sequences."""
     pieces = packing.pack(read(spark, sf, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_quality_rules(spark, sf):
+    """Base counts of every document, and whether the weighed rules keep it."""
+    judged = quality.judge_quality(read(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
