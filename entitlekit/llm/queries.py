@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, minhash, packing, quality, recompression, suffixes
+from entitlekit.llm import decontamination, minhash, packing, quality, recompression, secrets, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -61,3 +61,12 @@ def op2_quality_rules(spark, sf):
     """Base counts of every document, and whether the weighed rules keep it."""
     judged = quality.judge_quality(read(spark, sf, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op8_secret_scan(spark, sf):
+    """Secrets of every document: counts and digests of those in the text, and the places of all."""
+    found = secrets.scan_secrets(read(spark, sf, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
