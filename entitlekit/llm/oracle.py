@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from entitlekit.llm.licenses import TEMPLATES
+
 ORACLE_SQL = {}
 
 ORACLE_SQL["op4_recompression_dedup"] = r"""
@@ -109,3 +111,32 @@ WITH RECURSIVE docs AS (
 )
 SELECT doc_id, min(node) AS class_id FROM reach GROUP BY doc_id
 """
+
+_TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items())
+
+ORACLE_SQL["op9_license_scan"] = r"""
+WITH templates(license, text) AS (VALUES """ + _TEMPLATES + r"""
+), template_words AS (
+  SELECT license, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\n]+', ' ', 'g'), '[ \n]+'), lambda w: w <> '') AS words FROM templates
+), template_grams AS (
+  SELECT license, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS template FROM template_words
+), normal AS (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g') AS normal FROM documents
+), pieces AS (
+  SELECT DISTINCT doc_id, unnest(string_split(normal, chr(10)) || regexp_split_to_array(normal, '\n(?: ?\n)+') || [normal]) AS segment FROM normal
+), words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(segment, '[ \n]+'), lambda w: w <> '') AS words FROM pieces
+), grams AS (
+  SELECT doc_id, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS grams FROM words WHERE len(words) > 1
+), scored AS (
+  SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice
+  FROM grams, template_grams WHERE len(grams) * 3 >= len(template) * 2 AND len(grams) * 2 <= len(template) * 3
+), found AS (
+  SELECT doc_id, license, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY ALL
+), best AS (
+  SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, best_license, best_dice
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
+"""

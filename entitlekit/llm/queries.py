@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, minhash, packing, quality, recompression, secrets, suffixes
+from entitlekit.llm import decontamination, licenses, minhash, packing, quality, recompression, secrets, suffixes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -70,3 +70,9 @@ def op8_secret_scan(spark, sf):
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query
+def op9_license_scan(spark, sf):
+    """Licence notices and texts in every document."""
+    return licenses.licenses_of(read(spark, sf, "documents"), licenses.templates_table(spark))
