@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, licenses, minhash, packing, quality, recompression, secrets, suffixes
+from entitlekit.llm import decontamination, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -76,3 +76,12 @@ def op8_secret_scan(spark, sf):
 def op9_license_scan(spark, sf):
     """Licence notices and texts in every document."""
     return licenses.licenses_of(read(spark, sf, "documents"), licenses.templates_table(spark))
+
+
+@query
+def op3_toxicity(spark, sf):
+    """A toxicity score for every document, learnt from the labels that aren't held out."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
