@@ -24,7 +24,7 @@ from entitlekit.llm.common import U64, find_words, mix, span_hashes, text_buffer
 
 MAX_LABELLED, MAX_FEATURES, LEAST_DOCS = 20_000, 6_000, 4
 PREFIXES = (4, 5, 6)  # bytes
-L2, COUNTERFACTUAL, STEPS, RATE = 3e-5, 1.0, 400, 0.3
+L2, COUNTERFACTUAL, STEPS, RATE = 3e-4, 1.0, 400, 0.3
 FOLDS = 5
 
 # Names of groups, by kind; a name is swapped for the others of its kind and language.
