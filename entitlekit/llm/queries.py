@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity
+from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -85,3 +85,10 @@ def op3_toxicity(spark, sf):
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_html_extraction(spark, sf):
+    """The main text of every page."""
+    found = htmltext.extract_text(read(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
