@@ -19,19 +19,26 @@ WHITE_BYTES = np.array([9, 10, 11, 12, 13, 32])
 CHUNK = 1 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` stored in the folder of ``spark.checkpoint.dir``: lineage is cut, executors may be lost.
+def work_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where no folder is configured and Spark runs inside one machine is a folder made here.
+    Only where none is configured and Spark runs inside one machine is a folder made here.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and context.master.startswith("local") and "cluster" not in context.master:
+        folder = tempfile.mkdtemp(prefix="entitlekit-")
+        context.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared folder: lineage is cut, executors may be lost."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local") and "cluster" not in context.master:
-            folder = tempfile.mkdtemp(prefix="entitlekit-")
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

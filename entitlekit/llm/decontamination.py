@@ -199,6 +199,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     item ids mark words but are not listed, repeated items count once, and with an empty benchmark
     nothing is hit.
     """
+    return _find(docs, benchmark, block_bytes).drop("tag")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
     texts = keyed(docs)
     parts = []
     for part in blocks_of(benchmark, block_bytes):
@@ -211,7 +215,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         plan = plan_of(block, counts)
         parts.append(texts.mapInArrow(lambda b, block=block, plan=plan: match(b, block, plan), SCHEMA))
     if len(parts) == 1:
-        return parts[0].drop("tag")
+        return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -223,7 +227,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
     )
     return merged.select(
-        "doc_id", "n_words", _union("hits").alias("hits"), "items", "near_items",
+        "doc_id", "tag", "n_words", _union("hits").alias("hits"), "items", "near_items",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
@@ -242,3 +246,11 @@ def contamination(found: DataFrame) -> DataFrame:
     """``found`` with n_hit and contaminated: a twentieth or more of the words are hit."""
     n_hit = F.aggregate("hits", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    bad = contamination(_find(docs, benchmark, block_bytes)).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct()
+    tag = F.crc32(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (tag == bad["bad_tag"]), "left_anti")

@@ -255,27 +255,49 @@ def _escaped(raw: bytes) -> bool:
     return bool(re.search(rb"%[0-9A-Fa-f]{2}|\\[uUx]|&#", raw))
 
 
+def _scan_rows(batch: pa.RecordBatch) -> Iterator[tuple[str, list, list]]:
+    """(text, secrets written in it, all secrets) of each row."""
+    data, offsets = text_buffer(batch, "text")
+    maybe = rows_with_run(data, offsets, HEX_SET, 32) | rows_with_run(data, offsets, RUN_SET, LEAST_RUN)
+    escaped = rows_with_run(data, offsets, ESCAPE_SET, 1)
+    raw = data.tobytes()
+    for i in range(batch.num_rows):
+        own = raw[offsets[i] : offsets[i + 1]]
+        text = own.decode("utf-8", "replace")
+        if maybe[i] or (escaped[i] and _escaped(own)) or any(k in (low := own.lower()) for k in KEYWORDS):
+            yield text, *scan(text)
+        else:
+            yield text, [], []
+
+
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     struct = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
     for batch in batches:
-        data, offsets = text_buffer(batch, "text")
-        maybe = rows_with_run(data, offsets, HEX_SET, 32) | rows_with_run(data, offsets, RUN_SET, LEAST_RUN)
-        escaped = rows_with_run(data, offsets, ESCAPE_SET, 1)
-        raw = data.tobytes()
         texts, base, spans = [], [], []
-        for i in range(batch.num_rows):
-            own = raw[offsets[i] : offsets[i + 1]]
-            if maybe[i] or (escaped[i] and _escaped(own)) or any(k in (low := own.lower()) for k in KEYWORDS):
-                text = own.decode("utf-8", "replace")
-                first, every = scan(text)
-                texts.append(redact(text, every) if every else text)
-            else:
-                first = every = []
-                texts.append(own.decode("utf-8", "replace"))
+        for text, first, every in _scan_rows(batch):
+            texts.append(redact(text, every) if every else text)
             base.append(struct(first))
             spans.append(struct(every))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts), pa.array(base, kind), pa.array(spans, kind)], names=["doc_id", "text", "base", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(base, kind), pa.array(spans, kind)], names=["doc_id", "text", "base", "spans"])
+
+
+def mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        masked = {i: redact(text, every) for i, (text, _, every) in enumerate(_scan_rows(batch)) if every}
+        if masked:
+            for name in {"text", "n_chars"}.intersection(batch.schema.names):
+                k = batch.schema.get_field_index(name)
+                values = batch.column(k).to_pylist()
+                for i, text in masked.items():
+                    values[i] = text if name == "text" else len(text)
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
+        yield batch
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with the secrets in its texts masked, and n_chars, if it has it, counted anew for those."""
+    return docs.mapInArrow(mask_batches, docs.schema)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

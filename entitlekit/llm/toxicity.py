@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from entitlekit.llm.common import U64, find_words, mix, span_hashes, text_buffer
 
@@ -205,10 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit(rows, names)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str = "score") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = model.score(*text_buffer(batch, "text"))
-        yield batch.append_column("score", pa.array(scores))
+        yield batch.append_column(name, pa.array(scores))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -223,6 +224,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` as it is, with the score of each row in a column ``name``, which it must not have."""
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(lambda b: _score(b, model, name), schema)
+
+
 def held_out(doc_id="doc_id"):
     """Whether a row is kept from learning: its id's checksum is divisible by ``FOLDS``."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
