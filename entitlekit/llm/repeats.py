@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ WINDOW_SCHEMA = "part int, kind int, keys binary, docs binary, places binary, co
 FOUND_SCHEMA = "doc_id long, tag long, found binary"
 FLUSH_RUNS, FLUSH_BYTES, SLICE = 1_500_000, 48 << 20, 50_000
 WHOLE = -1  # the place of the key of a whole text
+RUN, SURE, WHOLE_TEXT = 0, 1, 2  # kinds of rows: to be compared, settled, whole texts to be compared
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,25 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (packed >> 32) - 1, packed & 0xFFFFFFFF
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Longs in a rising order, by their differences."""
+    return zstandard.compress(np.diff(values, prepend=0).astype(np.int64).tobytes(), 1)
+
+
+def _expand(packed: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), np.int64))
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The upper 6 bytes of keys. Texts are compared behind them, so two keys may share them."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(packed: pa.Buffer) -> np.ndarray:
+    upper = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return np.ascontiguousarray(np.pad(upper, ((0, 0), (2, 0)))).view(U64).ravel()
+
+
 def _groups(keys: np.ndarray) -> np.ndarray:
     """Starts of the groups of equal neighbours."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -91,19 +112,19 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _run_rows(keys, docs, packed, n: int) -> Iterator[pa.RecordBatch]:
     repeated, first = _settle(keys, docs, packed)
-    part = (keys[first] % U64(n)).astype(np.int64)
-    order = first[np.argsort(part, kind="stable")]
-    counts = np.bincount(part, minlength=n)
-    at, out = 0, {k: [] for k in ("part", "kind", "keys", "docs", "places")}
-    for p in np.flatnonzero(counts):
-        own = order[at : at + counts[p]]
-        at += counts[p]
-        _add(out, int(p), 0, keys[own].tobytes(), docs[own].tobytes(), packed[own].tobytes())
-    repeated = repeated[np.argsort(docs[repeated], kind="stable")]
+    out = {k: [] for k in ("part", "kind", "keys", "docs", "places")}
+    part = keys % U64(n)
+    for kind in (RUN, WHOLE_TEXT):
+        own = first[((packed[first] >> 32) == 0) == (kind == WHOLE_TEXT)]
+        own = own[np.lexsort((packed[own], docs[own], part[own]))]
+        for own in np.split(own, _groups(part[own])[1:]) if len(own) else []:
+            names = keys[own].tobytes() if kind == WHOLE_TEXT else _short(keys[own])
+            _add(out, int(part[own[0]]), kind, names, _squeeze(docs[own]), _squeeze(packed[own]))
+    repeated = repeated[np.lexsort((packed[repeated], docs[repeated]))]
     for at in range(0, len(repeated), SLICE):
         own = repeated[at : at + SLICE]
         part = int(mix(docs[own[:1]].astype(U64))[0] % U64(n))
-        _add(out, part, 1, b"", docs[own].tobytes(), packed[own].tobytes())
+        _add(out, part, SURE, b"", _squeeze(docs[own]), _squeeze(packed[own]))
     if out["part"]:
         yield _batch(**out)
 
@@ -136,11 +157,18 @@ def send_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme, n: int) -> Iter
         yield from _run_rows(*map(np.concatenate, zip(*kept)), n)
 
 
+READERS = {
+    "keys": _long, "docs": _expand, "places": _expand,
+    "whole": lambda b: np.frombuffer(b, U64), "counts": lambda b: np.frombuffer(b, np.int32),
+    "payload": lambda b: np.frombuffer(zstandard.decompress(b), np.uint8),
+}
+
+
 def _read(batch: pa.RecordBatch, kind: int, names: tuple) -> list[tuple]:
-    types = {"keys": U64, "docs": np.int64, "places": np.int64, "counts": np.int32, "payload": np.uint8}
     kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+    columns = [("keys" if name == "whole" else name, READERS[name]) for name in names]
     return [
-        tuple(np.frombuffer(batch.column(name)[int(i)].as_buffer(), types[name]) for name in names)
+        tuple(reader(batch.column(name)[int(i)].as_buffer()) for name, reader in columns)
         for i in np.flatnonzero(kinds == kind)
     ]
 
@@ -157,14 +185,16 @@ def _per_text(docs, tags, values: np.ndarray) -> pa.RecordBatch:
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass 1, entries of a bucket to the places of repeated keys."""
-    entries, sure = [], []
+    entries, texts, sure = [], [], []
     for batch in batches:
-        entries += _read(batch, 0, ("keys", "docs", "places"))
-        sure += _read(batch, 1, ("docs", "places"))
-    if entries:
-        keys, docs, packed = map(np.concatenate, zip(*entries))
-        repeated, _ = _settle(keys, docs, packed)
-        sure.append((docs[repeated], packed[repeated]))
+        entries += _read(batch, RUN, ("keys", "docs", "places"))
+        texts += _read(batch, WHOLE_TEXT, ("whole", "docs", "places"))
+        sure += _read(batch, SURE, ("docs", "places"))
+    for kind in (entries, texts):
+        if kind:
+            keys, docs, packed = map(np.concatenate, zip(*kind))
+            repeated, _ = _settle(keys, docs, packed)
+            sure.append((docs[repeated], packed[repeated]))
     if sure:
         docs, packed = map(np.concatenate, zip(*sure))
         places, tags = _unpack(packed)
@@ -211,25 +241,26 @@ def _window_rows(kept: list, scheme: Scheme, n: int) -> Iterator[pa.RecordBatch]
     settled = np.add.reduceat(later.astype(np.int64), ends - counts) == counts
     part = (keys % U64(n)).astype(np.int64)
     order = np.flatnonzero(~settled)
-    order = order[np.argsort(part[order], kind="stable")]
+    order = order[np.lexsort((packed[order], docs[order], part[order]))]
     at, offsets = 0, np.cumsum(sizes) - sizes
     out = {k: [] for k in ("part", "kind", "keys", "docs", "places", "counts", "payload")}
     tally = np.bincount(part[order], minlength=n)
     for p in np.flatnonzero(tally):
         own = order[at : at + tally[p]]
         at += tally[p]
-        _add(out, int(p), 0, keys[own].tobytes(), docs[own].tobytes(), packed[own].tobytes(), counts[own].tobytes(), payload[ranges(offsets[own], sizes[own])].tobytes())
+        _add(out, int(p), RUN, _short(keys[own]), _squeeze(docs[own]), _squeeze(packed[own]), counts[own].tobytes(), zstandard.compress(payload[ranges(offsets[own], sizes[own])].tobytes(), 1))
     if out["part"]:
         yield _batch(**out)
 
 
 def _span_rows(docs, tags, lo, hi, n: int) -> Iterator[pa.RecordBatch]:
     out = {k: [] for k in ("part", "kind", "keys", "docs", "places", "counts", "payload")}
-    order = np.argsort(docs, kind="stable")
+    packed = _pack(lo, tags)
+    order = np.lexsort((packed, docs))
     for at in range(0, len(docs), SLICE):
         own = order[at : at + SLICE]
         part = int(mix(docs[own[:1]].astype(U64))[0] % U64(n))
-        _add(out, part, 1, b"", docs[own].tobytes(), _pack(lo, tags)[own].tobytes(), (hi - lo)[own].astype(np.int32).tobytes(), b"")
+        _add(out, part, SURE, b"", _squeeze(docs[own]), _squeeze(packed[own]), (hi - lo)[own].astype(np.int32).tobytes(), b"")
     if out["part"]:
         yield _batch(**out)
 
@@ -262,8 +293,8 @@ def find_windows(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
     """Pass 2, windows of a bucket to the spans of repeated ones."""
     entries, spans = [], []
     for batch in batches:
-        entries += _read(batch, 0, ("keys", "docs", "places", "counts", "payload"))
-        spans += _read(batch, 1, ("docs", "places", "counts"))
+        entries += _read(batch, RUN, ("keys", "docs", "places", "counts", "payload"))
+        spans += _read(batch, SURE, ("docs", "places", "counts"))
     out = []
     for docs, packed, lengths in spans:
         lo, tags = _unpack(packed)
