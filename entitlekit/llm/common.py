@@ -69,6 +69,16 @@ def text_buffer(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have ``most`` bytes or are one row."""
+    _, offsets = text_buffer(batch, name)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index(name))
     return column.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)

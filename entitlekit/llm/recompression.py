@@ -131,7 +131,11 @@ def word_runs(words: np.ndarray, begins: np.ndarray, ends: np.ndarray):
 def word_payload(words: np.ndarray, starts: np.ndarray, counts: np.ndarray):
     """The names of the windows of each run."""
     names = rolling(words, DEPTH)[ranges(starts, counts)]
-    return names.view(np.uint8), 8 * counts
+    return names.view(np.uint8), word_sizes(counts)
+
+
+def word_sizes(counts: np.ndarray) -> np.ndarray:
+    return 8 * counts.astype(np.int64)
 
 
 def word_group(keys, counts, payload, docs, packed) -> np.ndarray:
@@ -153,7 +157,7 @@ def word_group(keys, counts, payload, docs, packed) -> np.ndarray:
     return later
 
 
-SCHEME = Scheme(DEPTH, STEP, word_units, word_runs, word_payload, word_group)
+SCHEME = Scheme(DEPTH, STEP, word_units, word_runs, word_payload, word_sizes, word_group)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,12 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import U64, binaries, buckets_of, keyed, longs, merge_spans, mix, pieces, ranges
+from entitlekit.llm.common import U64, binaries, buckets_of, keyed, longs, merge_spans, mix, pieces, ranges, slices
 
 RUN_SCHEMA = "part int, kind int, keys binary, docs binary, places binary"
 WINDOW_SCHEMA = "part int, kind int, keys binary, docs binary, places binary, counts binary, payload binary"
+RESULT_SCHEMA = "part int, docs binary, places binary, sizes binary"
 FOUND_SCHEMA = "doc_id long, tag long, found binary"
-FLUSH_RUNS, FLUSH_BYTES, SLICE = 1_500_000, 48 << 20, 50_000
+FLUSH_RUNS, FLUSH_BYTES, SLICE = 1_000_000, 8 << 20, 50_000
 WHOLE = -1  # the place of the key of a whole text
 RUN, SURE, WHOLE_TEXT = 0, 1, 2  # kinds of rows: to be compared, settled, whole texts to be compared
 
@@ -38,7 +39,7 @@ RUN, SURE, WHOLE_TEXT = 0, 1, 2  # kinds of rows: to be compared, settled, whole
 class Scheme:
     """``units(batch)`` gives (units, offsets); ``runs(units, piece starts, piece ends)`` gives
     (first window, number of windows, key) per run; ``payload(units, starts, counts)`` gives the
-    packed windows of runs and their sizes; ``group(keys, counts, payload, docs, places)`` tells for
+    packed windows of runs and their sizes, which ``sizes(counts)`` knows too; ``group(keys, counts, payload, docs, places)`` tells for
     each window whether an equal one comes earlier."""
 
     depth: int
@@ -46,6 +47,7 @@ class Scheme:
     units: Callable
     runs: Callable
     payload: Callable
+    sizes: Callable
     group: Callable
 
 
@@ -137,9 +139,7 @@ def _add(out: dict, *values) -> None:
 def send_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme, n: int) -> Iterator[pa.RecordBatch]:
     """Pass 1, texts to entries of buckets."""
     kept, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         units, offsets = scheme.units(batch)
         docs, tags = longs(batch, "doc_id"), longs(batch, "tag")
         known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -173,17 +173,42 @@ def _read(batch: pa.RecordBatch, kind: int, names: tuple) -> list[tuple]:
     ]
 
 
-def _per_text(docs, tags, values: np.ndarray) -> pa.RecordBatch:
-    """One row per text, with its int32 values packed; ``values`` has a row per entry."""
-    order = np.lexsort((tags, docs))
-    docs, tags, values = docs[order], tags[order], np.ascontiguousarray(values[order].astype(np.int32))
-    begins = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(begins, len(docs)).astype(np.int32) * np.int32(4 * (values.size // max(1, len(values))))
-    packed = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(docs[begins]), pa.array(tags[begins]), packed], names=["doc_id", "tag", "found"])
+def _by_text(docs, tags, lo, hi, n: int) -> Iterator[pa.RecordBatch]:
+    """Results as one row per bucket of ids, with packed arrays."""
+    packed, part = _pack(lo, tags), mix(docs.astype(U64), 83) % U64(n)
+    order = np.lexsort((packed, docs, part))
+    out = {k: [] for k in ("part", "docs", "places", "sizes")}
+    for own in np.split(order, _groups(part[order])[1:]) if len(order) else []:
+        sizes = zstandard.compress((hi - lo)[own].astype(np.int32).tobytes(), 1)
+        _add(out, int(part[own[0]]), _squeeze(docs[own]), _squeeze(packed[own]), sizes)
+    if out["part"]:
+        yield _batch(**out)
+
 
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of a bucket of ids to one row per text: its (start, end) as packed 32-bit numbers."""
+    parts = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs, packed = (_expand(batch.column(name)[i].as_buffer()) for name in ("docs", "places"))
+            sizes = np.frombuffer(zstandard.decompress(batch.column("sizes")[i].as_buffer()), np.int32)
+            parts.append((docs, packed, sizes))
+    if not parts:
+        return
+    docs, packed, sizes = map(np.concatenate, zip(*parts))
+    lo, tags = _unpack(packed)
+    order = np.lexsort((lo, tags, docs))
+    docs, tags, lo, sizes = docs[order], tags[order], lo[order], sizes[order]
+    fresh = np.ones(len(docs), bool)
+    fresh[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])
+    begins = np.flatnonzero(fresh)
+    values = np.stack([lo, lo + sizes], 1).astype(np.int32)
+    bounds = (8 * np.append(begins, len(docs))).astype(np.int64)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(values.tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(docs[begins]), pa.array(tags[begins]), packed.cast(pa.binary())], names=["doc_id", "tag", "found"])
 
-def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def find_runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Pass 1, entries of a bucket to the places of repeated keys."""
     entries, texts, sure = [], [], []
     for batch in batches:
@@ -198,14 +223,14 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sure:
         docs, packed = map(np.concatenate, zip(*sure))
         places, tags = _unpack(packed)
-        yield _per_text(docs, tags, places)
+        yield from _by_text(docs, tags, places, places, n)
 
 
 def _windows(found: pa.RecordBatch, scheme: Scheme):
     """The marked runs of the texts of a batch: (keys, docs, packed, counts, payload) per chunk."""
     units, offsets = scheme.units(found)
     docs, tags = longs(found, "doc_id"), longs(found, "tag")
-    marks = [np.unique(np.concatenate([np.frombuffer(b, np.int32) for b in row])) for row in found.column("found").to_pylist()]
+    marks = [np.unique(np.frombuffer(row, np.int32)) for row in found.column("found").to_pylist()]
     copies = np.array([len(m) > 0 and m[0] == WHOLE for m in marks], bool)
     wanted = np.concatenate([m.astype(np.int64) + (np.int64(i) << 32) for i, m in enumerate(marks)])
     for chunk, rows, places, starts, counts, keys in _runs_of(scheme, units, offsets):
@@ -269,27 +294,41 @@ def send_windows(batches: Iterator[pa.RecordBatch], scheme: Scheme, n: int) -> I
     """Pass 2, texts with repeated keys to windows of buckets; whole copies are settled at once."""
     kept, size = [], 0
     for batch in batches:
-        found = batch.filter(batch.column("found").is_valid())
-        if not found.num_rows:
-            continue
-        steps = _windows(found, scheme)
-        while True:
-            try:
-                rows = next(steps)
-            except StopIteration as end:
-                docs, tags, lengths = end.value
-                yield from _span_rows(docs, tags, np.zeros(len(docs), np.int64), lengths, n)
-                break
-            kept.append(rows)
-            size += len(rows[4]) + 32 * len(rows[0]) + 16 * int(rows[3].sum())
-            if size >= FLUSH_BYTES:
-                yield from _window_rows(kept, scheme, n)
-                kept, size = [], 0
+        marked = batch.filter(batch.column("found").is_valid())
+        for found in slices(marked, "text"):
+            steps = _windows(found, scheme)
+            while True:
+                try:
+                    rows = next(steps)
+                except StopIteration as end:
+                    docs, tags, lengths = end.value
+                    yield from _span_rows(docs, tags, np.zeros(len(docs), np.int64), lengths, n)
+                    break
+                kept.append(rows)
+                size += len(rows[4])
+                if size >= FLUSH_BYTES:
+                    yield from _window_rows(kept, scheme, n)
+                    kept, size = [], 0
     if kept:
         yield from _window_rows(kept, scheme, n)
 
 
-def find_windows(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+def _grouped(entries: list, scheme: Scheme) -> Iterator[tuple]:
+    """The spans of repeated windows, by parts of the keys with about FLUSH_BYTES of windows each."""
+    keys, docs, packed, counts, payload = (np.concatenate(x) for x in zip(*entries))
+    sizes = scheme.sizes(counts)
+    offsets = np.cumsum(sizes) - sizes
+    parts = 1 + len(payload) // FLUSH_BYTES
+    part = mix(keys, 89) % U64(parts)
+    for k in range(parts):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            windows = payload[ranges(offsets[own], sizes[own])] if parts > 1 else payload
+            later = scheme.group(keys[own], counts[own], windows, docs[own], packed[own])
+            yield _repeat_spans(later, counts[own], docs[own], packed[own], scheme.depth)
+
+
+def find_windows(batches: Iterator[pa.RecordBatch], scheme: Scheme, n: int) -> Iterator[pa.RecordBatch]:
     """Pass 2, windows of a bucket to the spans of repeated ones."""
     entries, spans = [], []
     for batch in batches:
@@ -300,13 +339,10 @@ def find_windows(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
         lo, tags = _unpack(packed)
         out.append((docs, tags, lo, lo + lengths))
     if entries:
-        keys, docs, packed, counts, payload = (np.concatenate(x) for x in zip(*entries))
-        later = scheme.group(keys, counts, payload, docs, packed)
-        out.append(_repeat_spans(later, counts, docs, packed, scheme.depth))
+        out += _grouped(entries, scheme)
     if out:
         docs, tags, lo, hi = map(np.concatenate, zip(*out))
-        if len(docs):
-            yield _per_text(docs, tags, np.stack([lo, hi], 1))
+        yield from _by_text(docs, tags, lo, hi, n)
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -319,23 +355,25 @@ def repeated_spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
         keyed(docs, whole=True)
         .mapInArrow(lambda batches: send_runs(batches, scheme, n), RUN_SCHEMA)
         .repartitionById(n, F.col("part"))
-        .mapInArrow(find_runs, FOUND_SCHEMA)
-        .groupBy("doc_id", "tag").agg(F.collect_list("found").alias("found"))
+        .mapInArrow(lambda batches: find_runs(batches, n), RESULT_SCHEMA)
+        .repartitionById(n, F.col("part"))
+        .mapInArrow(gather, FOUND_SCHEMA)
     )
     texts = keyed(docs)
     spans = (
         texts.join(runs, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
         .mapInArrow(lambda batches: send_windows(batches, scheme, n), WINDOW_SCHEMA)
         .repartitionById(n, F.col("part"))
-        .mapInArrow(lambda batches: find_windows(batches, scheme), FOUND_SCHEMA)
-        .groupBy("doc_id", "tag").agg(F.collect_list("found").alias("found"))
+        .mapInArrow(lambda batches: find_windows(batches, scheme, n), RESULT_SCHEMA)
+        .repartitionById(n, F.col("part"))
+        .mapInArrow(gather, FOUND_SCHEMA)
     )
     return texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
 
 
-def spans_of(found: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """The merged spans of one text, from its packed parts."""
+def spans_of(found: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The merged spans of one text."""
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.concatenate([np.frombuffer(part, np.int32) for part in found]).reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
     return merge_spans(pairs[:, 0], pairs[:, 1])

@@ -60,10 +60,14 @@ def byte_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray):
 
 def byte_payload(data: np.ndarray, starts: np.ndarray, counts: np.ndarray):
     """The bytes that the windows of each run cover."""
-    sizes = counts + DEPTH - 1
+    sizes = byte_sizes(counts)
     return data[ranges(starts, sizes)], sizes
 
 
+def byte_sizes(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.int64) + DEPTH - 1
+
+
 def radix_groups(digits: np.ndarray, starts: np.ndarray, group: np.ndarray):
     """Sort suffixes by most-significant-digit passes to ``DEPTH``.
 
@@ -91,7 +95,7 @@ def byte_group(keys, counts, payload, docs, packed) -> np.ndarray:
     Runs that are equal as a whole are sorted once, under their smallest id.
     """
     counts = counts.astype(np.int64)
-    sizes = counts + DEPTH - 1
+    sizes = byte_sizes(counts)
     offsets = np.cumsum(sizes) - sizes
     whole = span_hashes(payload, offsets, offsets + sizes)
     order = np.lexsort((docs, whole, keys))
@@ -114,7 +118,7 @@ def byte_group(keys, counts, payload, docs, packed) -> np.ndarray:
     return np.repeat(docs, counts) > first[windows]
 
 
-SCHEME = Scheme(DEPTH, STEP, byte_units, byte_runs, byte_payload, byte_group)
+SCHEME = Scheme(DEPTH, STEP, byte_units, byte_runs, byte_payload, byte_sizes, byte_group)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
