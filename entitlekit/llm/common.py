@@ -69,7 +69,7 @@ def text_buffer(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have ``most`` bytes or are one row."""
     _, offsets = text_buffer(batch, name)
     i = 0

@@ -30,7 +30,7 @@ RUN_SCHEMA = "part int, kind int, keys binary, docs binary, places binary"
 WINDOW_SCHEMA = "part int, kind int, keys binary, docs binary, places binary, counts binary, payload binary"
 RESULT_SCHEMA = "part int, docs binary, places binary, sizes binary"
 FOUND_SCHEMA = "doc_id long, tag long, found binary"
-FLUSH_RUNS, FLUSH_BYTES, SLICE = 1_000_000, 8 << 20, 50_000
+FLUSH_RUNS, FLUSH_BYTES, SLICE = 600_000, 3 << 20, 50_000
 WHOLE = -1  # the place of the key of a whole text
 RUN, SURE, WHOLE_TEXT = 0, 1, 2  # kinds of rows: to be compared, settled, whole texts to be compared
 
