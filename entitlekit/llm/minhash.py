@@ -28,7 +28,7 @@ K, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 meets in none of them once in 2
 DARTS = K * (np.log(K) + 1)
 FIRST = -6  # the first rank cell is [0, 2**FIRST)
 BLOCK = 1024  # nodes of a bucket that one task compares with as many others
-TEXTS = 1024  # texts whose darts are thrown together
+TEXTS = 512  # texts whose darts are thrown together
 
 SIGNED = "doc_id long, fp1 long, fp2 long, bands array<long>"
 MEMBER = "bucket long, low int, high int, node long, names binary"
@@ -143,20 +143,20 @@ def sign(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(longs(part, "doc_id")[full]), pa.array(prints[0]), pa.array(prints[1]), bands], names=["doc_id", "fp1", "fp2", "bands"])
 
 
-def send_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle names and counts of each node, once for each pair of blocks of its buckets."""
+def send_members(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
+    """The shingle names (and counts, if they matter) of each node, once for each pair of blocks of its buckets."""
     for batch in batches:
         nodes, out = longs(batch, "doc_id"), {k: [] for k in ("bucket", "low", "high", "node", "names")}
         wanted = batch.column("buckets").to_pylist()
         for node, buckets, (names, counts) in zip(nodes, wanted, shingle_sets(batch)):
-            packed = np.stack([names, counts.astype(U64)], 1).tobytes()
+            packed = np.stack([names, counts.astype(U64)], 1).tobytes() if weighted else names.tobytes()
             for b in buckets:
                 blocks = -(-b["size"] // BLOCK)
                 own = int(mix(np.array([node]).astype(U64), 71)[0] % U64(blocks))
                 for other in range(blocks):
                     for k, v in zip(out, (b["bucket"], min(own, other), max(own, other), node, packed)):
                         out[k].append(v)
-            if len(out["node"]) >= 4096:
+            if len(out["node"]) >= 2048:
                 yield _members(out)
                 out = {k: [] for k in out}
         if out["node"]:
@@ -175,12 +175,13 @@ def link_group(nodes: np.ndarray, packed: list[bytes], weighted: bool, threshold
     others unless it is in the largest component by then: within it no pair needs to be looked at.
     """
     order = np.argsort(nodes, kind="stable")
-    tables = [np.frombuffer(packed[i], U64).reshape(-1, 2) for i in order]
+    tables = [np.frombuffer(packed[i], U64) for i in order]
     nodes = nodes[order]
     if weighted:  # one element for each occurrence
+        tables = [t.reshape(-1, 2) for t in tables]
         names = [mix(np.repeat(t[:, 0], t[:, 1].astype(np.int64)) + ranges(np.zeros(len(t), np.int64), t[:, 1].astype(np.int64)).astype(U64), 73) for t in tables]
     else:
-        names = [t[:, 0] for t in tables]
+        names = tables
     sizes = np.array([len(n) for n in names])
     owner = np.repeat(np.arange(len(nodes)), sizes)
     values, number, uses = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
@@ -254,7 +255,7 @@ def near_classes(docs: DataFrame, *, weighted: bool = False, threshold: float =
     wanted = entries.join(once, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
     members = (
         texts.join(wanted, texts["doc_id"] == wanted["node"]).select("doc_id", "text", "buckets")
-        .mapInArrow(send_members, MEMBER)
+        .mapInArrow(lambda b: send_members(b, weighted), MEMBER)
     )
     links = (
         members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
