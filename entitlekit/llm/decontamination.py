@@ -236,7 +236,7 @@ def _union(spans: str):
     """Sorted spans as maximal runs."""
     def add(done, s):
         last = F.element_at(done, -1)
-        joined = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
+        joined = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))).cast(HITS)
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.concat(done, F.array(s)))
 
     return F.aggregate(spans, F.expr(f"cast(array() as {HITS})"), add)
