@@ -132,9 +132,11 @@ def topic_title(topic: Column | str) -> Column:
     return title_case(F.replace(F.replace(col(topic), F.lit("state_"), F.lit("")), F.lit("_"), F.lit(" ")))
 
 
-def label_items(items: Column, everything: str, label: Callable[[Column], Column]) -> Column:
+def label_items(
+    items: Column, everything: str, label: Callable[[Column], Column], any_case: bool = False
+) -> Column:
     """Display form of a rule list: one fixed label if it holds ``all``, else each item's label."""
-    holds_all = F.array_contains(F.transform(items, F.lower), "all")
+    holds_all = F.array_contains(F.transform(items, F.lower) if any_case else items, "all")
     return F.when(holds_all, F.array(F.lit(everything))).otherwise(F.transform(items, label))
 
 
@@ -159,4 +161,4 @@ def display_special(items: Column | str) -> Column:
 
 
 def display_states(items: Column | str) -> Column:
-    return label_items(col(items), "All India", spaced_label)
+    return label_items(col(items), "All India", spaced_label, any_case=True)

@@ -29,25 +29,32 @@ def unmatched(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def insert_if_absent(
     base: DataFrame, new: DataFrame, key: str, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(base with the accepted rows, rejected rows with a reason)."""
+    """(base with the accepted rows, rejected rows with a reason).
+
+    Rows of one key that tie in ``order`` are told apart by a hash of the whole row; of rows that are
+    equal throughout, one is accepted and the others are rejected.
+    """
     numbered = new.withColumn("__blank", ~present(F.col(key).cast("string")))
     fresh = numbered.where(~F.col("__blank")).drop("__blank")
-    first = keep_first(fresh, [key], [*order])
-    accepted = first.join(base.select(key), key, "left_anti")
-    taken = matched(fresh, base, key)
-    repeated = taken.where(~F.col("__hit")).join(
-        first.select(key, *[F.col(o).alias(f"__first_{o}") for o in order]), key
+    hashed = fresh.withColumn("__row", F.xxhash64(F.to_json(F.struct(*new.columns))))
+    first = keep_first(hashed, [key], [*order, "__row"])
+    accepted = first.drop("__row").join(base.select(key), key, "left_anti")
+    taken = matched(hashed, base, key)
+    repeated = taken.where(~F.col("__hit")).join(first.select(key, F.col("__row").alias("__first")), key)
+    is_first = F.col("__row") == F.col("__first")
+    copies = (
+        repeated.where(is_first).groupBy(key, "__row")
+        .agg(F.first(F.struct(*new.columns)).alias("__copy"), F.count(F.lit(1)).alias("__times"))
+        .where("__times > 1").select("__copy", F.explode(F.sequence(F.lit(2), F.col("__times"))))
+        .select("__copy.*")
     )
-    same = F.lit(True)
-    for o in order:
-        same = same & F.col(o).eqNullSafe(F.col(f"__first_{o}"))
-    late = repeated.where(~same)
+    late = repeated.where(~is_first).select(*new.columns).unionByName(copies)
+    taken = taken.drop("__row")
     rejects = (
         numbered.where("__blank").drop("__blank").withColumn("reason", F.lit("key required"))
         .unionByName(taken.where("__hit").drop("__hit").withColumn("reason", F.lit("already exists")))
         .unionByName(
-            late.drop("__hit", *[f"__first_{o}" for o in order])
-            .withColumn("reason", F.lit("already exists"))
+            late.withColumn("reason", F.lit("already exists"))
         )
     )
     return base.unionByName(accepted, allowMissingColumns=True), rejects
@@ -184,14 +191,16 @@ def confirm_identity(base: DataFrame, confirmed: DataFrame, key: str = "user_id"
     """U8: flag, profile fields and the identity document from confirmed data.
 
     ``confirmed(user_id, data struct<name,dob,gender,address>, ts)``; rows without a key or data
-    are skipped; the newest confirmation of a user counts.
+    are skipped; the newest confirmation of a user counts, one without a time only where there is no
+    other, and of several of one time that with the largest hash.
     """
     usable = confirmed.where(present(F.col(key).cast("string")) & F.col("data").isNotNull())
-    newest = last_write_wins(usable, [key], ["ts"]).select(
-        key, F.col("data").alias("__data"), F.unix_timestamp("ts").alias("__at")
+    ordered = usable.withColumn("__tie", F.xxhash64(F.to_json("data")))
+    newest = last_write_wins(ordered, [key], ["ts", "__tie"]).select(
+        key, F.col("data").alias("__data"), F.unix_timestamp("ts").alias("__at"), F.lit(True).alias("__confirmed")
     )
     joined = base.join(newest, key, "left")
-    hit = F.col("__at").isNotNull()
+    hit = F.col("__confirmed").isNotNull()
     data = F.col("__data")
     document_type = base.schema["documents"].dataType.valueType
     extracted_type = document_type["extracted_data"].dataType

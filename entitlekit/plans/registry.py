@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -774,11 +775,13 @@ def confirmed_users(spark, sf):
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only without it."""
+    """A new folder under the cluster's shared checkpoint folder; a local one only on one machine without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        stamp = spark.sql("select uuid() as id").first()["id"]
-        return f"{shared}/entitlekit/{stamp}"
+        return f"{shared}/entitlekit/{uuid.uuid4()}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or "cluster" in master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="entitlekit-")
 
 

@@ -116,3 +116,11 @@ def test_stream_needs_no_state(spark):
         "'' as gender", "'' as special_category")
     matched = stream_eligibility(stream, spark.createDataFrame([make_scheme(1)], SCHEME), display=True)
     assert matched.isStreaming and "match_score" in matched.columns
+
+
+def test_tied_and_repeated_new_rows_are_accepted_or_rejected(spark):
+    base = spark.createDataFrame([("old", "x", 0)], "email string, name string, at int")
+    rows = [("a", "p", 1), ("a", "q", 1), ("a", "q", 1), ("b", "r", 2), ("b", "r", 2), (None, "s", 3), ("old", "t", 4)]
+    merged, rejects = m.insert_if_absent(base, spark.createDataFrame(rows, base.schema), "email", ["at"])
+    assert sorted(r["email"] for r in merged.collect()) == ["a", "b", "old"]
+    assert sorted(str(r["email"]) for r in rejects.collect()) == ["None", "a", "a", "b", "old"]
