@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import find_words, keyed, merge_spans, name_words, ranges, text_buffer
+from entitlekit.llm.common import find_words, keyed, merge_spans, name_words, ranges, slices, text_buffer
 
 WINDOW, SLOP, NEAR_TERMS = 13, 10, 3
 BLOCK_BYTES = 2 << 20
@@ -98,7 +98,7 @@ def plan_of(block: Block, counts: np.ndarray) -> Plan:
 
 def count_terms(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(block.terms), np.int64)
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         term = block.number(words_of(batch)[0])
         total += np.bincount(term[term >= 0], minlength=len(total))
     at = np.flatnonzero(total)
@@ -155,7 +155,7 @@ def _phrases(terms, rows, block: Block, plan: Plan):
 
 def match(batches: Iterator[pa.RecordBatch], block: Block, plan: Plan) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text", 16 << 20)):
         names, rows = words_of(batch)
         found = list(_phrases(block.number(names), rows, block, plan)) if len(plan.pivots) else []
         hits = [[] for _ in range(batch.num_rows)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import U64, checkpoint, keyed, longs, mix, name_words, ranges, rolling, span_hashes, text_buffer, white_words
+from entitlekit.llm.common import U64, checkpoint, keyed, longs, mix, name_words, ranges, rolling, slices, span_hashes, text_buffer, white_words
 from entitlekit.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -145,7 +145,7 @@ def sign(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Recor
 
 def send_members(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
     """The shingle names (and counts, if they matter) of each node, once for each pair of blocks of its buckets."""
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         nodes, out = longs(batch, "doc_id"), {k: [] for k in ("bucket", "low", "high", "node", "names")}
         wanted = batch.column("buckets").to_pylist()
         for node, buckets, (names, counts) in zip(nodes, wanted, shingle_sets(batch)):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from entitlekit.llm.common import U64, find_words, mix, span_hashes, text_buffer
+from entitlekit.llm.common import U64, find_words, mix, slices, span_hashes, text_buffer
 
 MAX_LABELLED, MAX_FEATURES, LEAST_DOCS = 20_000, 6_000, 4
 PREFIXES = (4, 5, 6)  # bytes
@@ -104,7 +104,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label with each feature, summed per task."""
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         names, rows = features(*text_buffer(batch, "text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((names, rows))
@@ -130,7 +130,7 @@ def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
 
 def _examples(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """The known features of each text, and what swapping groups in its sentences changes."""
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         data, offsets = text_buffer(batch, "text")
         rows, at = model.active(data, offsets)
         bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str = "score") -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         scores = model.score(*text_buffer(batch, "text"))
         yield batch.append_column(name, pa.array(scores))
 
