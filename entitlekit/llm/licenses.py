@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+BROADCAST_BYTES = 64 << 20  # templates are broadcast up to this measured size, and joined by a shuffle beyond
 
 # Licence notices and texts, as published.
 TEMPLATES = {
@@ -105,8 +106,8 @@ def segments(docs: DataFrame) -> DataFrame:
 def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice) of the licences found in each document, with the best Dice of its segments.
 
-    ``docs`` has doc_id and text, ``templates`` license and text (a small table: it is broadcast by the
-    optimiser only if it is below its limit); other columns are ignored. A null or empty text has no
+    ``docs`` has doc_id and text, ``templates`` license and text (broadcast if its measured size is
+    below ``BROADCAST_BYTES``); other columns are ignored. A null or empty text has no
     segment, a segment or template of fewer than two words has no bigram and matches nothing; rows
     that repeat an id count as one document; empty tables give an empty table.
     """
@@ -118,6 +119,9 @@ def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THR
     sized = known.withColumn("size", F.explode(F.sequence(
         F.ceil(F.size("template") * low - 1e-9).cast("int"), F.floor(F.size("template") * high + 1e-9).cast("int"),
     )))
+    size = sized.agg(F.sum(F.size("template") * F.lit(8) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        sized = F.broadcast(sized)
     common = F.size(F.array_intersect("grams", "template"))
     scored = (
         segments(docs).withColumn("size", F.size("grams")).join(sized, "size")
