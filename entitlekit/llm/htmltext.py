@@ -7,7 +7,9 @@ pages hold there and that of its presentation (the elements that make it up) tel
 branch is. A branch that says the same in the same form on page after page is removed from each of them.
 Pages that are copies of each other count once, so a text isn't taken for a template because it is copied.
 
-Counting is a grouped aggregation by (host, path, value), which no popular host makes uneven.
+Counting is a grouped aggregation by (host, path, value), which no popular host makes uneven. Pages stay
+in their input splits if the removed branches are small enough to be broadcast; if not, the pages of a
+host are dealt by salt to as many tasks as there are shuffle partitions, each with a copy of its branches.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import checkpoint
+from entitlekit.llm.common import buckets_of, checkpoint
 
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.15
+BROADCAST_BYTES = 64 << 20  # removed branches are broadcast up to this measured size, and joined by a shuffle beyond
 
 # Element names of HTML, and words in classes and ids that declare what isn't content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,7 +222,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+def _with_noise(sited: DataFrame, noise: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``sited`` with the list of removed branches of its host."""
+    size = noise.agg(F.sum(F.size("noise") * F.lit(8) + F.octet_length("host") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return sited.join(F.broadcast(noise), "host", "left")
+    salts = buckets_of(sited.sparkSession)
+    salted = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = sited.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)).cast("int"))
+    return dealt.join(salted.hint("shuffle_hash"), ["host", "salt"], "left")
+
+
+def extract_text(
+    pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Blocks are in page order, joined by a line end; white space inside a block is one space. A branch of
@@ -233,5 +249,5 @@ def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_impo
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"),
     )
     low = style_tree(sited).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    noise = low.groupBy("host").agg(F.collect_list("path").alias("noise"))
-    return sited.join(noise, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string")
+    noise = checkpoint(low.groupBy("host").agg(F.collect_list("path").alias("noise")))
+    return _with_noise(sited, noise, broadcast_bytes).select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string")

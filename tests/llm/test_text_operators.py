@@ -269,7 +269,9 @@ def test_html_blocks():
 def test_style_tree_removes_templates(spark):
     page = lambda k: f"<body><div class=promo2><p>Read our offer</p></div><div class=story><p>{_text(k, 30)}</p></div>"
     rows = [(k, f"http://a.example/{k}", page(k)) for k in range(8)] + [(20 + k, "https://b.example/", page(99)) for k in range(9)] + [(50, None, None)]
-    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(_frame(spark, rows, "page_id long, url string, html string")).collect()}
+    pages = _frame(spark, rows, "page_id long, url string, html string").withColumn("salt", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(pages).collect()}
+    assert got == {r["page_id"]: r["text"] for r in htmltext.extract_text(pages, broadcast_bytes=0).collect()}
     assert all(got[k] == _text(k, 30) for k in range(8))
     assert all(_text(99, 30) in got[20 + k] for k in range(9)) and got[50] == ""
 
