@@ -171,8 +171,8 @@ def _members(out: dict) -> pa.RecordBatch:
 def link_group(nodes: np.ndarray, packed: list[bytes], weighted: bool, threshold: float) -> list[tuple[int, int]]:
     """Links that join all nodes which pairs at ``threshold`` or more connect, and no others.
 
-    Shingles of one node alone meet nothing, so the others are kept as bits. A node is compared with all
-    others unless it is in the largest component by then: within it no pair needs to be looked at.
+    Shingles of one node alone meet nothing, so the others are kept as bits. Nodes are compared with all
+    others until those left are in one component: a pair is in it, or one of the two was compared.
     """
     order = np.argsort(nodes, kind="stable")
     tables = [np.frombuffer(packed[i], U64) for i in order]
@@ -196,10 +196,14 @@ def link_group(nodes: np.ndarray, packed: list[bytes], weighted: bool, threshold
     root = np.arange(len(nodes))
     links = []
     degree = np.bincount(owner[shared], minlength=len(nodes)) / np.maximum(sizes, 1)
-    for i in np.argsort(-degree, kind="stable"):
-        biggest = np.bincount(root).argmax()
-        if root[i] == biggest and (root == biggest).sum() > 1:
-            continue
+    left = np.argsort(-degree, kind="stable")
+    while len(left):
+        inside = np.bincount(root[left])
+        biggest = inside.argmax()
+        if inside[biggest] == len(left):
+            break
+        at = 0 if inside[biggest] == 1 else int((root[left] != biggest).argmax())
+        i, left = left[at], np.delete(left, at)
         common = np.bitwise_count(bits & bits[i]).sum(1, dtype=np.int64)
         near = (common >= threshold * (sizes + sizes[i] - common) - 1e-9) & (root != root[i])
         for j in np.flatnonzero(near):

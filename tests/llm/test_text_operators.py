@@ -184,6 +184,35 @@ def test_near_classes_equal_brute_force(spark):
     assert Counter(map(tuple, minhash.near_classes(_frame(spark, rows)).collect())) == want
 
 
+def test_links_of_a_group_equal_brute_force():
+    def linked(nodes, sets, weighted=False):
+        root = {n: n for n in nodes}
+        for a, b in minhash.link_group(np.array(nodes), [np.array(sorted(s), np.uint64).tobytes() for s in sets], weighted, 0.8):
+            ra, rb = root[a], root[b]
+            root = {n: rb if r == ra else r for n, r in root.items()}
+        return [[root[a] == root[b] for b in nodes] for a in nodes]
+
+    def brute(sets):
+        reach = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+        for _ in sets:
+            reach = reach @ reach
+        return reach.tolist()
+
+    # i-x, b-y, b-z and the bridge x-y; the star of b is larger and has shingles of its own, so it comes second
+    core = set(range(100))
+    x, y = core, (core - set(range(10))) | {200, 201}
+    i = core - set(range(90, 100))
+    b = (y - set(range(10, 20))) | {300}
+    z = (b - set(range(20, 28))) | {400}
+    sets = [i, x, b, y, z]
+    want = brute(sets)
+    assert want[1][3] and linked([1, 2, 3, 4, 5], sets) == want
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sets = [set(range(40)) - set(rng.choice(40, rng.integers(0, 9), replace=False).tolist()) | set(rng.integers(40, 50, rng.integers(0, 4)).tolist()) for _ in range(12)]
+        assert linked(list(range(12)), sets) == brute(sets)
+
+
 def test_signatures_estimate_weighted_similarity():
     names = np.arange(300, dtype=np.uint64) * np.uint64(7919) + np.uint64(1)
     x = (names[:200], np.linspace(0.5, 3.0, 200))
