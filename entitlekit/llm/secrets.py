@@ -2,15 +2,16 @@
 
 A document is the first layer of a worklist. Each layer is searched, and what it encodes becomes new
 layers: lines with percent escapes, lines with Unicode escapes, and runs of base64, whose bytes may be
-compressed. A layer that was seen before is not searched again, so the list ends at a fixpoint even
-where decoding goes in a circle. Every character of a layer knows the code points of the document that
-it comes from, and a secret found in a layer is reported there.
+compressed. A text that was seen before is not searched again, so the list ends even where decoding
+goes in a circle. Every character of a layer knows the code points of the text around it that it comes
+from, and the secrets of a text are carried to every place that it was found at, up to the document.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -53,16 +54,12 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Layer:
-    """A text, and where in the document each of its characters comes from."""
+    """A text, and where in the text around it each of its characters comes from."""
 
     text: str
     starts: np.ndarray
     ends: np.ndarray
 
-    def part(self, text: str, lo: np.ndarray, hi: np.ndarray) -> Layer:
-        """A layer whose characters come from [lo, hi) of this one."""
-        return Layer(text, self.starts[lo], self.ends[hi - 1])
-
 
 def _lines(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
     """The lines in which the pattern occurs, each once."""
@@ -109,7 +106,7 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def _bytes_layer(layer: Layer, data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
+def _bytes_layer(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
     """The text of decoded bytes; what was compressed comes from all of them."""
     inflated, seen = False, set()
     while (more := _inflate(data)) is not None and more not in seen:
@@ -119,27 +116,27 @@ def _bytes_layer(layer: Layer, data: bytes, lo: np.ndarray, hi: np.ndarray) -> L
     if text is None:
         return None
     if inflated:
-        return layer.part(text, np.full(len(text), lo[0]), np.full(len(text), hi[-1]))
-    return layer.part(*_characters(data, lo, hi))
+        return Layer(text, np.full(len(text), lo[0]), np.full(len(text), hi[-1]))
+    return Layer(*_characters(data, lo, hi))
 
 
-def percent_layers(layer: Layer) -> Iterator[Layer]:
-    for a, b in _lines(layer.text, PERCENT):
+def percent_layers(whole: str) -> Iterator[Layer]:
+    for a, b in _lines(whole, PERCENT):
         data, lo, hi, at = bytearray(), [], [], a
-        for m in PERCENT.finditer(layer.text, a, b):
-            _plain(layer.text, at, m.start(), data, lo, hi)
-            data.append(int(layer.text[m.start() + 1 : m.end()], 16))
+        for m in PERCENT.finditer(whole, a, b):
+            _plain(whole, at, m.start(), data, lo, hi)
+            data.append(int(whole[m.start() + 1 : m.end()], 16))
             lo.append(m.start())
             hi.append(m.end())
             at = m.end()
-        _plain(layer.text, at, b, data, lo, hi)
+        _plain(whole, at, b, data, lo, hi)
         lo, hi = np.array(lo), np.array(hi)
-        yield layer.part(*_characters(bytes(data), lo, hi))
-        for m in re.finditer(r"(?:%[0-9A-Fa-f]{2}){6,}", layer.text[a:b]):  # bytes that are no text may be compressed
+        yield Layer(*_characters(bytes(data), lo, hi))
+        for m in re.finditer(r"(?:%[0-9A-Fa-f]{2}){6,}", whole[a:b]):  # bytes that are no text may be compressed
             run = bytes.fromhex(m[0].replace("%", ""))
             if _inflate(run) is not None:
                 first = np.arange(a + m.start(), a + m.end(), 3)
-                if (inner := _bytes_layer(layer, run, first, first + 3)) is not None:
+                if (inner := _bytes_layer(run, first, first + 3)) is not None:
                     yield inner
 
 
@@ -151,14 +148,14 @@ def _plain(text: str, a: int, b: int, data: bytearray, lo: list, hi: list) -> No
         hi += [i + 1] * len(raw)
 
 
-def escape_layers(layer: Layer) -> Iterator[Layer]:
-    for a, b in _lines(layer.text, ESCAPE):
+def escape_layers(whole: str) -> Iterator[Layer]:
+    for a, b in _lines(whole, ESCAPE):
         out, lo, hi, at = [], [], [], a
-        for m in ESCAPE.finditer(layer.text, a, b):
+        for m in ESCAPE.finditer(whole, a, b):
             code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
             if code > 0x10FFFF:
                 continue
-            out += layer.text[at : m.start()]
+            out += whole[at : m.start()]
             lo += range(at, m.start())
             hi += range(at + 1, m.start() + 1)
             char = chr(code)
@@ -170,48 +167,62 @@ def escape_layers(layer: Layer) -> Iterator[Layer]:
                 lo.append(m.start())
                 hi.append(m.end())
             at = m.end()
-        out += layer.text[at:b]
+        out += whole[at:b]
         lo += range(at, b)
         hi += range(at + 1, b + 1)
         if out:
-            yield layer.part("".join(out), np.array(lo), np.array(hi))
+            yield Layer("".join(out), np.array(lo), np.array(hi))
 
 
-def base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
+def base64_layers(whole: str) -> Iterator[Layer]:
+    for m in BASE64.finditer(whole):
         places = np.array([m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n="])
-        run = "".join(layer.text[i] for i in places)
+        run = "".join(whole[i] for i in places)
         if len(run) % 4 == 1:
             continue
         data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         byte = np.arange(len(data))
         lo = places[byte * 8 // 6]
         hi = places[np.minimum((byte * 8 + 7) // 6, len(places) - 1)] + 1
-        if data and (inner := _bytes_layer(layer, data, lo, hi)) is not None:
+        if data and (inner := _bytes_layer(data, lo, hi)) is not None:
             yield inner
 
 
 def scan(text: str) -> tuple[list, list]:
     """(secrets written in the text, all secrets), each (start, kind, end) and sorted."""
     base = find_secrets(text)
-    place = np.arange(len(text))
-    work, seen, found = [Layer(text, place, place + 1)], {text}, set(base)
+    number, found, places = {_name(text): 0}, [set(base)], [[]]
+    work = [(0, _layers(text))]
     while work:
-        layer = work.pop()
-        for layers in (percent_layers, escape_layers, base64_layers):
-            for inner in layers(layer):
-                if inner.text in seen:
-                    # the same text again, from another place: its secrets are there too
-                    found |= _placed(inner)
-                    continue
-                seen.add(inner.text)
-                found |= _placed(inner)
-                work.append(inner)
-    return base, sorted(found)
-
-
-def _placed(layer: Layer) -> set:
-    return {(int(layer.starts[a]), kind, int(layer.ends[b - 1])) for a, kind, b in find_secrets(layer.text)}
+        around, layers = work[-1]
+        layer = next(layers, None)
+        if layer is None:
+            work.pop()
+            continue
+        inner = number.setdefault(_name(layer.text), len(found))
+        if inner == len(found):
+            found.append(set(find_secrets(layer.text)))
+            places.append([])
+            work.append((inner, _layers(layer.text)))
+        places[inner].append((around, layer.starts, layer.ends))
+    carry = {i for i, secrets in enumerate(found) if secrets}
+    while carry:
+        inner = carry.pop()
+        for around, starts, ends in places[inner]:
+            more = {(int(starts[a]), kind, int(ends[b - 1])) for a, kind, b in found[inner]} - found[around]
+            if more:
+                found[around] |= more
+                carry.add(around)
+    return base, sorted(found[0])
+
+
+def _layers(text: str) -> Iterator[Layer]:
+    for layers in (percent_layers, escape_layers, base64_layers):
+        yield from layers(text)
+
+
+def _name(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def redact(text: str, spans: list) -> str:

@@ -279,6 +279,23 @@ def test_secrets_in_layers(spark):
     assert [tuple(r) for r in masked] == [(1, "é [SECRET]", 10), (None, None, None)]
 
 
+def test_repeated_secrets_in_layers():
+    import base64
+    import zlib
+    from urllib.parse import quote
+
+    once = lambda t: base64.b64encode(t if isinstance(t, bytes) else t.encode()).decode()
+    inner = once("password=hunter22222")
+    for coded in (once(inner), once(once(inner)), quote(inner.replace("p", "%70"), safe=""), once(zlib.compress(inner.encode())), once("x " + quote("token: 'abcdefgh1'", safe=""))):
+        text = f"a {coded} b\nand\nc {coded} d\n{coded}"
+        base, every = secrets.scan(text)
+        starts = [m.start() for m in re.finditer(re.escape(coded), text)]
+        assert not base and len(starts) == 3
+        for start in starts:
+            assert any(start <= a < b <= start + len(coded) for a, _, b in every), (coded, start)
+        assert "[SECRET]" in (masked := secrets.redact(text, every)) and coded not in masked
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     rows = [(1, "intro\n" + licenses.TEMPLATES["mit-notice"] + "\nmore"), (2, mit), (3, "some text\n\n" + mit.replace("Software", "Program", 2) + "\n\nend"), (4, None), (5, ""), (6, "word"), (1, "again")]
