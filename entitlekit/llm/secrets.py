@@ -9,7 +9,7 @@ from, and the secrets of a text are carried to every place that it was found at,
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import lzma
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,14 @@ PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]+(?==))?={0,2}")
 LEAST_RUN = 16
-INFLATED = 64 << 20  # bytes that one compressed layer may grow to
+CHUNK = 4 << 20  # bytes that are inflated at once
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda\x20\x3f\x7d\xbb\xf9]", re.S)
+#: Bytes without any of these hold no secret, nothing encoded and no text of two-byte characters.
+PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|(?:[\x01-\x7f]\x00){8}")
+WIDE = re.compile(rb"\x00?(?:[\x01-\x7f]\x00){7,}[\x01-\x7f]?")  # ASCII in UTF-16 of either order
+#: Places that no pattern reaches across, in bytes or in two-byte characters.
+GAP = re.compile(rb"[^A-Za-z0-9+/_=\r\n\x00-](?:\r?\n)(?!\x00)|\n(?=[^A-Za-z0-9+/_\r\n\x00-])|\x00\x00(?=\x00)|[\x80-\xff](?=[\x80-\xff])")
+PLAIN = str.maketrans("-_", "+/", "\r\n=")
 KEYWORDS = (b"passw", b"secret", b"token", b"key")
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
@@ -82,42 +90,140 @@ def _characters(data: bytes, lo: np.ndarray, hi: np.ndarray):
     return text, lo[ends - sizes], hi[ends - 1]
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """``data`` decompressed, if it is in a compressed form."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, INFLATED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, INFLATED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, INFLATED)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
+def _decoder(head: bytes):
+    """A decompressor for what begins with ``head``, if that is a compressed form."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _readable(data: bytes) -> str | None:
+def _feed(decoder, data: bytes) -> Iterator[bytes]:
+    while not decoder.eof:
+        out = decoder.decompress(data, CHUNK)
+        data = getattr(decoder, "unconsumed_tail", b"")
+        if out:
+            yield out
+        elif not data:
+            return
+
+
+def _inflate(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of all members of a compressed stream; what follows them comes as it is."""
+    decoder, data, some, plain = None, b"", False, False
+    for part in parts:
+        data += part
+        while data:
+            if plain:
+                yield data
+                data = b""
+                break
+            if decoder is None:
+                if len(data) < 6:
+                    break
+                decoder = _decoder(data)
+                if decoder is None:
+                    plain = True
+                    continue
+            try:
+                for out in _feed(decoder, data):
+                    some = True
+                    yield out
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                if not some:
+                    return
+                plain = True  # damaged
+                continue
+            data = b""
+            if decoder.eof:
+                data, decoder = decoder.unused_data, None
+    if data:
+        yield data
+
+
+def _unpacked(data: bytes):
+    """A reader of what ``data`` is when decompressed, as often as it is compressed; None if it isn't."""
+    read, seen = (lambda: iter((data,))), set()
+    packed = False
+    while True:
+        head = b""
+        for part in read():
+            head += part
+            if len(head) >= 6:
+                break
+        if _decoder(head) is None or next(_inflate(read()), None) is None:
+            break
+        inner, digest = partial(lambda outer: _inflate(outer()), read), hashlib.blake2b(digest_size=16)
+        for part in inner():
+            digest.update(part)
+        if digest.digest() in seen:  # it inflates to itself
+            break
+        seen.add(digest.digest())
+        read, packed = inner, True
+    return read if packed else None
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream cut at places that no pattern reaches across; a piece grows until there is one."""
+    data, known = b"", 0
+    for part in parts:
+        data += part
+        cut, least = 0, max(0, known - 3)
+        for begin in (max(least, len(data) - 4096), least):  # the last one is mostly near the end
+            for m in GAP.finditer(data, begin):
+                cut = m.end()
+            if cut:
+                break
+        if cut and cut < len(data):
+            yield data[:cut]
+            data = data[cut:]
+        known = len(data)
+    if data:
+        yield data
+
+
+def _text(data: bytes) -> str:
+    """UTF-8, or a character for each byte: the patterns are ASCII."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return data.decode("latin-1")
+
+
+def _wide(data: bytes) -> Iterator[tuple[str, int]]:
+    """(text, place) of ASCII in two-byte characters; each stands at 2 bytes from the place on."""
+    if b"\x00" in data:
+        for m in WIDE.finditer(data):
+            first = m.start() + (data[m.start()] == 0)
+            yield data[first : m.end() : 2].decode("ascii"), first
 
 
-def _bytes_layer(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
-    """The text of decoded bytes; what was compressed comes from all of them."""
-    inflated, seen = False, set()
-    while (more := _inflate(data)) is not None and more not in seen:
-        seen.add(more)
-        data, inflated = more, True
-    text = _readable(data)
-    if text is None:
-        return None
-    if inflated:
-        return Layer(text, np.full(len(text), lo[0]), np.full(len(text), hi[-1]))
-    return Layer(*_characters(data, lo, hi))
+def _bytes_layers(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Iterator[Layer]:
+    """The texts of decoded bytes; what was compressed comes from all bytes from its beginning on."""
+    if PROMISING.search(data):
+        yield Layer(*_characters(data, lo, hi))
+        for text, first in _wide(data):
+            at = first + 2 * np.arange(len(text))
+            yield Layer(text, lo[at], hi[at])
+    yield from _packed_layers(data, lo, hi)
+
+
+def _packed_layers(data: bytes, lo: np.ndarray, hi: np.ndarray) -> Iterator[Layer]:
+    starts = {m.start() for m in MAGIC.finditer(data)}
+    if _decoder(data) is not None:
+        starts.add(0)
+    for start in sorted(starts):
+        if (read := _unpacked(data[start:] if start else data)) is None:
+            continue
+        for piece in _pieces(read()):
+            if PROMISING.search(piece):
+                for text in (_text(piece), *(t for t, _ in _wide(piece))):
+                    yield Layer(text, np.broadcast_to(lo[start], len(text)), np.broadcast_to(hi[-1], len(text)))
 
 
 def percent_layers(whole: str) -> Iterator[Layer]:
@@ -132,12 +238,12 @@ def percent_layers(whole: str) -> Iterator[Layer]:
         _plain(whole, at, b, data, lo, hi)
         lo, hi = np.array(lo), np.array(hi)
         yield Layer(*_characters(bytes(data), lo, hi))
+        for text, first in _wide(bytes(data)):
+            at = first + 2 * np.arange(len(text))
+            yield Layer(text, lo[at], hi[at])
         for m in re.finditer(r"(?:%[0-9A-Fa-f]{2}){6,}", whole[a:b]):  # bytes that are no text may be compressed
-            run = bytes.fromhex(m[0].replace("%", ""))
-            if _inflate(run) is not None:
-                first = np.arange(a + m.start(), a + m.end(), 3)
-                if (inner := _bytes_layer(run, first, first + 3)) is not None:
-                    yield inner
+            first = np.arange(a + m.start(), a + m.end(), 3)
+            yield from _packed_layers(bytes.fromhex(m[0].replace("%", "")), first, first + 3)
 
 
 def _plain(text: str, a: int, b: int, data: bytearray, lo: list, hi: list) -> None:
@@ -175,17 +281,20 @@ def escape_layers(whole: str) -> Iterator[Layer]:
 
 
 def base64_layers(whole: str) -> Iterator[Layer]:
+    """A run may begin or go on with characters that only look like it, so it is decoded at each alignment."""
     for m in BASE64.finditer(whole):
-        places = np.array([m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n="])
-        run = "".join(whole[i] for i in places)
-        if len(run) % 4 == 1:
-            continue
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        byte = np.arange(len(data))
-        lo = places[byte * 8 // 6]
-        hi = places[np.minimum((byte * 8 + 7) // 6, len(places) - 1)] + 1
-        if data and (inner := _bytes_layer(data, lo, hi)) is not None:
-            yield inner
+        run, places = m[0].translate(PLAIN), None
+        for shift in range(4):
+            size = len(run) - shift
+            size -= size % 4 == 1
+            data = binascii.a2b_base64(run[shift : shift + size] + "=" * (-size % 4))
+            if PROMISING.search(data) or MAGIC.search(data) or _decoder(data) is not None:
+                if places is None:
+                    places = np.array([m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n="])
+                byte = np.arange(len(data))
+                lo = places[shift + byte * 8 // 6]
+                hi = places[shift + np.minimum((byte * 8 + 7) // 6, size - 1)] + 1
+                yield from _bytes_layers(data, lo, hi)
 
 
 def scan(text: str) -> tuple[list, list]:
@@ -317,7 +426,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are in code points, the end exclusive, by start and kind. ``docs`` has doc_id and text; other
     columns are ignored. A null or empty text has no secret; repeated rows are searched each; an empty
-    table gives an empty table. A compressed layer is read up to ``INFLATED`` bytes.
+    table gives an empty table.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(scan_batches, SCHEMA)

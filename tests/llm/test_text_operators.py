@@ -296,6 +296,36 @@ def test_repeated_secrets_in_layers():
         assert "[SECRET]" in (masked := secrets.redact(text, every)) and coded not in masked
 
 
+def test_secrets_in_bytes_of_any_kind(monkeypatch):
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+    from urllib.parse import quote
+
+    plain = "password=hunter22222"
+    once = lambda t: base64.b64encode(t if isinstance(t, bytes) else t.encode()).decode()
+    cases = [plain.encode("utf-16"), plain.encode("utf-16-be"), b"\xef\xbb\xbf" + plain.encode(), b"\0user\0" + plain.encode(), "clé\u00a0: é ".encode() + plain.encode(),
+             b"\xff\xfe\x01 " + plain.encode(), ("\u202e\x1b[0m " + plain).encode(), *(pack(b"first") + pack(plain.encode()) for pack in (gzip.compress, bz2.compress, lzma.compress)),
+             gzip.compress("é".encode() * 50 + b"\xff " + plain.encode()), gzip.compress(zlib.compress(plain.encode())), gzip.compress(plain.encode("utf-16"))]
+    for data in cases:
+        text = f"é {once(data)} end"
+        (a, _, b), *_ = secrets.scan(text)[1]
+        assert 2 <= a < b <= len(text) - 4, data
+    assert secrets.scan("x " + quote(plain.encode("utf-16-le")) + " y")[1]
+    for before in ("/", "/conf/", "abc", "key_"):
+        for coded in (once(plain), once(gzip.compress(plain.encode()))):
+            assert secrets.scan(f"{before}{coded}\nabcdefghijklmnopqrs")[1], (before, coded)
+    assert secrets.scan("abcdefghijklmnopqrst\nx" + once(plain))[1]
+    # beyond the old bound, with the secret far behind and a piece end inside a character
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 20)
+    body = "é".encode() * (33 << 20) + b" " + plain.encode() + b" " + b"\xc3\xa9" * 5
+    assert secrets.scan("x " + once(zlib.compress(body, 1)) + " y")[1]
+    parts = list(secrets._pieces(iter([b"a b\nc: ", b"dd;\n passw", b"ord=abcdefgh1\n", b"\xff\xffend"])))
+    assert b"".join(parts) == b"a b\nc: dd;\n password=abcdefgh1\n\xff\xffend" and any(b"password=abcdefgh1" in p for p in parts)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     rows = [(1, "intro\n" + licenses.TEMPLATES["mit-notice"] + "\nmore"), (2, mit), (3, "some text\n\n" + mit.replace("Software", "Program", 2) + "\n\nend"), (4, None), (5, ""), (6, "word"), (1, "again")]
