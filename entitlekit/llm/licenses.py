@@ -4,6 +4,10 @@ Texts are normalised to lower-case words. Each line, each paragraph of several l
 are compared with the templates as sets of word bigrams: Dice = 2 |A and B| / (|A| + |B|). Dice can reach
 the threshold t only if t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a template meets only the segments of
 a size within these bounds: it is listed under each of them, and an equi-join on the size finds them.
+
+A licence may also stand inside other text as several lines, paragraphs or sentences. A text in which a
+stretch reaches t holds t / (2 - t) of a template's bigrams, so one of any 1 - t / (2 - t) of them and one
+more; only texts that do are cut into stretches of consecutive lines and sentences of a template's length.
 """
 
 from __future__ import annotations
@@ -103,6 +107,52 @@ def segments(docs: DataFrame) -> DataFrame:
     )
 
 
+def _units(text):
+    """The words of each line, and of each sentence of a line."""
+    marked = F.regexp_replace(text, r"(?<=[.!?:;])[ \t]+", "\n")
+    units = F.transform(F.split(_normal(marked), "\n"), lambda u: F.array_remove(F.split(u, " +"), ""))
+    return F.filter(units, lambda u: F.size(u) > 0)
+
+
+def _groups(known: DataFrame, low: float, size: int) -> DataFrame:
+    """Rows of (probes, group): templates of about 8 MB, and bigrams of which a text with a match holds one."""
+    needed = F.ceil(F.size("template") * low - 1e-9).cast("int")
+    probes = F.slice("template", F.lit(1), F.size("template") - needed + 1)
+    return (
+        known.select("license", "template", F.size("words").alias("length"), probes.alias("probes"), needed.alias("needed"))
+        .groupBy(F.pmod(F.xxhash64("license", "template"), F.lit(size // (8 << 20) + 1)))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("probes"))).alias("probes"),
+            F.collect_list(F.struct("license", "template", "length", "needed")).alias("group"),
+        ).select("probes", "group")
+    )
+
+
+def stretches(docs: DataFrame, groups: DataFrame, low: float, high: float) -> DataFrame:
+    """(doc_id, license, template, grams) of the consecutive lines and sentences that may match a template."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select("doc_id", _units(text).alias("units")).withColumn("words", F.flatten("units"))
+    grams = whole.where(F.size("words") > 1).select("doc_id", "units", _bigrams("words").alias("all"))
+    met = grams.crossJoin(groups).where(F.arrays_overlap("all", "probes"))
+    likely = F.filter("group", lambda t: F.size(F.array_intersect(t["template"], F.col("all"))) >= t["needed"])
+    pairs = met.select("doc_id", "units", F.explode(likely).alias("t")).select("doc_id", "units", "t.*")
+    starts = pairs.select("*", F.posexplode(F.transform("units", lambda u: F.size(u))).alias("at", "first"))
+    # how many units from here on have a number of words that fits
+    least, most = F.floor(F.col("length") * low), F.ceil(F.col("length") * high)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("fit"))
+
+    def add(state, unit):
+        n, words = state["n"] + 1, state["words"] + F.size(unit)
+        fit = F.when((words >= least) & (words <= most), F.concat(state["fit"], F.array(n))).otherwise(state["fit"])
+        return F.struct(n.alias("n"), words.alias("words"), fit.alias("fit"))
+
+    window = F.slice("units", F.col("at") + 1, most.cast("int"))
+    fit = F.aggregate(window, none, add, lambda state: state["fit"])
+    chosen = starts.where("first > 0").select("doc_id", "license", "template", "units", "at", F.explode(fit).alias("n"))
+    words = chosen.select("doc_id", "license", "template", F.flatten(F.slice("units", F.col("at") + 1, F.col("n"))).alias("words"))
+    return words.where(F.size("words") > 1).select("doc_id", "license", "template", _bigrams("words").alias("grams"))
+
+
 def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice) of the licences found in each document, with the best Dice of its segments.
 
@@ -114,17 +164,19 @@ def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THR
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = (
         templates.select("license", F.array_remove(F.split(_normal(F.coalesce("text", F.lit(""))), r"[ \n]+"), "").alias("words"))
-        .where(F.size("words") > 1).select("license", _bigrams("words").alias("template"))
+        .where(F.size("words") > 1).select("license", "words", _bigrams("words").alias("template"))
     )
-    sized = known.withColumn("size", F.explode(F.sequence(
+    sized = known.drop("words").withColumn("size", F.explode(F.sequence(
         F.ceil(F.size("template") * low - 1e-9).cast("int"), F.floor(F.size("template") * high + 1e-9).cast("int"),
     )))
     size = sized.agg(F.sum(F.size("template") * F.lit(8) + 64)).first()[0] or 0
+    groups = _groups(known, low, size)
     if size <= BROADCAST_BYTES:
-        sized = F.broadcast(sized)
+        sized, groups = F.broadcast(sized), F.broadcast(groups)
     common = F.size(F.array_intersect("grams", "template"))
+    alone = segments(docs).withColumn("size", F.size("grams")).join(sized, "size").select("doc_id", "license", "template", "grams")
     scored = (
-        segments(docs).withColumn("size", F.size("grams")).join(sized, "size")
+        alone.unionByName(stretches(docs, groups, low, high))
         .select("doc_id", "license", (2.0 * common / (F.size("grams") + F.size("template"))).alias("dice"))
         .where(F.col("dice") >= threshold)
     )

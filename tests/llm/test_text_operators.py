@@ -333,6 +333,27 @@ def test_licenses(spark):
     assert got == {(1, "mit-notice", "mit-notice"), (2, "mit", "mit"), (3, "mit", "mit"), (4, "", None), (5, "", None), (6, "", None)}
 
 
+def test_licenses_of_several_paragraphs_inside_a_text(spark):
+    def published(name, breaks, mark=""):
+        text = licenses.TEMPLATES[name]
+        for b in breaks:
+            assert b in text.replace("\n", " ")
+            text = re.sub(re.escape(b).replace(r"\ ", r"\s"), "\n\n" + b, text)
+        return "\n".join(mark + line for line in text.split("\n"))
+
+    mit = published("mit", ["The above copyright", "THE SOFTWARE IS PROVIDED"])
+    apache = published("apache-2.0-header", ["You may obtain", "http://www", "Unless required"], "# ")
+    gpl = published("gpl-3.0-header", ["This program is distributed", "You should have"], " * ")
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}\n" for i in range(30))
+    prose = _text(9, 300)
+    notice = licenses.TEMPLATES["mit-notice"]
+    rows = [(1, f"# Title\n\n{prose}\n\n{mit}\n\n{code}"), (2, f"{apache}\n\n{code}"), (3, f"/*\n{gpl}\n */\n{code}"), (4, f"{prose}. {notice} {prose}"),
+            (5, f"{prose}. {' '.join(mit.split())} {prose}"), (6, f"{prose}\n{code}")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.licenses_of(_frame(spark, rows), licenses.templates_table(spark)).collect()}
+    wanted = {1: "mit", 2: "apache-2.0-header", 3: "gpl-3.0-header", 4: "mit-notice", 5: "mit"}
+    assert all(name in got[k].split(",") for k, name in wanted.items()) and got[6] == "", got
+
+
 def test_html_blocks():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav>
     <div class="cookie-notice">cookies</div><header>site</header><article class=post><h1>A &amp; B</h1><p>one
