@@ -140,3 +140,41 @@ WITH templates(license, text) AS (VALUES """ + _TEMPLATES + r"""
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, best_license, best_dice
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
 """
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds one after another: every part against every entry of its position, then the floors of the means."""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::HUGEINT) AS v,
+    row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT n, k, list_slice(v, k * (len(v) // {parts}) + 1, (k + 1) * (len(v) // {parts})) AS part FROM kept, range({parts}) AS t(k)
+), book0 AS MATERIALIZED (
+  SELECT k, n - 1 AS e, part AS entry FROM parts WHERE n <= {entries}
+)"""
+    for r in range(rounds + 1):
+        sql += f""", near{r} AS MATERIALIZED (
+  SELECT n, k, any_value(part) AS part, min(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + e) AS best
+  FROM parts JOIN book{r} USING (k) GROUP BY n, k
+)"""
+        if r < rounds:
+            sql += f""", sums{r} AS (
+  SELECT k, best % {entries} AS e, p, sum(part[p])::HUGEINT AS s, count(*)::HUGEINT AS c
+  FROM (SELECT k, best, part, unnest(range(1, len(part) + 1)) AS p FROM near{r}) GROUP BY ALL
+), moved{r} AS (
+  SELECT k, e, list((s - ((s % c) + c) % c) // c ORDER BY p) AS entry FROM sums{r} GROUP BY k, e
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.k, b.e, coalesce(m.entry, b.entry) AS entry FROM book{r} b LEFT JOIN moved{r} m ON b.k = m.k AND b.e = m.e
+)"""
+    return sql + f""", coded AS (
+  SELECT n, string_agg(lower(printf('%02x', (best % {entries})::BIGINT)), '' ORDER BY k) AS code, sum(best // {entries}) AS error FROM near{rounds} GROUP BY n
+)
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY k, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (n)
+"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _vector_codes()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity
+from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity, vectorcodes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -92,3 +92,13 @@ def op5_html_extraction(spark, sf):
     """The main text of every page."""
     found = htmltext.extract_text(read(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_vector_codes(spark, sf):
+    """The code of every vector, and the error that each label's codes add up to."""
+    vectors = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    books = vectorcodes.train_codebooks(vectors)
+    coded = vectorcodes.with_label_error(vectorcodes.encode_vectors(vectors, books))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
