@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, suffixes, toxicity, vectorcodes
+from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, sharding, suffixes, toxicity, vectorcodes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -102,3 +102,12 @@ def op11_vector_codes(spark, sf):
     coded = vectorcodes.with_label_error(vectorcodes.encode_vectors(vectors, books))
     digest = F.lit(books.digest() if books else None).cast("string")
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+@query
+def op12_histogram_shards(spark, sf):
+    """The shard of every document and its slot there, by the law of near equal bytes."""
+    dealt = sharding.shard_by_bytes(sharding.document_sizes(read(spark, sf, "documents")))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
