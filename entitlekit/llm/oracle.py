@@ -178,3 +178,41 @@ FROM kept JOIN coded USING (n)
 
 
 ORACLE_SQL["op11_vector_codes"] = _vector_codes()
+
+ORACLE_SQL["op13_source_divergence"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), in_doc AS MATERIALIZED (
+  SELECT n, lang, source, term, count(*) AS c FROM (SELECT n, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, sum(c)::HUGEINT AS lang_count FROM in_doc GROUP BY ALL HAVING count(*) >= 10
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(lang_count)::HUGEINT AS total FROM kept GROUP BY lang
+), groups AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM docs
+), held AS MATERIALIZED (
+  SELECT i.lang, i.source, i.term, sum(c)::HUGEINT AS c FROM in_doc i JOIN kept k ON i.lang = k.lang AND i.term = k.term GROUP BY ALL
+), sizes AS (
+  SELECT lang, source, sum(c)::HUGEINT AS total FROM held GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c,
+    (1 + (1000000000 * (coalesce(h.c, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.v))::HUGEINT AS p,
+    (1 + (1000000000 * (k.lang_count + 2)) // (l.total + 2 * l.v))::HUGEINT AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN sizes s ON g.lang = s.lang AND g.source = s.source
+  LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source AND k.term = h.term
+), sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), pairs AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares WHERE c > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""

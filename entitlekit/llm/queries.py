@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entitlekit.llm import decontamination, htmltext, licenses, minhash, packing, quality, recompression, secrets, sharding, suffixes, toxicity, vectorcodes
+from entitlekit.llm import decontamination, divergence, htmltext, licenses, minhash, packing, quality, recompression, secrets, sharding, suffixes, toxicity, vectorcodes
 from entitlekit.llm.common import read
 
 QUERIES = {}
@@ -111,3 +111,9 @@ def op12_histogram_shards(spark, sf):
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op13_source_divergence(spark, sf):
+    """How far the sources of each language are apart, and the terms that each uses more than its language."""
+    return divergence.audit_sources(read(spark, sf, "documents"))
