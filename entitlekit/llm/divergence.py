@@ -180,11 +180,9 @@ def kept_counts(numbered: DataFrame, least_docs: int = LEAST_DOCS, digest_bits:
 
 
 def _often(counted: DataFrame, least_docs: int) -> DataFrame:
-    """The rows of terms that ``least_docs`` documents of their language hold."""
-    often = counted.groupBy("lang", "digest", "split").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    often = often.select(*(F.col(c).alias(f"its_{c}") for c in often.columns))
-    same = (F.col("lang") == F.col("its_lang")) & (F.col("digest") == F.col("its_digest")) & F.col("split").eqNullSafe(F.col("its_split"))
-    return counted.join(often, same, "left_semi").select("lang", "source", "digest", "split", "count")
+    """The rows of terms that ``least_docs`` documents of their language hold; a term has a row for each source at most."""
+    held = F.sum("docs").over(Window.partitionBy("lang", "digest", "split"))
+    return counted.withColumn("held", held).where(F.col("held") >= least_docs).select("lang", "source", "digest", "split", "count")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -202,61 +200,57 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def _block_sums(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Sums over the terms of one block of how much more a pair of sources differs there than where neither has the term.
+    """How far the sources of two blocks are apart in the terms of one block.
 
-    Rows: (place of the source, its share ``p`` of the term ``digest``, or of a term it lacks where that is null).
+    Rows: a source's share ``p`` of the term (``digest``, ``split``) that it has, and for each source
+    a row of ``kind`` 0 with its share of any term that it lacks. In a language's first block of terms,
+    all of its terms count for those that neither source has.
     """
-    first, second = key[1].as_py(), key[2].as_py()
+    lang, first, second, chunk = (k.as_py() for k in key)
     place, p = table["place"].to_numpy(), table["p"].to_numpy()
     base = table["kind"].to_numpy() == 0
     places, at = np.unique(place[base], return_index=True)
     zero = p[base][at]
+    all_terms = int(table["terms"][0].as_py()) if chunk == 0 else 0
     names = pa.table([table["digest"].combine_chunks(), table["split"].combine_chunks()], names=["digest", "split"]).filter(pa.array(~base))
-    terms = names.group_by(["digest", "split"]).aggregate([])
-    terms = terms.append_column("t", pa.array(np.arange(terms.num_rows)))
-    code = {(d, s): t for d, s, t in zip(*(terms[c].to_pylist() for c in ("digest", "split", "t")))}
-    column = np.fromiter((code[d, s] for d, s in zip(names["digest"].to_pylist(), names["split"].to_pylist())), np.int64, names.num_rows)
-    shares = np.repeat(zero[:, None], terms.num_rows, 1)
+    code: dict[tuple, int] = {}
+    column = np.fromiter((code.setdefault(name, len(code)) for name in zip(names["digest"].to_pylist(), names["split"].to_pylist())), np.int64, names.num_rows)
+    shares = np.repeat(zero[:, None], len(code), 1)
     shares[np.searchsorted(places, place[~base]), column] = p[~base]
-    left, right = np.flatnonzero(places // BLOCK == first), np.flatnonzero(places // BLOCK == second)
-    out = []
+    block = places // BLOCK
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    a, b, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left:
         others = right[places[right] > places[i]]
-        if not len(others):
-            continue
         d = shares[others] - shares[i]
         here = (d * d // (shares[others] + shares[i])).sum(axis=1)
         d = zero[others] - zero[i]
         nowhere = d * d // (zero[others] + zero[i])
-        out.append((np.full(len(others), places[i]), places[others], here - nowhere * terms.num_rows))
-    a, b, more = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ([], [], [])))
-    return pa.table([pa.array(np.full(len(a), key[0].as_py(), np.int64)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["lang", "a", "b", "more"])
+        a.append(np.full(len(others), places[i]))
+        b.append(places[others])
+        value.append(here + nowhere * (all_terms - len(code)))
+    a, b, value = (np.concatenate(x) for x in (a, b, value))
+    return pa.table([np.full(len(a), lang, np.int64), a, b, value], names=["lang", "a", "b", "value"])
 
 
 def pair_gaps(shares: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value) for each two places a < b of sources of a language.
 
-    ``groups``: (lang, place, zero, terms), ``shares``: (lang, place, digest, split, p).
+    ``groups``: (lang, place, zero, terms, last), ``shares``: (lang, place, digest, split, p, terms, last);
+    ``last`` is the greatest place of the language.
     """
-    spans = groups.groupBy("lang").agg(F.max(F.floor(F.col("place") / BLOCK)).alias("last"), F.max(F.ceil(F.col("terms") / TERMS)).alias("chunks"))
-    block = F.floor(F.col("place") / BLOCK)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(o, F.col("own")).alias("first"), F.greatest(o, F.col("own")).alias("second")))
-    slots = spans.where("chunks > 0")
-    own = shares.withColumn("own", block).join(slots, "lang")
-    held = own.select("lang", F.explode(pairs).alias("pair"), F.pmod(F.xxhash64("digest", "split"), "chunks").alias("chunk"), "place", F.lit(1).alias("kind"), "digest", "split", "p")
-    lacking = groups.withColumn("own", block).join(slots, "lang").withColumn("pair", F.explode(pairs))
-    lacking = lacking.select(
-        "lang", "pair", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "place", F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("digest"), F.lit(None).cast("string").alias("split"), F.col("zero").alias("p"),
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    pair = lambda o: F.struct(F.least(o, block("place")).alias("first"), F.greatest(o, block("place")).alias("second"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), block("last")), pair)).alias("pair")
+    chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("terms") / TERMS))
+    held = shares.select("lang", pairs, F.pmod(F.xxhash64("digest", "split"), chunks).alias("chunk"), "place", F.lit(1).alias("kind"), "digest", "split", "p", "terms")
+    lacking = groups.select("lang", pairs, "place", "zero", "terms").select(
+        "lang", "pair", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "place", F.lit(0).alias("kind"),
+        F.lit(None).cast("long").alias("digest"), F.lit(None).cast("string").alias("split"), F.col("zero").alias("p"), "terms",
     )
-    blocks = held.unionByName(lacking).select("lang", "pair.first", "pair.second", "chunk", "place", "kind", "digest", "split", "p")
-    sums = blocks.groupBy("lang", "first", "second", "chunk").applyInArrow(_block_sums, "lang long, a long, b long, more long")
-    sums = sums.groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
-    x = groups.select("lang", F.col("place").alias("a"), F.col("zero").alias("zero_a"), "terms")
-    y = groups.select("lang", F.col("place").alias("b"), F.col("zero").alias("zero_b"))
-    both = x.join(y, "lang").where("a < b").join(sums, ["lang", "a", "b"], "left")
-    value = F.col("terms") * gap(F.col("zero_a"), F.col("zero_b")) + F.coalesce("more", F.lit(0))
-    return both.select("lang", "a", "b", F.when(F.col("terms") > 0, value).otherwise(F.lit(0)).cast("long").alias("value"))
+    blocks = held.unionByName(lacking).select("lang", "pair.first", "pair.second", "chunk", "place", "kind", "digest", "split", "p", "terms")
+    sums = blocks.groupBy("lang", "first", "second", "chunk").applyInArrow(_block_sums, "lang long, a long, b long, value long")
+    return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
 # ---- operator -----------------------------------------------------------------------------------
@@ -273,18 +267,19 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP,
     """
     numbered, table = number_groups(docs)
     table = table.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
+    table = table.withColumn("last", F.max("place").over(Window.partitionBy("lang")))
     counts, spellings = kept_counts(numbered, least_docs, digest_bits)
     whole = counts.groupBy("lang", "digest", "split").agg(F.sum("count").alias("lang_count"))
     langs = whole.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     none = F.lit(0).cast("long")
     groups = table.join(langs, "lang", "left").join(sizes, ["lang", "source"], "left").fillna(0, ["terms", "lang_total", "total"])
-    groups = checkpoint(groups.withColumn("zero", F.when(F.col("terms") > 0, share(none, F.col("total"), F.col("terms"))).otherwise(none)))
-    slim = groups.select("lang", "source", "place", "terms", "total", "lang_total")
+    groups = checkpoint(groups.withColumn("zero", F.when(F.col("terms") > 0, share(none, F.col("total"), F.col("terms"))).otherwise(none + 1)))
+    slim = groups.select("lang", "source", "place", "last", "terms", "total", "lang_total")
     shares = counts.join(slim, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("total"), F.col("terms")))
-    shares = checkpoint(shares.select("lang", "source", "place", "digest", "split", "count", "p", "terms", "lang_total"))
+    shares = checkpoint(shares.select("lang", "source", "place", "digest", "split", "count", "p", "terms", "last", "lang_total"))
 
-    far = pair_gaps(shares.select("lang", "place", "digest", "split", "p"), groups.select("lang", "place", "zero", "terms"))
+    far = pair_gaps(shares, groups)
     named = groups.select("lang", "place", "lang_name", "source_name")
     other = named.select("lang", F.col("place").alias("b"), F.col("source_name").alias("item"))
     far = far.unionByName(far.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
