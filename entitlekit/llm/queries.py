@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entitlekit.llm import decontamination, divergence, htmltext, licenses, minhash, packing, quality, recompression, secrets, sharding, suffixes, toxicity, vectorcodes
-from entitlekit.llm.common import read
+from entitlekit.llm.common import checkpoint, read
 
 QUERIES = {}
 
@@ -99,7 +99,7 @@ def op11_vector_codes(spark, sf):
     """The code of every vector, and the error that each label's codes add up to."""
     vectors = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     books = vectorcodes.train_codebooks(vectors)
-    coded = vectorcodes.with_label_error(vectorcodes.encode_vectors(vectors, books))
+    coded = vectorcodes.with_label_error(checkpoint(vectorcodes.encode_vectors(vectors, books)))
     digest = F.lit(books.digest() if books else None).cast("string")
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
