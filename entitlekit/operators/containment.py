@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS
 from ..sizing import AUTO, BROADCAST, SALT, for_every_salt, lookup_join, strategy_for, with_salt
+from .filters import count_in, count_sketch, in_filter, key_filter
 
 GRAM = 4
 STEM = 6
@@ -58,15 +59,19 @@ def head_piece(text: str) -> Column:
     return F.substring(longest_word(text), 1, STEM)
 
 
-def rare_anchors(phrases: DataFrame, phrase_id: str, phrase: str, strategy: str) -> DataFrame:
-    """(phrase_id, anchor, short): the piece of each phrase that fewest phrases share."""
-    pieces = phrases.select(phrase_id, F.explode(phrase_pieces(phrase)).alias("piece"))
-    usage = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("uses"))
-    counted = lookup_join(pieces, usage, ["piece"], spread=[phrase_id], strategy=strategy)
-    short = F.length("piece") < GRAM
-    rank = F.struct(short.alias("short"), "uses", (-F.length("piece")).alias("n"), "piece")
-    best = counted.groupBy(phrase_id).agg(F.min(rank).alias("best"))
-    return best.select(phrase_id, F.col("best.piece").alias("anchor"), "best.short")
+def rare_anchors(phrases: DataFrame, phrase: str, *keep: str) -> DataFrame:
+    """(keep, anchor, short): the piece of each phrase that fewest phrases share, by a sketch of all pieces.
+
+    Phrases are not moved. Blank phrases have no piece and go.
+    """
+    pieces = phrases.select(F.explode(phrase_pieces(phrase)).alias("piece"))
+    uses = count_sketch(pieces.select(F.xxhash64("piece").alias("key")), "key")
+    rank = F.array_min(F.transform("pieces", lambda p: F.struct(
+        (F.length(p) < GRAM).alias("short"), count_in(F.col("uses"), F.xxhash64(p)).alias("uses"), (-F.length(p)).alias("n"), p.alias("piece"),
+    )))
+    cut = phrases.withColumns({"pieces": phrase_pieces(phrase), "uses": uses.scalar()})
+    best = cut.where(F.size("pieces") > 0).select(*keep, rank.alias("best"))
+    return best.select(*keep, F.col("best.piece").alias("anchor"), "best.short")
 
 
 def texts_holding(
@@ -82,25 +87,32 @@ def texts_holding(
     """(text_id, phrase_id) where ``text`` contains ``phrase``: many texts, a catalog of phrases.
 
     Every non-blank phrase takes part; ``phrase_id`` must be unique. With a broadcast catalog the
-    texts are scanned in place. Otherwise only (id, piece) rows are shuffled, salted by text, and
-    the text is joined back by id to verify the few candidates. ``keep`` adds text-side columns.
+    pieces of a text are looked up as they are cut. Otherwise they first pass a bitmap of the pieces
+    that phrases are filed under, in the text's own row; only (id, piece) of what is left is shuffled,
+    salted by text, and the text is joined back by id to verify the few candidates. ``keep`` adds
+    text-side columns.
     """
     strategy = strategy_for(strategy, phrases, growth=ROW_GROWTH)
-    anchors = rare_anchors(phrases, phrase_id, phrase, strategy)
-    filed = phrases.join(anchors, phrase_id).select(
-        phrase_id, phrase, "short", F.xxhash64("anchor").alias("piece")
-    )
+    filed = rare_anchors(phrases, phrase, phrase_id, phrase)
+    filed = filed.withColumn("piece", F.xxhash64("anchor")).drop("anchor")
     carried = [text_id, text, *keep]
+    if strategy != BROADCAST:
+        some_short = filed.agg(F.coalesce(F.max("short"), F.lit(False)).alias("short"))
+        marked = texts.select(text_id, text).withColumns({"bits": key_filter(filed, "piece").scalar(), "some_short": some_short.scalar()})
     found = []
     for short, smallest, largest in ((False, GRAM, GRAM), (True, 1, GRAM - 1)):
         index = filed.where(F.col("short") == short).drop("short")
-        pieces = F.explode(text_pieces(text, smallest, largest, "xxhash64({})")).alias("piece")
+        pieces = text_pieces(text, smallest, largest, "xxhash64({})")
         if strategy == BROADCAST:
-            hits = texts.select(*carried, pieces).join(F.broadcast(index), "piece")
+            hits = texts.select(*carried, F.explode(pieces).alias("piece")).join(F.broadcast(index), "piece")
         else:
-            keys = with_salt(texts.select(text_id, pieces), [text_id])
-            candidates = keys.join(for_every_salt(index), ["piece", SALT]).drop("piece", SALT)
-            hits = candidates.join(texts.select(*carried), text_id)
+            passing = F.filter(pieces, lambda p: in_filter(F.col("bits"), p))
+            if short:  # the short pieces of a text are cut only if some phrase is that short
+                passing = F.when(F.col("some_short"), passing)
+            # an outer explode: for an inner one Spark would cut the pieces a second time, to test for none
+            keys = marked.select(text_id, F.explode_outer(passing).alias("piece")).where(F.col("piece").isNotNull())
+            candidates = with_salt(keys, [text_id]).join(for_every_salt(index), ["piece", SALT])
+            hits = candidates.drop("piece", SALT).join(texts.select(*carried), text_id)
         found.append(
             hits.where(F.col(text).contains(F.col(phrase))).select(text_id, phrase_id, *keep)
         )

@@ -100,45 +100,49 @@ def faq_keys(faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO) -> Data
     )
 
 
-def query_keys(queries: DataFrame) -> DataFrame:
-    """(query_id, query_text, query_keys, needed): keywords longest first."""
-    cleaned = queries.select("query_id", clean_query(or_empty("query")).alias("query_text"))
-    keyed = cleaned.withColumn("query_keys", keywords_of(F.col("query_text")))
+def keyed_query(rows: DataFrame, query: Column) -> DataFrame:
+    """``rows`` with (query_text, query_keys, needed): keywords longest first."""
     longest_first = F.expr(
         "transform(array_sort(transform(query_keys, w -> struct(-length(w) as n, w as w))), s -> s.w)"
     )
-    return keyed.withColumn("query_keys", longest_first).withColumn(
-        "needed", F.expr("(3 * size(query_keys) + 9) div 10")
-    )
+    keyed = rows.withColumn("query_text", clean_query(query))
+    keyed = keyed.withColumn("query_keys", keywords_of(F.col("query_text"))).withColumn("query_keys", longest_first)
+    return keyed.withColumn("needed", F.expr("(3 * size(query_keys) + 9) div 10"))
+
+
+def query_keys(queries: DataFrame) -> DataFrame:
+    """(query_id, query_text, query_keys, needed)."""
+    keyed = keyed_query(queries.select("query_id", or_empty("query").alias("query")), F.col("query"))
+    return keyed.drop("query")
 
 
 WHOLE, WORD, BOOSTER, ANCHOR, SHORT, HEAD = "whole", "word", "booster", "anchor", "short", "head"
 
 
-def _key(kind: str, text: Column | str) -> Column:
-    return F.xxhash64(F.lit(kind), text)
+def tagged_key(kind: str, *texts: Column | str) -> Column:
+    return F.xxhash64(F.lit(kind), *texts)
 
 
 def _keys(kind: str, texts: str) -> Column:
     return F.expr(f"transform({texts}, t -> xxhash64('{kind}', t))")
 
 
-def faq_index(catalog: DataFrame, strategy: str) -> DataFrame:
+def faq_index(catalog: DataFrame) -> DataFrame:
     """(key, kind, pos): every hashed key a FAQ can be found by."""
 
     def rows(kind: str, keys: Column, source: DataFrame = catalog) -> DataFrame:
         return source.select(F.explode(keys).alias("key"), F.lit(kind).alias("kind"), "pos")
 
     scored = catalog.where(F.size("faq_keys") > 0)
-    anchors = rare_anchors(scored, "pos", "faq_text", strategy)
+    anchors = rare_anchors(scored, "faq_text", "pos")
     anchored = anchors.select(
-        _key(ANCHOR, "anchor").alias("key"),
+        tagged_key(ANCHOR, "anchor").alias("key"),
         F.when(F.col("short"), SHORT).otherwise(ANCHOR).alias("kind"),
         "pos",
     )
     heads = text_pieces("faq_text", 1, STEM, f"xxhash64('{HEAD}', {{}})")
     return (
-        rows(WHOLE, F.array(_key(WHOLE, strip("faq_text"))))
+        rows(WHOLE, F.array(tagged_key(WHOLE, strip("faq_text"))))
         .unionByName(rows(WORD, _keys(WORD, "faq_keys")))
         .unionByName(rows(BOOSTER, _keys(BOOSTER, "faq_boosters")))
         .unionByName(rows(HEAD, heads, scored))
@@ -146,19 +150,21 @@ def faq_index(catalog: DataFrame, strategy: str) -> DataFrame:
     )
 
 
-def query_probes() -> Column:
+def query_probes(pieces: bool = True) -> Column:
     """Keys a query looks up, apart from pieces of fewer than ``GRAM`` characters."""
-    return F.concat(
-        F.array(_key(WHOLE, "query_text"), _key(HEAD, or_empty(head_piece("query_text")))),
+    keys = [
+        F.array(tagged_key(WHOLE, "query_text"), tagged_key(HEAD, or_empty(head_piece("query_text")))),
         _keys(WORD, "slice(query_keys, 1, greatest(size(query_keys) - int(needed) + 1, 0))"),
         _keys(BOOSTER, "query_keys"),
-        text_pieces("query_text", GRAM, GRAM, f"xxhash64('{ANCHOR}', {{}})"),
-    )
+    ]
+    if pieces:
+        keys.append(text_pieces("query_text", GRAM, GRAM, f"xxhash64('{ANCHOR}', {{}})"))
+    return F.concat(*keys)
 
 
-def _score_hits(hits: DataFrame) -> DataFrame:
-    """Verify and score (query, FAQ, kind) rows that carry both sides."""
-    kind, asked, known = F.col("kind"), F.col("query_text"), F.col("faq_text")
+def hit_result(kind: Column) -> Column:
+    """(exact, score) of a (query, FAQ, kind) row that carries both sides; null where the hit proves nothing."""
+    asked, known = F.col("query_text"), F.col("faq_text")
     contained = (
         F.when(kind.isin(ANCHOR, SHORT), asked.contains(known))
         .when(kind == HEAD, known.contains(asked))
@@ -170,9 +176,12 @@ def _score_hits(hits: DataFrame) -> DataFrame:
     both = (F.size("query_keys") > 0) & (F.size("faq_keys") > 0)
     score = faq_score(F.col("query_keys"), F.col("faq_keys"), F.col("faq_boosters"), contained)
     exact = (kind == WHOLE) & (strip(known) == asked)
-    scored = hits.where(can_reach).select(
-        "query_id", "pos", exact.alias("exact"), F.when(both & ~exact, score).alias("score")
-    )
+    return F.when(can_reach, F.struct(exact.alias("exact"), F.when(both & ~exact, score).alias("score")))
+
+
+def _score_hits(hits: DataFrame) -> DataFrame:
+    """Verify and score (query, FAQ, kind) rows that carry both sides."""
+    scored = hits.select("query_id", "pos", hit_result(F.col("kind")).alias("result")).select("query_id", "pos", "result.*")
     return scored.where(F.col("exact") | (F.col("score") >= FAQ_THRESHOLD))
 
 
@@ -186,7 +195,7 @@ def faq_candidates(
     """
     strategy = strategy_for(strategy, faqs, growth=ROW_GROWTH * STEM)
     keyed, catalog = query_keys(queries), faq_keys(faqs, boosters, strategy)
-    index = faq_index(catalog, strategy)
+    index = faq_index(catalog)
     short_probes = text_pieces("query_text", 1, GRAM - 1, f"xxhash64('{ANCHOR}', {{}})")
     found = None
     for wanted, probes in ((F.col("kind") != SHORT, query_probes()),

@@ -10,6 +10,7 @@ from ..functions.text import clean_topic_text, first_of, or_empty, strip, words
 from ..sizing import AUTO, lookup_join, strategy_for
 from .containment import ROW_GROWTH, STEM, phrases_inside, texts_holding
 from .faq import name_words
+from .filters import count_in, count_sketch
 from .ranking import first_match
 
 ANY_LANGUAGE = "*"
@@ -46,8 +47,17 @@ def exact_scheme(
         asked.alias("name_key"),
         F.explode(F.array(F.lit(ANY_LANGUAGE), F.col("lang"))).alias("key_lang"),
     )
-    plain = F.lower(or_empty("name"))
     strategy = strategy_for(AUTO, schemes, growth=2)
+    index = name_keys(schemes, dictionary, strategy)
+    pairs = lookup_join(
+        probes, index, ["key_lang", "name_key"], spread=["query_id"], strategy=strategy
+    )
+    return first_match(pairs, "query_id", "pos")
+
+
+def name_keys(schemes: DataFrame, dictionary: DataFrame | None, strategy: str) -> DataFrame:
+    """(key_lang, name_key, pos): names as they are asked for, in English (any language) and as localized."""
+    plain = F.lower(or_empty("name"))
     keys = schemes.select(
         "pos",
         F.lit(ANY_LANGUAGE).alias("key_lang"),
@@ -64,30 +74,26 @@ def exact_scheme(
                 local, schemes.select("name", "pos"), ["name"], strategy=strategy
             ).select(*keys.columns)
         )
-    index = keys.groupBy("key_lang", "name_key").agg(F.min("pos").alias("pos"))
-    pairs = lookup_join(
-        probes, index, ["key_lang", "name_key"], spread=["query_id"], strategy=strategy
-    )
-    return first_match(pairs, "query_id", "pos")
+    return keys.groupBy("key_lang", "name_key").agg(F.min("pos").alias("pos"))
 
 
-def _rare_name_words(schemes: DataFrame, strategy: str) -> DataFrame:
+def rare_name_words(schemes: DataFrame) -> DataFrame:
     """(phrase, pos, name_words): each name's long words but its most widely used one.
 
     Two hits among a name's words means a hit outside its most widely used word, so that word
-    need not be indexed.
+    need not be indexed. Usage is taken from a sketch of all names' words; names are not moved.
     """
     listed = schemes.select("pos", name_words("name").alias("name_words")).where(
         F.size("name_words") >= 2
     )
-    spread_words = listed.select("pos", F.posexplode("name_words").alias("at", "word"))
-    usage = spread_words.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    counted = lookup_join(spread_words, usage, ["word"], spread=["pos"], strategy=strategy)
-    ranked = counted.groupBy("pos").agg(
-        F.sort_array(F.collect_list(F.struct("uses", "word", "at"))).alias("ranked")
+    uses = count_sketch(listed.select(F.explode("name_words").alias("word")).select(F.xxhash64("word").alias("key")), "key")
+    ranked = F.array_sort(F.transform("name_words", lambda w, i: F.struct(
+        count_in(F.col("uses"), F.xxhash64(w)).alias("uses"), w.alias("word"), i.alias("at")
+    )))
+    rare = F.array_distinct(F.slice(F.col("ranked"), F.lit(1), F.size("ranked") - 1)["word"])
+    return listed.withColumn("uses", uses.scalar()).select("pos", "name_words", ranked.alias("ranked")).select(
+        F.explode(rare).alias("phrase"), "pos", "name_words"
     )
-    rare = F.expr("array_distinct(transform(slice(ranked, 1, size(ranked) - 1), r -> r.word))")
-    return ranked.select("pos", F.explode(rare).alias("phrase")).join(listed, "pos")
 
 
 def search_schemes(
@@ -104,7 +110,7 @@ def search_schemes(
             )
         )
     if partial:
-        owners.append(_rare_name_words(schemes, strategy).select("phrase", "pos", "name_words"))
+        owners.append(rare_name_words(schemes))
     index = owners[0] if len(owners) == 1 else owners[0].unionByName(owners[1])
     needles = index.select("phrase").distinct().withColumn("needle", F.col("phrase"))
     keyed = texts.withColumn("whole_text", F.col("topic_text"))
@@ -151,16 +157,20 @@ def token_scheme(texts: DataFrame, schemes: DataFrame, strategy: str = AUTO) ->
     )
 
 
+def topic_words(keywords: DataFrame, faqs: DataFrame | None, strategy: str) -> DataFrame:
+    """(word, label[, has_faqs]): each topic word once."""
+    table = keywords.groupBy("word").agg(F.max("label").alias("label"))
+    if faqs is None:
+        return table
+    used = faqs.select(F.col("category").alias("label")).distinct()
+    return lookup_join(table, used.withColumn("has_faqs", F.lit(True)), ["label"], "left", ["word"], strategy)
+
+
 def keyword_topic(texts: DataFrame, keywords: DataFrame, faqs: DataFrame | None = None) -> DataFrame:
     """(query_id, topic[, topic_has_faqs]) from the first query word in the keyword table."""
     strategy = strategy_for(AUTO, keywords)
-    table = keywords.groupBy("word").agg(F.max("label").alias("label"))
-    fields = ["at", "label"]
-    if faqs is not None:
-        used = faqs.select(F.col("category").alias("label")).distinct()
-        used = used.withColumn("has_faqs", F.lit(True))
-        table = lookup_join(table, used, ["label"], "left", ["word"], strategy)
-        fields.append("has_faqs")
+    table = topic_words(keywords, faqs, strategy)
+    fields = ["at", "label"] if faqs is None else ["at", "label", "has_faqs"]
     probes = texts.select("query_id", F.posexplode(words("topic_text")).alias("at", "word"))
     hits = lookup_join(probes, table, ["word"], spread=["query_id"], strategy=strategy)
     first = hits.groupBy("query_id").agg(F.min(F.struct(*fields)).alias("hit"))

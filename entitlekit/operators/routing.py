@@ -1,8 +1,8 @@
 """Route free-text questions to one of thirteen ordered stages, and answer them.
 
-The cheap stages are tested inside the row. Every join-based stage contributes slim fact rows
-(query_id plus what it found); one aggregation by query_id folds them and picks the first stage
-that holds. Query texts are never shuffled.
+The cheap stages are tested inside the row. All other stages probe one index of the catalogs
+(``probes``) in the same scan; one aggregation by query folds what was found and picks the first
+stage that holds. Query texts are never shuffled by a broadcast-size catalog.
 """
 
 from __future__ import annotations
@@ -39,24 +39,16 @@ from ..functions.text import (
 )
 from ..sizing import AUTO, lookup_join, strategy_for
 from .faq import (
-    best_faq,
     english_faqs,
     related_faqs,
     scheme_questions,
     seeded,
     stratified_sample,
     topic_questions,
-    vocabulary,
 )
 from .localization import localize, to_english
-from .matching import (
-    exact_scheme,
-    keyword_topic,
-    scheme_total,
-    search_schemes,
-    specific_scheme,
-    token_scheme,
-)
+from .matching import scheme_total
+from .probes import catalog_index, fold, probe
 
 STAGES = {
     "R1": "empty", "R2": "menu", "R3": "greeting", "R4": "thanks", "R5": "small_talk",
@@ -144,36 +136,21 @@ def route_queries(
     keywords: DataFrame,
     dictionary: DataFrame | None = None,
     assistant: str | None = None,
+    strategy: str = AUTO,
 ) -> DataFrame:
-    """(query_id, lang, stage, scheme_pos, topic, faq_pos), one row per query."""
+    """(query_id, lang, stage, scheme_pos, topic, faq_pos), one row per query.
+
+    The queries are read once: their keys meet one index of all catalogs, and one aggregation by
+    query folds what was found.
+    """
     rows = prepare_queries(queries, dictionary, assistant)
-    unresolved = rows.where(F.col("cheap_stage").isNull())
-    searched = unresolved.where(~F.col("asks_list") & ~F.col("asks_state"))
-    texts = searched.select("query_id", "topic_text")
-    english = searched.select("query_id", F.col("english").alias("query"))
-
-    def found(name: str, pairs: DataFrame) -> DataFrame:
-        return pairs.select("query_id", F.col("pos").alias(name))
-
-    facts = rows.select("query_id", "lang", "cheap_stage", "asks_list", "asks_state")
-    for part in (
-        found("exact_pos", exact_scheme(unresolved, schemes, dictionary)),
-        search_schemes(texts, schemes),
-        found("keyword_pos", specific_scheme(texts, schemes)),
-        found("token_pos", token_scheme(texts, schemes)),
-        keyword_topic(texts, keywords, faqs),
-        best_faq(english, faqs, vocabulary(keywords)).select("query_id", "faq_pos"),
-    ):
-        facts = facts.unionByName(part, allowMissingColumns=True)
-    folded = facts.groupBy("query_id").agg(
-        *[
-            F.max(c).alias(c)
-            for c in (
-                "lang", "cheap_stage", "asks_list", "asks_state", "topic", "topic_has_faqs",
-                "exact_pos", "name_pos", "keyword_pos", "partial_pos", "token_pos", "faq_pos",
-            )
-        ]
-    )
+    index, texts = catalog_index(schemes, faqs, keywords, dictionary, strategy)
+    hits = probe(rows, index, texts, strategy_for(strategy, index, texts))
+    folded = fold(hits, "query_id", "lang", "cheap_stage", "asks_list", "asks_state")
+    folded = folded.select(
+        "*", F.col("listed.ref").alias("keyword_pos"), (-F.col("faq.back")).alias("faq_pos"),
+        F.coalesce("topic.has_faqs", F.lit(False)).alias("topic_has_faqs"),
+    ).withColumn("topic", F.col("topic.label"))
     by_topic = F.coalesce("name_pos", "keyword_pos")
     by_search = F.coalesce("name_pos", "partial_pos", "token_pos")
     stage = (

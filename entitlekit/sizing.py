@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -18,8 +21,7 @@ def measure(df: DataFrame) -> int:
     """
     known = getattr(df, "_measured_bytes", None)
     if known is None:
-        row_bytes = F.octet_length(F.to_json(F.struct("*")))
-        known = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()["bytes"]
+        known = df.agg(_bytes()).first()["bytes"]
         df._measured_bytes = known
     return known
 
@@ -31,10 +33,20 @@ def strategy_for(strategy: str, *catalogs: DataFrame, growth: int = 1) -> str:
     """
     if strategy != AUTO:
         return strategy
+    unknown = [c for c in catalogs if getattr(c, "_measured_bytes", None) is None]
+    if len(unknown) > 1:  # one job for all of them
+        sums = [c.agg(F.lit(i).alias("i"), _bytes()) for i, c in enumerate(unknown)]
+        for i, size in reduce(DataFrame.unionAll, sums).collect():
+            unknown[i]._measured_bytes = size
     size = sum(measure(c) for c in catalogs)
     return BROADCAST if size * growth <= BROADCAST_BYTES else SHUFFLE
 
 
+def _bytes() -> Column:
+    row_bytes = F.octet_length(F.to_json(F.struct("*")))
+    return F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
+
+
 def salts_for(df: DataFrame) -> int:
     """Sub-keys per key: a quarter of the shuffle partitions, between 16 and 256."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -77,8 +89,23 @@ def lookup_join(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, from the session."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    Only where none is set and Spark runs inside one machine is a folder made here.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and master.startswith("local") and "cluster" not in master:
+        folder = tempfile.mkdtemp(prefix="entitlekit-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared folder: computed once, lineage cut, executors may be lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
