@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import ALL, NATIONAL
 from ..functions.text import col, or_empty
+from .positions import with_positions
 
 ANY = "All"
 CENTRAL = "Central"
@@ -88,3 +89,12 @@ def browse(
         .withColumn("state_rank", state_rank(state))
         .orderBy("state_rank", "pos")
     )
+
+
+def browse_order(
+    schemes: DataFrame, search: str | None = None, audience: str = ANY, state: str = ANY
+) -> DataFrame:
+    """T3 as data: the filtered catalog with each row's ``position`` in the order of ``browse``."""
+    kept = schemes.where(matches_search(search) & matches_audience(audience) & matches_state(state))
+    ranked = kept.withColumn("badge", state_badge()).withColumn("state_rank", state_rank(state))
+    return with_positions(ranked, ["state_rank", "pos"])

@@ -26,6 +26,7 @@ from ..functions.text import (
     clean_query,
     clean_question,
     or_empty,
+    present,
     strip,
     text_list,
     word_set,
@@ -41,6 +42,7 @@ from .containment import (
     text_pieces,
     texts_holding,
 )
+from .positions import with_positions
 from .ranking import bounded_lists, keep_first, top_k
 
 SCHEME_RELATED = 8
@@ -269,9 +271,12 @@ def worded_faqs(schemes: DataFrame, faqs: DataFrame, strategy: str = AUTO) -> Da
     return pairs.join(tagged_faqs(schemes, faqs, strategy), ["scheme_id", "pos"], "left_anti")
 
 
-def scheme_questions(schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATED) -> DataFrame:
+def scheme_questions(
+    schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATED, without: list[str] = []
+) -> DataFrame:
     """First ``k`` distinct questions per scheme: tagged FAQs, then FAQs by name word.
 
+    Questions in ``without`` don't count; a scheme that has no others gets an empty list.
     Only the first ``2k`` distinct questions of a word can be among the first ``k`` of a scheme
     (at most ``k`` of them repeat tagged ones), so each word is cut to those before it meets the
     schemes that own it.
@@ -280,7 +285,9 @@ def scheme_questions(schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATE
     asked = english_faqs(faqs).select("pos", or_empty("question").alias("question"))
     owned, held = _faqs_by_word(schemes, faqs, strategy)
     worded = lookup_join(held, asked, ["pos"], spread=["word"], strategy=strategy)
-    by_word = keep_first(worded, ["word", "question"], ["pos"])
+    worded = worded.where(F.col("question") != "")
+    unwanted = F.col("question").isin(without)
+    by_word = keep_first(worded.where(~unwanted), ["word", "question"], ["pos"])
     heads = top_k(by_word, ["word"], ["pos"], 2 * k).drop("rank")
     secondary = owned.join(heads, "word").select(
         "scheme_id", F.lit(1).alias("tier"), "pos", "question"
@@ -290,8 +297,14 @@ def scheme_questions(schemes: DataFrame, faqs: DataFrame, k: int = SCHEME_RELATE
         "scheme_id", F.lit(0).alias("tier"), "pos", "question"
     )
     merged = primary.unionByName(secondary).where(F.col("question") != "")
-    unique = keep_first(merged, ["scheme_id", "question"], ["tier", "pos"])
-    return bounded_lists(unique, ["scheme_id"], ["tier", "pos"], F.col("question"), k, "questions")
+    unique = keep_first(merged.where(~unwanted), ["scheme_id", "question"], ["tier", "pos"])
+    lists = bounded_lists(unique, ["scheme_id"], ["tier", "pos"], F.col("question"), k, "questions")
+    if not without:
+        return lists
+    only = owned.join(worded.where(unwanted).select("word").distinct(), "word").select("scheme_id")
+    some = only.unionByName(primary.where(unwanted).select("scheme_id")).distinct()
+    none = F.array().cast("array<string>")
+    return lists.join(some, "scheme_id", "full").withColumn("questions", F.coalesce("questions", none))
 
 
 def topic_faqs(faqs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -304,49 +317,54 @@ def topic_faqs(faqs: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
-def topic_questions(faqs: DataFrame, k: int) -> DataFrame:
-    """First ``k`` distinct questions of every topic, in catalog order."""
-    rows = english_faqs(faqs).where(F.col("question") != "")
+def topic_questions(faqs: DataFrame, k: int, without: list[str] = []) -> DataFrame:
+    """First ``k`` distinct questions of every topic, in catalog order; those in ``without`` don't count."""
+    rows = english_faqs(faqs).where(present("question") & ~F.col("question").isin(without))
     unique = keep_first(rows, ["category", "question"], ["pos"])
     return bounded_lists(unique, ["category"], ["pos"], F.col("question"), k, "questions")
 
 
+def topic_heads(faqs: DataFrame, k: int) -> DataFrame:
+    """The questions among the first ``k`` FAQs of every topic: blank ones are left out, repeats stay."""
+    lists = bounded_lists(english_faqs(faqs), ["category"], ["pos"], or_empty("question"), k, "questions")
+    return lists.select("category", F.array_remove("questions", "").alias("questions"))
+
+
 def related_faqs(faqs: DataFrame) -> DataFrame:
     """(pos, related): up to 8 questions of the same scheme, filled to 10 from the category.
 
-    Identical FAQ rows count once. Each group is cut to the few heads that can appear in a list
-    before the FAQs join it, so a large group never pairs with itself.
+    Rows with a blank question or the content of the row itself are no relatives. Repeats of a scheme's
+    question count, those of a category's don't. Each group is cut to the heads that can appear in a
+    list, whichever row asks, before the FAQs join it: of a scheme twice 8 rows with at most 8 of
+    one content, as a row only ignores its own; of a category 19 questions, as 8 may be listed already and
+    one is the row's own, each with its first rows of two contents.
     """
-    content = ["question", "answer", "category", "scheme"]
-    rows = keep_first(english_faqs(faqs), content, ["pos"])
-    entry = F.struct("pos", "question")
+    rows = english_faqs(faqs).withColumn("content", F.sha2(F.to_json(F.struct("question", "answer", "category", "scheme")), 256))
+    rows = rows.withColumn("topic", or_empty(F.concat(F.lit("="), F.col("category"))))  # no category is one, too
+    asked = rows.where(present("question"))
+    scheme_rows = top_k(asked.where(present("scheme")), ["scheme", "content"], ["pos"], SCHEME_RELATED).drop("rank")
     by_scheme = bounded_lists(
-        rows.where(F.col("scheme") != ""),
-        ["scheme"], ["pos"], entry, SCHEME_RELATED + 1, "scheme_heads",
+        scheme_rows, ["scheme"], ["pos"], F.struct("content", "question"), 2 * SCHEME_RELATED, "scheme_heads"
     )
-    by_category = bounded_lists(
-        keep_first(rows, ["category", "question"], ["pos"]),
-        ["category"], ["pos"], entry, ALL_RELATED + SCHEME_RELATED + 1, "category_heads",
+    contents = keep_first(asked, ["topic", "question", "content"], ["pos"])
+    pairs = bounded_lists(contents, ["topic", "question"], ["pos"], F.struct("pos", "content"), 2, "rows")
+    by_topic = bounded_lists(
+        pairs, ["topic"], [F.col("rows")[0]["pos"]], F.struct("question", "rows"), ALL_RELATED + SCHEME_RELATED + 1, "topic_heads"
     )
-    strategy = strategy_for(AUTO, faqs)
+    strategy = strategy_for(AUTO, faqs, growth=4)
     joined = lookup_join(rows, by_scheme, ["scheme"], "left", ["pos"], strategy)
-    joined = lookup_join(joined, by_category, ["category"], "left", ["pos"], strategy)
-    none = F.array().cast("array<struct<pos:bigint,question:string>>")
-
-    def others(heads: str) -> Column:
-        kept = F.filter(
-            F.coalesce(heads, none), lambda h: (h["pos"] != F.col("pos")) & (h["question"] != "")
-        )
-        return F.transform(kept, lambda h: h["question"])
-
-    lists = joined.select(
-        "pos",
-        F.slice(others("scheme_heads"), 1, SCHEME_RELATED).alias("same_scheme"),
-        others("category_heads").alias("same_category"),
-    )
-    fill = F.array_except("same_category", "same_scheme")
-    return lists.select(
-        "pos", F.slice(F.concat("same_scheme", fill), 1, ALL_RELATED).alias("related")
+    joined = lookup_join(joined, by_topic, ["topic"], "left", ["pos"], strategy)
+    other = lambda h: h["content"] != F.col("content")
+    same_scheme = F.slice(F.transform(F.filter("scheme_heads", other), lambda h: h["question"]), 1, SCHEME_RELATED)
+    none = F.array().cast("array<string>")
+    lists = joined.select("pos", "content", "topic_heads", F.coalesce(same_scheme, none).alias("same_scheme"))
+    first = F.transform("topic_heads", lambda h: F.struct(
+        F.get(F.filter(h["rows"], other), F.lit(0))["pos"].alias("at"), h["question"].alias("question")
+    ))
+    placed = F.array_sort(F.filter(first, lambda h: h["at"].isNotNull()))
+    same_topic = F.coalesce(F.transform(placed, lambda h: h["question"]), none)
+    return lists.withColumn("same_topic", same_topic).select(
+        "pos", F.slice(F.concat("same_scheme", F.array_except("same_topic", "same_scheme")), 1, ALL_RELATED).alias("related")
     )
 
 
@@ -363,6 +381,12 @@ def faq_pools(faqs: DataFrame, seed: int = 0, k: int = 5) -> DataFrame:
     return sizes.join(heads, "category")
 
 
+def faq_pool_rows(faqs: DataFrame, seed: int = 0) -> DataFrame:
+    """(category, draw_rank, pos): every FAQ at its place (from 0) in its category's seeded order."""
+    rows = english_faqs(faqs).select("category", "pos", seeded("pos", seed).alias("draw"))
+    return with_positions(rows, ["draw", "pos"], ["category"], "draw_rank").drop("draw")
+
+
 def stratified_sample(faqs: DataFrame, seed: int = 0, size: int = 5) -> DataFrame:
     """T5: one FAQ from each of up to ``size`` categories, filled to ``size``, in seeded order.
 

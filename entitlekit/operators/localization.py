@@ -25,6 +25,7 @@ from ..functions.text import (
     words,
 )
 from ..sizing import AUTO, BROADCAST, SHUFFLE, lookup_join, strategy_for
+from .positions import with_positions
 from .ranking import keep_first
 
 ENGLISH = "en"
@@ -292,25 +293,21 @@ def untranslated(fragments: DataFrame, dictionary: DataFrame,
     ).distinct()
 
 
-def worklist(missing: DataFrame, buckets: int = 64, size: int = GROUP_SIZE) -> DataFrame:
-    """Untranslated fragments in groups of at most ``size``.
+def worklist(missing: DataFrame, size: int = GROUP_SIZE) -> DataFrame:
+    """Untranslated fragments in groups of ``size``; only the last group of a language holds fewer.
 
-    Fragments are numbered inside hash buckets, so no task orders the whole list; raise
-    ``buckets`` with the list. Short fragments are marked as titles.
+    Fragments are numbered by ranges of their order, so no task orders a whole language. Short
+    fragments are marked as titles.
     """
-    bucket = F.pmod(F.conv(F.substring(F.md5("fragment"), 1, 6), 16, 10).cast("bigint"), F.lit(buckets))
-    numbered = missing.withColumn("bucket", bucket).withColumn(
-        "at",
-        F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("fragment")) - 1,
-    )
+    numbered = with_positions(missing, ["fragment"], ["lang"], "at")
     wrapped = F.when(
         F.size(words("fragment")) <= SHORT_WORDS, F.concat(F.lit(TITLE_MARK), F.col("fragment"))
     ).otherwise(F.col("fragment"))
-    grouped = numbered.withColumn("batch", F.floor(F.col("at") / size)).groupBy(
-        "lang", "bucket", "batch"
-    ).agg(F.sort_array(F.collect_list(F.struct("at", "fragment", wrapped.alias("request")))).alias("g"))
+    grouped = numbered.withColumn("batch", F.floor(F.col("at") / size)).groupBy("lang", "batch").agg(
+        F.sort_array(F.collect_list(F.struct("at", "fragment", wrapped.alias("request")))).alias("g")
+    )
     return grouped.select(
-        "lang", "bucket", "batch",
+        "lang", "batch",
         F.transform("g", lambda s: s["fragment"]).alias("fragments"),
         F.array_join(F.transform("g", lambda s: s["request"]), " \n\n ").alias("request"),
     )

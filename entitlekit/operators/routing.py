@@ -44,6 +44,7 @@ from .faq import (
     scheme_questions,
     seeded,
     stratified_sample,
+    topic_heads,
     topic_questions,
 )
 from .localization import localize, to_english
@@ -239,18 +240,18 @@ def scheme_cards(schemes: DataFrame) -> DataFrame:
     )
 
 
-def with_navigation(questions: Column | str, size: int) -> Column:
-    """The two menu labels, then the questions not yet listed, cut to ``size``."""
-    nav = text_list(NAV)
+def with_navigation(questions: Column | str, size: int, distinct: bool = True) -> Column:
+    """The two menu labels, then the questions that aren't labels (each once), cut to ``size``."""
     questions = F.col(questions) if isinstance(questions, str) else questions
     none = F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.concat(nav, F.coalesce(questions, none))), 1, size)
+    others = F.filter(F.coalesce(questions, none), lambda q: ~q.isin(NAV))
+    return F.slice(F.concat(text_list(NAV), F.array_distinct(others) if distinct else others), 1, size)
 
 
 def related_questions(schemes: DataFrame, faqs: DataFrame) -> DataFrame:
-    """(scheme_pos, suggestions): own questions, else those of the topic it names."""
-    own = scheme_questions(schemes, faqs)
-    by_topic = topic_questions(faqs, 5).select(
+    """(scheme_pos, suggestions): own questions, else those of the first 5 FAQs of its topic."""
+    own = scheme_questions(schemes, faqs, without=NAV)
+    by_topic = topic_heads(faqs, 5).select(
         F.col("category").alias("topic"), F.col("questions").alias("topic_questions")
     )
     rows = schemes.select(
@@ -262,10 +263,27 @@ def related_questions(schemes: DataFrame, faqs: DataFrame) -> DataFrame:
     rows = lookup_join(rows, by_topic, ["topic"], "left", ["scheme_pos"], strategy)
     questions = F.coalesce("questions", "topic_questions")
     return rows.select(
-        "scheme_pos", with_navigation(questions, SCHEME_SUGGESTIONS).alias("suggestions")
+        "scheme_pos", with_navigation(questions, SCHEME_SUGGESTIONS, distinct=False).alias("suggestions")
     )
 
 
+def all_names(
+    routes: DataFrame, schemes: DataFrame, dictionary: DataFrame | None = None,
+    proper_nouns: DataFrame | None = None,
+) -> DataFrame:
+    """(lang, pos, name): every scheme's name in each language that asked to list all, in catalog order.
+
+    Answers to "list all" carry the count; these are the suggestions behind the menu label.
+    """
+    langs = routes.where(F.col("stage") == "R7").agg(F.collect_set("lang").alias("langs"))
+    rows = schemes.select("pos", or_empty("name").alias("text")).withColumn("langs", langs.scalar())
+    rows = rows.select("pos", F.explode("langs").alias("lang"), "text")
+    if dictionary is None:
+        return rows.withColumnRenamed("text", "name")
+    done = localize(rows.withColumn("lang_key", F.col("lang")), ["lang_key", "pos"], dictionary, proper_nouns)
+    return done.select(F.col("lang_key").alias("lang"), "pos", F.col("localized").alias("name"))
+
+
 def general_suggestions(faqs: DataFrame, fixed: list[str], seed: int = 0) -> DataFrame:
     """One row; a stratified sample behind the two labels, or ``fixed`` if at most 3 FAQs.
 
@@ -363,7 +381,7 @@ def answer_catalog(
         .alias("suggestions"),
     )
     intro = english.where(intros).select("key", F.col("text").alias("intro"))
-    topics = topic_questions(faqs, TOPIC_SUGGESTIONS - len(NAV)).withColumn(
+    topics = topic_questions(faqs, TOPIC_SUGGESTIONS - len(NAV), without=NAV).withColumn(
         "key", F.when(F.col("category").contains("state_"), "state_intro").otherwise("topic_intro")
     )
     topics = lookup_join(topics, intro, ["key"], "inner", ["category"], strategy_for(AUTO, messages))
@@ -373,7 +391,6 @@ def answer_catalog(
         F.array(F.replace(F.col("intro"), F.lit("{topic}"), topic_title("category"))).alias("parts"),
         with_navigation("questions", TOPIC_SUGGESTIONS).alias("suggestions"),
     )
-    # Identical FAQ rows share one list; a repeated row without one answers with the labels only.
     faq_answers = (
         english_faqs(faqs)
         .select("pos", "answer")

@@ -278,11 +278,10 @@ CTES["missing"] = f"""
   SELECT DISTINCT lang, {strip('fragment')} AS fragment FROM translated
   WHERE target IS NULL AND {strip('fragment')} <> ''"""
 CTES["groups"] = f"""
-  SELECT lang, bucket, idx // 10 AS batch, list(fragment ORDER BY idx) AS fragments,
+  SELECT lang, idx // 10 AS batch, list(fragment ORDER BY idx) AS fragments,
     string_agg(CASE WHEN len({words('fragment')}) <= 5 THEN 'Title: ' ELSE '' END || fragment,
       ' ' || chr(10) || chr(10) || ' ' ORDER BY idx) AS request
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang, bucket ORDER BY fragment) - 1 AS idx FROM (
-    SELECT *, CAST('0x' || substr(md5(fragment), 1, 6) AS BIGINT) % 64 AS bucket FROM missing))
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fragment) - 1 AS idx FROM missing)
   GROUP BY ALL"""
 CTES["faq_keys"] = f"""
   SELECT pos, t AS faq_text, {keywords('t')} AS fk FROM (
@@ -459,6 +458,9 @@ SQL["directory_state"] = with_(
     AND (lower(effective_state) IN ('nation_3', 'all') OR effective_state = 'All India')""", "badged")
 SQL["directory_national"] = with_(
     VIEW.format(rank=1) + "effective_state = 'All India' OR lower(effective_state) = 'all'", "badged")
+SQL["directory_order"] = with_(
+    """SELECT scheme_id, badge, row_number() OVER (ORDER BY CASE WHEN lower(effective_state) = 'nation_3' THEN 0 ELSE 1 END, pos) - 1 AS position
+    FROM badged WHERE lower(effective_state) IN ('nation_3', 'all') OR effective_state = 'All India'""", "badged")
 SQL["directory_badges"] = with_("SELECT scheme_id, effective_state, badge FROM badged", "badged")
 SQL["directory_name_lookup"] = with_(
     "SELECT scheme_id, pos, name FROM directory WHERE regexp_matches(name, '(?i)BO[L]T') ORDER BY pos LIMIT 1",
@@ -615,24 +617,47 @@ NAV = "['Main Menu', 'List All Schemes']"
 SQL["topic_question_lists"] = with_(
     f"SELECT category, md5(array_to_string(({NAV} || questions)[1:12], '|')) AS suggestions FROM lists",
     "faqs", lists=TOPIC_LISTS.format(k=10))
-FAQ_RELATED = """
-  SELECT a.pos, list(b.question ORDER BY tier, b.pos) AS related FROM faqs a JOIN (
-    SELECT *, row_number() OVER (PARTITION BY owner ORDER BY tier, pos) AS n FROM (
-      SELECT * FROM (
-        SELECT x.pos AS owner, y.pos, y.question, CASE WHEN x.scheme <> '' AND x.scheme = y.scheme THEN 0 ELSE 1 END AS tier,
-          row_number() OVER (PARTITION BY x.pos, x.scheme <> '' AND x.scheme = y.scheme ORDER BY y.pos) AS s,
-          x.category = y.category AS same_topic
-        FROM faqs x JOIN faqs y ON x.pos <> y.pos)
-      WHERE (tier = 0 AND s <= 8) OR (tier = 1 AND same_topic))) b
-  ON b.owner = a.pos AND n <= 10 GROUP BY a.pos"""
+SAME_CONTENT = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ("question", "answer", "category", "scheme"))
+FAQ_RELATED = f"""
+  SELECT o.pos, coalesce(q1, []) || coalesce(q2, [])[1:10 - len(coalesce(q1, []))] AS related FROM faqs o LEFT JOIN (
+    SELECT pos, list(q ORDER BY seat)[1:8] AS q1 FROM (
+      SELECT x.pos, y.pos AS seat, y.question AS q FROM faqs x JOIN faqs y
+      ON x.scheme <> '' AND x.scheme = y.scheme AND y.question <> '' AND NOT ({SAME_CONTENT})) GROUP BY pos) a ON a.pos = o.pos
+  LEFT JOIN (
+    SELECT t.pos, list(q ORDER BY seat) AS q2 FROM (
+      SELECT x.pos, min(y.pos) AS seat, y.question AS q FROM faqs x JOIN faqs y
+      ON x.category IS NOT DISTINCT FROM y.category AND y.question <> '' AND NOT ({SAME_CONTENT}) GROUP BY x.pos, y.question) t
+    LEFT JOIN (SELECT pos, list(q ORDER BY seat)[1:8] AS q1 FROM (
+      SELECT x.pos, y.pos AS seat, y.question AS q FROM faqs x JOIN faqs y
+      ON x.scheme <> '' AND x.scheme = y.scheme AND y.question <> '' AND NOT ({SAME_CONTENT})) GROUP BY pos) b ON b.pos = t.pos
+    WHERE q1 IS NULL OR NOT list_contains(q1, q) GROUP BY t.pos) c ON c.pos = o.pos"""
+MESSY = CTES["faqs"] + """
+  UNION ALL SELECT item_id - 1000000, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN ''
+    WHEN 2 THEN CASE WHEN item_id % 8 = 2 THEN 'Main Menu' ELSE 'List All Schemes' END END, 'Answer ' || item_id,
+    'c' || (item_id % 7), CASE WHEN item_id % 5 = 0 THEN '' ELSE 's' || (item_id % 11) END FROM benchmark"""
 SQL["faq_related"] = with_(
-    """SELECT f.pos, md5(array_to_string(coalesce(related, []), '|')) AS related FROM faqs f
-    LEFT JOIN rel ON rel.pos = f.pos""", "faqs", rel=FAQ_RELATED)
+    "SELECT pos, md5(array_to_string(related, '|')) AS related FROM rel", "faqs", rel=FAQ_RELATED)
+SQL["faq_related_messy"] = with_(
+    "SELECT pos, md5(array_to_string(related, '|')) AS related FROM rel", faqs=MESSY, rel=FAQ_RELATED)
+SQL["topic_question_lists_messy"] = with_(
+    f"""SELECT category, md5(array_to_string(({NAV} || list(q ORDER BY seat))[1:12], '|')) AS suggestions FROM (
+    SELECT category, question AS q, min(pos) AS seat FROM faqs
+    WHERE question <> '' AND NOT list_contains({NAV}, question) GROUP BY ALL) GROUP BY category""", faqs=MESSY)
+OWN_QUESTIONS = """
+  SELECT scheme_id, list(question ORDER BY tier, pos) AS questions FROM (
+    SELECT *, row_number() OVER (PARTITION BY scheme_id, question ORDER BY tier, pos) AS d
+    FROM rel WHERE tier IS NOT NULL AND question <> '') WHERE d = 1 GROUP BY scheme_id"""
+FIRST_FIVE = """
+  SELECT category, list_filter(list(coalesce(question, '') ORDER BY pos)[1:5], lambda q: q <> '') AS questions FROM faqs GROUP BY category"""
+SUGGESTED = f"""SELECT n.pos AS scheme_pos, ({NAV} || list_filter(coalesce(own.questions, topic5.questions, []),
+    lambda q: NOT list_contains({NAV}, q)))[1:10] AS suggestions
+  FROM named n LEFT JOIN own USING (scheme_id) LEFT JOIN topic5 ON topic5.category = n.target_beneficiaries"""
+SQL["scheme_suggestions_messy"] = with_(
+    "SELECT scheme_pos, md5(array_to_string(suggestions, '|')) AS suggestions FROM suggested", "named", faqs=MESSY,
+    owners="SELECT * FROM named", rel=RELATED, own=OWN_QUESTIONS, topic5=FIRST_FIVE, suggested=SUGGESTED)
 SQL["faq_pools"] = with_(
-    """SELECT category, max(n) AS pool_size, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY r) AS drawn FROM (
-    SELECT *, count(*) OVER (PARTITION BY category) AS n,
-      row_number() OVER (PARTITION BY category ORDER BY md5('0:' || pos), pos) AS r FROM faqs)
-    WHERE r <= 5 GROUP BY category""", "faqs")
+    "SELECT category, pos, row_number() OVER (PARTITION BY category ORDER BY md5('0:' || pos), pos) - 1 AS draw_rank FROM faqs",
+    faqs=MESSY)
 SAMPLE = """
   SELECT pos, category, question, draw FROM (
     SELECT *, row_number() OVER (ORDER BY tier, turn, pos) AS n FROM (
@@ -715,6 +740,10 @@ def routed(body: str, source: str, *names: str, **extra: str) -> str:
 
 
 SQL["query_routes"] = routed("SELECT * FROM routes", "SELECT * FROM turns", "turns")
+SQL["stage_routes"] = routed("SELECT * FROM routes", f"""SELECT * FROM turns UNION ALL SELECT -10 * query_id - 1, query FROM name_queries
+  UNION ALL SELECT -10 * item_id - 2, regexp_extract(lower(text), '[^\\s.,]{{9,}}') FROM benchmark
+  UNION ALL SELECT -10 * s_suppkey - 3, ['', 'Main Menu please', 'Hello!', 'thanks a lot', 'What is your name?', 'show schemes now',
+    'my state', 'zzz'][s_suppkey % 8 + 1] FROM supplier""", "turns", "name_queries")
 COMMANDS = [
     "", "Main Menu please", "Hello!", "thanks a lot", "What is your name?", "show schemes now",
     "my state", "state", "who are you", "GM.", "zzz",
@@ -730,16 +759,15 @@ SQL["query_answers"] = routed(
       md5(array_to_string(CASE stage WHEN 'R11' THEN ({NAV} || related)[1:10]
         WHEN 'R10' THEN ({NAV} || topic_lists.questions)[1:12]
         WHEN 'R13' THEN ({NAV} || general)[1:7]
-        ELSE ({NAV} || coalesce(own.questions, topic5.questions, []))[1:10] END, '|')) AS suggestions
+        ELSE suggested.suggestions END, '|')) AS suggestions
     FROM routes LEFT JOIN cards USING (scheme_pos)
-    LEFT JOIN named ON named.pos = scheme_pos LEFT JOIN own USING (scheme_id)
-    LEFT JOIN topic5 ON topic5.category = named.target_beneficiaries
+    LEFT JOIN suggested USING (scheme_pos)
     LEFT JOIN topic_lists ON topic_lists.category = topic
     LEFT JOIN faq_rel ON faq_rel.pos = faq_pos
     CROSS JOIN (SELECT list(question ORDER BY draw) AS general FROM sample)""",
     "SELECT * FROM turns", "turns",
-    cards=card("named"), owners="SELECT * FROM named", rel=RELATED, own=OWN_LISTS,
-    topic5=TOPIC_LISTS.format(k=5), topic_lists=TOPIC_LISTS.format(k=10), faq_rel=FAQ_RELATED, sample=SAMPLE)
+    cards=card("named"), owners="SELECT * FROM named", rel=RELATED, own=OWN_QUESTIONS,
+    topic5=FIRST_FIVE, suggested=SUGGESTED, topic_lists=TOPIC_LISTS.format(k=10), faq_rel=FAQ_RELATED, sample=SAMPLE)
 
 # ---- D -------------------------------------------------------------------------------------------
 SQL["document_types"] = f"""
@@ -868,6 +896,9 @@ def localized(body: str, *names: str, **extra: str) -> str:
 
 SQL["localized_documents"] = localized(
     "SELECT text_id, lang, md5(text) AS localized FROM rebuilt", "texts", rebuilt=REBUILT)
+SQL["all_scheme_names"] = localized(
+    "SELECT lang, text_id AS pos, md5(text) AS name FROM rebuilt", "named", "texts",
+    texts="SELECT pos AS text_id, lang, name AS text FROM named, (SELECT unnest(['hi', 'ta', 'en']) AS lang)", rebuilt=REBUILT)
 SQL["localized_whole_texts"] = localized(
     """SELECT t.text_id, md5(coalesce(e.target, CASE WHEN is_compound THEN r.text END, t.text)) AS localized
     FROM (SELECT *, """ + compound("text") + """ AS is_compound FROM texts) t
@@ -931,13 +962,13 @@ SQL["english_queries"] = with_(
     ON source = query""", "name_queries")
 SQL["untranslated_fragments"] = localized("SELECT * FROM missing", "texts", "missing")
 SQL["translation_worklist"] = localized(
-    "SELECT lang, bucket, batch, len(fragments) AS fragments, md5(request) AS request FROM groups", "texts", "groups")
+    "SELECT lang, batch, len(fragments) AS fragments, md5(request) AS request FROM groups", "texts", "groups")
 SQL["merged_translations"] = localized(
     f"""SELECT lang, md5(source) AS source, md5(target) AS target FROM (
     SELECT lang, unnest(fragments) AS source, unnest(list_transform(got, lambda x: {strip_title('x')})) AS target FROM (
       SELECT *, list_filter(list_transform(string_split(reply, chr(10) || chr(10)), lambda p: {strip('p')}),
         lambda p: p <> '') AS got FROM (
-        SELECT *, CASE bucket % 5
+        SELECT *, CASE batch % 5
           WHEN 0 THEN array_to_string(list_transform(fragments, lambda f: 'Title : ~' || f)[2:11], chr(10) || chr(10))
           WHEN 1 THEN ' ' || request
           WHEN 2 THEN array_to_string(list_transform(fragments, lambda f: 'Error 500'), chr(10) || chr(10))

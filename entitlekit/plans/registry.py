@@ -127,6 +127,13 @@ def directory_national(spark, sf):
     return _browse(spark, sf, state="All India")
 
 
+@query
+def directory_order(spark, sf):
+    """Every scheme's position, the schemes of one state first."""
+    rows = directory.browse_order(s.directory(spark, sf), state="nation_3")
+    return rows.select("scheme_id", "badge", "position")
+
+
 @query
 def directory_badges(spark, sf):
     rows = s.directory(spark, sf)
@@ -385,11 +392,31 @@ def faq_related(spark, sf):
     return lists.select("pos", F.md5(joined("related")).alias("related"))
 
 
+@query
+def faq_related_messy(spark, sf):
+    """Related FAQs where heads are blank, repeated, or labels."""
+    lists = faq.related_faqs(s.messy_faqs(spark, sf))
+    return lists.select("pos", F.md5(joined("related")).alias("related"))
+
+
+@query
+def topic_question_lists_messy(spark, sf):
+    lists = faq.topic_questions(s.messy_faqs(spark, sf), 10, without=routing.NAV)
+    shown = routing.with_navigation("questions", routing.TOPIC_SUGGESTIONS)
+    return lists.select("category", F.md5(joined(shown)).alias("suggestions"))
+
+
+@query
+def scheme_suggestions_messy(spark, sf):
+    """Suggestions behind a scheme's card, from its own questions or its topic's first FAQs."""
+    lists = routing.related_questions(s.named_schemes(spark, sf), s.messy_faqs(spark, sf))
+    return lists.select("scheme_pos", F.md5(joined("suggestions")).alias("suggestions"))
+
+
 @query
 def faq_pools(spark, sf):
-    return faq.faq_pools(s.faqs(spark, sf)).select(
-        "category", "pool_size", joined("drawn", ",").alias("drawn")
-    )
+    """Whole pools: each FAQ at its place in its category's seeded order."""
+    return faq.faq_pool_rows(s.messy_faqs(spark, sf))
 
 
 @query
@@ -413,6 +440,28 @@ def query_routes(spark, sf):
     return _routes(spark, sf, s.turns(spark, sf))
 
 
+@query
+def stage_routes(spark, sf):
+    """Questions that together reach every stage."""
+    return _routes(spark, sf, s.stage_queries(spark, sf))
+
+
+@query
+def all_scheme_names(spark, sf):
+    """The names behind "list all", in each language that asked for them."""
+    key = F.col("s_suppkey")
+    asked = s.table(spark, sf, "supplier").select(
+        key.alias("query_id"), s.pick(key, 3, {0: F.lit("hi"), 1: F.lit("ta")}, F.lit("en")).alias("lang"),
+        s.pick(key, 2, {0: F.lit("Show schemes.")}, F.lit("hello")).alias("query"),
+    )
+    named = s.named_schemes(spark, sf)
+    routes = routing.prepare_queries(asked).select(
+        "lang", F.when(F.col("cheap_stage").isNull() & F.col("asks_list"), "R7").otherwise("other").alias("stage")
+    )
+    names = routing.all_names(routes, named, s.dictionary(spark, sf))
+    return names.select("lang", "pos", F.md5("name").alias("name"))
+
+
 @query
 def command_routes(spark, sf):
     """Every order asks a fixed command or names a state: the cheap stages."""
@@ -588,7 +637,7 @@ def untranslated_fragments(spark, sf):
 def translation_worklist(spark, sf):
     missing = untranslated_fragments(spark, sf)
     return localization.worklist(missing).select(
-        "lang", "bucket", "batch", F.size("fragments").cast("bigint").alias("fragments"),
+        "lang", "batch", F.size("fragments").cast("bigint").alias("fragments"),
         F.md5("request").alias("request"),
     )
 
@@ -597,7 +646,7 @@ def translation_worklist(spark, sf):
 def merged_translations(spark, sf):
     """Replies to the worklist: marked and with a heading; some lose a part or fail."""
     groups = localization.worklist(untranslated_fragments(spark, sf))
-    number = F.col("bucket")
+    number = F.col("batch")
     answered = F.transform("fragments", lambda f: F.concat(F.lit("Title : ~"), f))
     kept = F.slice(answered, 2, 10)
     reply = (

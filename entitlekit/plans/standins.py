@@ -152,6 +152,38 @@ def faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messy_faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The FAQs behind as many rows that are repeats, blank, menu labels, or without a question."""
+    clean = faqs(spark, sf_dir)
+    pos = F.col("pos")
+    question = pick(
+        pos, 4, {0: F.col("question"), 1: F.lit(""), 2: pick(pos, 8, {2: F.lit("Main Menu")}, F.lit("List All Schemes"))}, F.lit(None)
+    )
+    return clean.withColumns({"question": question, "pos": pos - 1000000}).unionByName(clean)
+
+
+def stage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of every kind: user turns, names of schemes, topic words, and commands (one for each supplier)."""
+    phrases = [
+        "", "Main Menu please", "Hello!", "thanks a lot", "What is your name?", "show schemes now", "my state", "zzz",
+    ]
+    key, item = F.col("s_suppkey"), F.col("item_id")
+    word = F.regexp_extract(F.lower("text"), r"[^\s.,]{9,}", 0)
+    parts = [
+        turns(spark, sf_dir).select("query_id", "query"),
+        name_queries(spark, sf_dir).select((-10 * F.col("query_id") - 1).alias("query_id"), "query"),
+        table(spark, sf_dir, "benchmark").select((-10 * item - 2).alias("query_id"), word.alias("query")),
+        table(spark, sf_dir, "supplier").select(
+            (-10 * key - 3).alias("query_id"),
+            pick(key, len(phrases), {i: F.lit(p) for i, p in enumerate(phrases)}, F.lit("")).alias("query"),
+        ),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.withColumn("lang", F.lit("en"))
+
+
 def _sentences(text: Column) -> Column:
     return F.filter(
         F.transform(F.split(text, r"[.\n]"), strip), lambda s: F.length(s) > 0
