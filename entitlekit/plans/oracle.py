@@ -1061,4 +1061,20 @@ SQL["confirmed_users"] = with_(
     n="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events
       WHERE event_id % 10 <> 0 AND event_type = 'signup') WHERE r = 1""")
 
+SQL["streamed_current"] = """
+SELECT user_id, ts, event_id, floor(value)::BIGINT AS age, event_type AS gender, floor(value * 10)::BIGINT AS income
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+# ---- S --------------------------------------------------------------------------------------------------
+SQL["stored_schemes"] = with_("SELECT scheme_id, pos, name, state, min_age FROM directory", "directory")
+SQL["stored_faqs"] = with_("SELECT pos, md5(question) AS question, answer, category, scheme FROM faqs", "faqs")
+SQL["stored_dictionary"] = with_(
+    "SELECT lang, ord, md5(target) AS target FROM dictionary WHERE ord % 4 > 1 AND target <> ''", "dictionary")
+SQL["faq_map_rows"] = with_(
+    """SELECT category AS lang, row_number() OVER (PARTITION BY category, pos // 50 ORDER BY pos) - 1 AS pos,
+    md5(question) AS question, answer, scheme FROM faqs""", "faqs")
+SQL["dictionary_rows"] = with_(
+    """SELECT 'from_en' AS direction, lang, md5(source) AS source, md5(min(target)) AS target
+    FROM dictionary GROUP BY lang, source""", "dictionary")
+
 ORACLE_SQL = SQL

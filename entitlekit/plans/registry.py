@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,9 +21,11 @@ from ..operators import (
     routing,
     verification,
 )
+from ..schemas import DICTIONARY, FAQ
+from ..sizing import shared_dir
 from ..sources import catalog
 from ..streaming.eligibility import stream_eligibility
-from ..streaming.upserts import current_profiles, read_log, stream_upsert_profiles
+from ..streaming.upserts import current_profiles, read_log, stream_current, stream_upsert_profiles
 from . import standins as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -824,14 +825,8 @@ def confirmed_users(spark, sf):
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only on one machine without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/entitlekit/{uuid.uuid4()}"
-    master = spark.sparkContext.master
-    if not master.startswith("local") or "cluster" in master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="entitlekit-")
+    """A new folder under the cluster's shared one."""
+    return f"{shared_dir(spark)}/entitlekit/{uuid.uuid4()}"
 
 
 @query
@@ -865,3 +860,79 @@ def streamed_upserts(spark, sf):
     users = current_profiles(s.users(spark, sf), read_log(spark, f"{work}/log"))
     return _user_view(users, *_profile_view())
 
+
+@query
+def streamed_current(spark, sf):
+    """The same changes through keyed state: the newest of each user by (ts, event_id)."""
+    work = _work_dir(spark)
+    events = s.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
+    changes = s.profile_changes_of(stream).withColumn("event_id", F.col("name").cast("bigint"))
+    order = ("ts", "event_id")
+    stream_current(changes, f"{work}/log", "current", order=order, checkpoint=f"{work}/state").awaitTermination()
+    log = ranking.last_write_wins(read_log(spark, f"{work}/log", changes.schema), ["user_id"], [*order, "batch_id"])
+    return log.select("user_id", "ts", "event_id", "age", "gender", "income")
+
+
+# ---- S: sources -----------------------------------------------------------------------------------
+
+
+@query
+def stored_schemes(spark, sf):
+    """The catalog written twice, the second time by the same run, and read back."""
+    path = f"{_work_dir(spark)}/schemes"
+    rows = s.directory(spark, sf)
+    catalog.reload(rows.where("pos % 2 = 0"), path)
+    for _ in range(2):
+        catalog.reload(rows, path, run="all")
+    return catalog.read_schemes(spark, path).select("scheme_id", "pos", "name", "state", F.col("rules.min_age").alias("min_age"))
+
+
+@query
+def stored_faqs(spark, sf):
+    """FAQs added in two runs, one of them repeated, and read back."""
+    path = f"{_work_dir(spark)}/faqs"
+    rows = s.faqs(spark, sf).withColumn("en", F.lit(None).cast(FAQ["en"].dataType))
+    for run in ("0", "1", "0"):
+        catalog.append(rows.where(F.col("pos") % 2 == int(run)), path, run=run)
+    return catalog.read_faqs(spark, path).select("pos", F.md5("question").alias("question"), "answer", "category", "scheme")
+
+
+@query
+def stored_dictionary(spark, sf):
+    """The storable rows of a dictionary, some of them empty or errors, written and read back."""
+    path = f"{_work_dir(spark)}/dictionary"
+    rows = s.dictionary(spark, sf)
+    target = s.pick(F.col("ord"), 4, {0: F.lit(""), 1: F.concat(F.lit("Error 500 "), F.col("target"))}, F.col("target"))
+    catalog.write_dictionary(rows.withColumn("target", target), path)
+    stored = catalog.read_table(spark, path, DICTIONARY)
+    return stored.select("lang", "ord", F.md5("target").alias("target"))
+
+
+def _written(rows: DataFrame, path: str) -> str:
+    """Each row's ``value`` as a text file of its own."""
+    rows.write.partitionBy("bucket").text(path)
+    return path
+
+
+@query
+def faq_map_rows(spark, sf):
+    """S3: files of up to 50 FAQs of a category, written as JSON objects and read back."""
+    rows = s.faqs(spark, sf).withColumn("bucket", F.concat_ws("-", "category", F.floor(F.col("pos") / 50).cast("string")))
+    entry = F.struct("pos", F.struct("question", "answer", "category", "scheme").alias("faq"))
+    lists = rows.groupBy("bucket", "category").agg(F.sort_array(F.collect_list(entry))["faq"].alias("faqs"))
+    files = lists.select("bucket", F.to_json(F.create_map("category", "faqs")).alias("value"))
+    path = _written(files, f"{_work_dir(spark)}/maps")
+    return catalog.read_faq_map(spark, path).select("lang", "pos", F.md5("question").alias("question"), "answer", "scheme")
+
+
+@query
+def dictionary_rows(spark, sf):
+    """Files of up to 100 entries, written as JSON objects and read back."""
+    rows = s.dictionary(spark, sf).groupBy(F.concat_ws(":", "lang", "source").alias("key")).agg(F.min("ord").alias("ord"), F.min("target").alias("target"))
+    quoted = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    entry = F.struct("ord", F.concat(quoted("key"), F.lit(": "), quoted("target")).alias("entry"))
+    lists = rows.withColumn("bucket", F.floor(F.col("ord") / 100)).groupBy("bucket").agg(F.sort_array(F.collect_list(entry))["entry"].alias("entries"))
+    files = lists.select("bucket", F.concat(F.lit("{"), F.array_join("entries", ",\n "), F.lit("}")).alias("value"))
+    path = _written(files, f"{_work_dir(spark)}/dictionaries")
+    return catalog.read_dictionary(spark, path).select("direction", "lang", F.md5("source").alias("source"), F.md5("target").alias("target"))

@@ -3,15 +3,18 @@
 Each micro-batch is reduced to the newest change per user and written as its own ``batch_id``
 folder of a change log. Rewriting a batch replaces its folder, so a replay changes nothing, and no
 batch rewrites the base table. ``current_profiles`` merges base and log; ``compact_profiles``
-writes that merge as a new base.
+writes that merge as a new base. ``stream_current`` keeps the newest change of each user as keyed state
+and logs only what is newer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.maintenance import replace_profile
 from ..operators.ranking import last_write_wins
@@ -47,8 +50,91 @@ def stream_upsert_profiles(
     )
 
 
-def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.parquet(log_path)
+def read_log(spark: SparkSession, log_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The change log. With the ``schema`` of the changes, a log that no batch has written yet is empty."""
+    if schema is None:
+        return spark.read.parquet(log_path)
+    logged = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
+    try:
+        return spark.read.schema(logged).parquet(log_path)
+    except AnalysisException:
+        return spark.createDataFrame([], logged)
+
+
+# ---- keyed state ---------------------------------------------------------------------------------
+
+
+class NewestRow(StatefulProcessor):
+    """Keeps the newest row of each key by ``order``, and passes it on whenever it changes.
+
+    With ``idle_ms`` a key that gets no newer row for that long is forgotten (processing-time timer).
+    """
+
+    def __init__(self, schema: T.StructType, order: list[str], idle_ms: int | None):
+        self.schema, self.order, self.idle_ms = schema, order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        names = [f.name for f in self.schema.fields]
+        places = [names.index(c) for c in self.order]
+        rank = lambda row: tuple((row[i] is not None, row[i]) for i in places)
+        # a tie beyond the order is settled by the rows themselves, not by when they came
+        full = lambda row: (rank(row), tuple(map(repr, row)))
+        before = tuple(self.newest.get()) if self.newest.exists() else None
+        best = max((tuple(r[n] for n in names) for r in rows), key=full)
+        if before is not None and full(before) >= full(best):
+            return
+        self.newest.update(best)
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield Row(**dict(zip(names, best)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_newest(
+    change_stream: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts",), idle_ms: int | None = None
+) -> DataFrame:
+    """Z2 with state: a stream of each key's newest row, whenever it changes (update mode).
+
+    Late and repeated rows change nothing. The state is kept by key, so a key of many rows is one
+    row of state. Needs the RocksDB state store, which this sets for the session.
+    """
+    spark = change_stream.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    processor = NewestRow(change_stream.schema, list(order), idle_ms)
+    return change_stream.groupBy(key).transformWithState(
+        processor, change_stream.schema, "Update", "ProcessingTime" if idle_ms is not None else "None"
+    )
+
+
+def stream_current(
+    change_stream: DataFrame, log_path: str, name: str, key: str = "user_id", order: tuple[str, ...] = ("ts",),
+    checkpoint: str | None = None, idle_ms: int | None = None, **trigger,
+) -> StreamingQuery:
+    """Write ``stream_newest`` to a change log, a folder for each batch, for ``current_profiles``."""
+    newest = stream_newest(change_stream, key, order, idle_ms)
+    location = checkpoint or f"{shared_dir(change_stream.sparkSession)}/streams/{name}"
+    return (
+        newest.writeStream.queryName(name).outputMode("update")
+        .option("checkpointLocation", location)
+        .foreachBatch(upsert_batch(log_path, key, list(order)))
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
 
 def current_profiles(
@@ -65,5 +151,6 @@ def compact_profiles(base: DataFrame, log: DataFrame, new_base: str, **options)
 
 
 __all__ = [
-    "compact_profiles", "current_profiles", "read_log", "stream_upsert_profiles", "upsert_batch",
+    "NewestRow", "compact_profiles", "current_profiles", "read_log", "stream_current", "stream_newest",
+    "stream_upsert_profiles", "upsert_batch",
 ]

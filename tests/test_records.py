@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from entitlekit.operators import maintenance as m
 from entitlekit.operators.ranking import last_write_wins
 from entitlekit.plans import standins
-from entitlekit.schemas import FAQ, SCHEME
+from entitlekit.schemas import DICTIONARY, FAQ, SCHEME
 from entitlekit.sources import catalog
 from entitlekit.streaming.eligibility import stream_eligibility
 from entitlekit.streaming.upserts import compact_profiles, current_profiles, read_log, upsert_batch
@@ -90,7 +90,7 @@ def test_language_files(spark, tmp_path):
     kept = {(r.direction, r.lang, r.source): r.target for r in catalog.storable(dictionary).collect()}
     assert kept == {("from_en", "hi", "a: b"): "x", ("to_en", None, "क:ख"): "k"}
     catalog.write_dictionary(dictionary, str(tmp_path / "stored"))
-    assert spark.read.parquet(str(tmp_path / "stored")).count() == 2
+    assert catalog.read_table(spark, str(tmp_path / "stored"), DICTIONARY).count() == 2
     (tmp_path / "bad.json").write_text("{not json")
     assert catalog.read_dictionary(spark, str(tmp_path / "bad.json")).count() == 0
     assert catalog.read_dictionary(spark, str(tmp_path / "none.json")).count() == 0
