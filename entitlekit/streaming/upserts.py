@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -64,35 +65,36 @@ def read_log(spark: SparkSession, log_path: str, schema: T.StructType | None = N
 # ---- keyed state ---------------------------------------------------------------------------------
 
 
+ORDER, TIE = "__order_{}", "__tie"
+
+
 class NewestRow(StatefulProcessor):
-    """Keeps the newest row of each key by ``order``, and passes it on whenever it changes.
+    """Keeps the rank of the newest row of each key, and passes a row on whenever it is newer.
 
-    With ``idle_ms`` a key that gets no newer row for that long is forgotten (processing-time timer).
+    Rows carry their rank as numbers or texts (``ORDER``, then ``TIE``). With ``idle_ms`` a key that gets
+    no newer row for that long is forgotten (processing-time timer).
     """
 
-    def __init__(self, schema: T.StructType, order: list[str], idle_ms: int | None):
-        self.schema, self.order, self.idle_ms = schema, order, idle_ms
+    def __init__(self, rank: T.StructType, names: list[str], idle_ms: int | None):
+        self.rank, self.names, self.idle_ms = rank, names, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", self.schema)
+        self.newest = handle.getValueState("newest", self.rank)
 
     def handleInputRows(self, key, rows, timerValues):
-        names = [f.name for f in self.schema.fields]
-        places = [names.index(c) for c in self.order]
-        rank = lambda row: tuple((row[i] is not None, row[i]) for i in places)
-        # a tie beyond the order is settled by the rows themselves, not by when they came
-        full = lambda row: (rank(row), tuple(map(repr, row)))
-        before = tuple(self.newest.get()) if self.newest.exists() else None
-        best = max((tuple(r[n] for n in names) for r in rows), key=full)
-        if before is not None and full(before) >= full(best):
+        ranks = [f.name for f in self.rank.fields]
+        order = lambda rank: tuple((v is not None, v) for v in rank)
+        best = max(rows, key=lambda r: order(r[c] for c in ranks))
+        rank = tuple(best[c] for c in ranks)
+        if self.newest.exists() and order(self.newest.get()) >= order(rank):
             return
-        self.newest.update(best)
+        self.newest.update(rank)
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield Row(**dict(zip(names, best)))
+        yield Row(**{n: best[n] for n in self.names})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.newest.clear()
@@ -107,16 +109,25 @@ def stream_newest(
 ) -> DataFrame:
     """Z2 with state: a stream of each key's newest row, whenever it changes (update mode).
 
-    Late and repeated rows change nothing. The state is kept by key, so a key of many rows is one
-    row of state. Needs the RocksDB state store, which this sets for the session.
+    Late and repeated rows change nothing; ties beyond ``order`` are settled by the rows' content, not by
+    when they come. The state of a key is the rank of its newest row, so a key of many rows is one
+    small row of state. Needs the RocksDB state store, which this sets for the session.
     """
     spark = change_stream.sparkSession
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    processor = NewestRow(change_stream.schema, list(order), idle_ms)
-    return change_stream.groupBy(key).transformWithState(
+    types = dict(change_stream.dtypes)
+    # moments are compared as numbers: a time zone must not decide
+    number = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp")), "date": F.unix_date}
+    ranked = change_stream.withColumns({
+        **{ORDER.format(i): number.get(types[c], lambda x: x)(F.col(c)) for i, c in enumerate(order)},
+        TIE: F.xxhash64(*change_stream.columns),
+    })
+    rank = T.StructType(ranked.schema.fields[len(change_stream.columns) :])
+    processor = NewestRow(rank, change_stream.columns, idle_ms)
+    return ranked.groupBy(key).transformWithState(
         processor, change_stream.schema, "Update", "ProcessingTime" if idle_ms is not None else "None"
     )
 
