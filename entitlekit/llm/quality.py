@@ -19,11 +19,11 @@ from entitlekit.llm.common import checkpoint
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+ENDS = "!.?…。！？।॥؟۔"  # of sentences
 PLACE_BITS = 24  # a window's place in its code; longer texts are counted by sorted strings
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_STEPS, SETTLED, KEEP_FROM = 20, 1e-3, 0.5
-PRIOR = 0.8  # the share of good documents, before any vote
-BETTER = math.log(12)  # a vote for bad is at least this much likelier on a bad document
+PRIOR = 0.8  # the share of good documents: what votes alone can't tell, as rare faults leave most documents without any
 
 
 def repeated_words(words: str, n: str) -> tuple[Column, Column, Column]:
@@ -88,9 +88,10 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("clash") | (F.col("n") >= 1 << PLACE_BITS), by_strings("words", "n")).otherwise(count).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("words", lambda w: w == F.upper(w))).cast("long").alias("n_upper_words"),
-        F.size(F.filter("words", lambda w: F.right(w, F.lit(1)).isin("!", ".", "?", "…"))).cast("long").alias("n_ends"),
+        F.size(F.filter("words", lambda w: (w == F.upper(w)) & (w != F.lower(w)))).cast("long").alias("n_upper_words"),
+        F.size(F.filter("words", lambda w: F.right(w, F.lit(1)).isin(*ENDS))).cast("long").alias("n_ends"),
         removed("!").cast("long").alias("n_shouts"),
+        F.size(F.filter("words", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_unlettered"),
     )
 
 
@@ -114,18 +115,21 @@ def rules() -> dict[str, Column]:
         "sentences": _vote((c("n_ends") * 100 >= n) & (c("n_ends") * 5 <= n), (c("n_ends") * 100 < n) & (n >= MIN_WORDS)),
         "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 8 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 12 * n)),
         "shouts": _vote(never, c("n_shouts") * 10 > n),
+        "letters": _vote(never, c("n_unlettered") * 10 > n),
     }
 
 
-RULES = ("length", "repeats", "symbols", "lines", "case", "sentences", "word_length", "shouts")
+RULES = ("length", "repeats", "symbols", "lines", "case", "sentences", "word_length", "shouts", "letters")
 
 
 def posterior(rates: dict[str, tuple[float, float, float, float]], prior: float = PRIOR) -> Column:
     """Probability of good. ``rates`` has for each rule how often it votes good on good and on bad
-    documents, then how often it votes bad on good and on bad ones; an abstention says nothing."""
+    documents, then how often it votes bad on good and on bad ones; an abstention says nothing (were it to
+    count, the most frequent fault would become the class of bad documents, and the others none). A
+    vote that is found to be the wrong way round says nothing either."""
     odds = F.lit(math.log(prior / (1 - prior)))
     for rule, (good_good, good_bad, bad_good, bad_bad) in rates.items():
-        right, wrong = max(math.log(good_good / good_bad), 0.0), min(math.log(bad_good / bad_bad), -BETTER)
+        right, wrong = max(math.log(good_good / good_bad), 0.0), min(math.log(bad_good / bad_bad), 0.0)
         odds = odds + F.when(F.col(rule) == 1, F.lit(right)).when(F.col(rule) == -1, F.lit(wrong)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-odds))
 
@@ -134,7 +138,8 @@ def estimate(votes: DataFrame) -> dict[str, tuple[float, float, float, float]]:
     """The rates by expectation-maximisation over the rule columns of ``votes``.
 
     The accuracy of a rule's vote follows from its rates and the prior. To begin with, a vote for bad
-    is taken to be nine times likelier on a bad document, and a vote for good to say little.
+    is taken to be nine times likelier on a bad document, and a vote for good to say little; all
+    rules start alike, so what tells them apart is only how they agree.
     """
     patterns = checkpoint(votes.groupBy(*RULES).agg(F.count(F.lit(1)).cast("double").alias("docs")))
     rates = {rule: (0.5, 0.45, 0.05, 0.45) for rule in RULES}
