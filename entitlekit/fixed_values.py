@@ -13,14 +13,16 @@ ALL = "all"
 MATCH_SCORE = 100
 
 # FAQ scoring
-STOP_WORDS = (
-    "what is the how to for a an in of and are can do i my me please tell about which "
-    "give show list know want need get"
-).split()
-EXTRA_BOOSTERS = (
-    "kanya sumangala vatsalya sukanya samriddhi jan dhan pmegp svanidhi vishwakarma diksha "
-    "nipun samagra shreyas karmayogi agnipath suraksha bima jyoti"
-).split()
+STOP_WORDS = [
+    "what", "is", "the", "how", "to", "for", "a", "an", "in", "of", "and", "are", "can", "do", "i",
+    "my", "me", "please", "tell", "about", "which", "give", "show", "list", "know", "want", "need",
+    "get",
+]
+EXTRA_BOOSTERS = [
+    "kanya", "sumangala", "vatsalya", "sukanya", "samriddhi", "jan", "dhan", "pmegp", "svanidhi",
+    "vishwakarma", "diksha", "nipun", "samagra", "shreyas", "karmayogi", "agnipath", "suraksha",
+    "bima", "jyoti",
+]
 FAQ_THRESHOLD = 0.3
 BOOSTER_POINTS = 0.3
 CONTAINMENT_POINTS = 0.4
@@ -59,34 +61,6 @@ SPECIFIC_KEYWORDS = [
 MENU_LABEL = "Main Menu"
 LIST_LABEL = "List All Schemes"
 
-# Default keyword table: topic -> words
-KEYWORDS = {
-    "agriculture": "farmer farmers kisan krishi agriculture crop land tractor fertilizer seed "
-    "farming cultivation fasal bima insurance irrigation pumps organic harvest soil matsya "
-    "fisheries bees honey dairy",
-    "health": "health medical doctor medicine hospital ayushman sick disease emergency treatment "
-    "pregnant maternity delivery nutrition poshan vaccine injection generic ambulance mental "
-    "disability handicap",
-    "housing": "house building awas toilet electricity water tap shelter urban slum gas lpg "
-    "saubhagya",
-    "business": "business startup loan loans money finance entrepreneur industry msme mudra shop "
-    "credit investment work job employment mgnrega unemployed skill artisan khadi weaver craft "
-    "tender",
-    "education": "student students education school college scholarship scholarships study exam "
-    "degree university course literacy schooling teacher fellowship phd merit",
-    "social": "social pension poor elderly widow widows disabled worker workers bpl security "
-    "welfare poverty old orphan transgender tribal sc st retirement",
-}
-STATE_KEYWORDS = {
-    "maharashtra": "state_maharashtra", "karnataka": "state_karnataka",
-    "tamil nadu": "state_tamil_nadu", "tamilnadu": "state_tamil_nadu",
-    "up": "state_uttar_pradesh", "uttar pradesh": "state_uttar_pradesh",
-    "west bengal": "state_west_bengal", "bengal": "state_west_bengal",
-    "gujarat": "state_gujarat", "rajasthan": "state_rajasthan", "kerala": "state_kerala",
-    "punjab": "state_punjab", "delhi": "state_delhi", "haryana": "state_haryana",
-    "bihar": "state_bihar", "mp": "state_madhya_pradesh",
-}
-
 # Scheme card
 REQUIRED_DOCUMENTS = ["Aadhaar Card", "Identity Proof", "Income Certificate", "Bank Details"]
 CARD_HEADINGS = [
@@ -122,6 +96,11 @@ CATEGORY_ORDER = ["OBC", "SC", "ST", "GENERAL"]
 INCOME_PATTERN = r"(?i)(?:Rs\.?|INR|Total|Annual|Income|Amount|Salary)[:\s]*([\d,]+)"
 PAYLOAD_ROOT = "<PrintLetterBarcodeData"
 ADDRESS_PARTS = ["house", "street", "lm", "loc", "vtc", "dist", "state", "pc"]
+FULL_DATE = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
+SCAN_DATE = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
+PLAIN_NAME = r"(?iU)Name:?\s*([\w\s\.]+?)(?:\n|DOB|Gender|$)"
+PLAIN_DOB = r"(?iU)DOB:?\s*([\d/-]+)"
+PLAIN_GENDER = r"(?iU)Gender:?\s*(Male|Female|M|F)"
 CORRUPT_NAME_MARKS = ["NDT", "RNMENT"]
 
 # Languages

@@ -14,15 +14,17 @@ from ..fixed_values import (
     DOC_IDENTITY,
     DOC_INCOME,
     DOC_UNKNOWN,
+    FULL_DATE,
     IDENTITY_MARKS,
     INCOME_MARKS,
     INCOME_PATTERN,
     PAYLOAD_ROOT,
+    PLAIN_DOB,
+    PLAIN_GENDER,
+    PLAIN_NAME,
 )
 from .text import col, contains_any, first_of, or_empty, present, strip
 
-FULL_DATE = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-
 
 def normalize_date(value: Column | str) -> Column:
     """``YYYY-MM-DD`` from day-first dates; else the first four digits; else the text itself."""
@@ -172,9 +174,9 @@ def pattern_identity(payload: Column | str, known: Column) -> Column:
     payload = or_empty(payload)
     tag = {f: _match(payload, rf"(?iu)<{f}[^>]*>([^<]+)</{f}>") for f in ("name", "dob", "gender")}
     attribute = {f: _match(payload, rf'(?iu){f}="([^"]+)"') for f in ("name", "dob")}
-    plain_name = _match(payload, r"(?iU)Name:?\s*([\w\s\.]+?)(?:\n|DOB|Gender|$)")
-    plain_dob = _match(payload, r"(?iU)DOB:?\s*([\d/-]+)")
-    plain_gender = _match(payload, r"(?iU)Gender:?\s*(Male|Female|M|F)")
+    plain_name = _match(payload, PLAIN_NAME)
+    plain_dob = _match(payload, PLAIN_DOB)
+    plain_gender = _match(payload, PLAIN_GENDER)
 
     names = [
         (long_enough(tag["name"]), "regex_tag_name"),

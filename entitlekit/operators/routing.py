@@ -303,16 +303,16 @@ def general_suggestions(faqs: DataFrame, fixed: list[str], seed: int = 0) -> Dat
 
 
 def default_messages(spark, assistant: str) -> DataFrame:
-    """English texts of the fixed answers, as a ``messages(lang, key, text)`` table."""
+    """English texts for the fixed answers, as a ``messages(lang, key, text)`` table; ours, to be replaced by your own."""
     texts = {
-        "greeting": f"Hello! I am {assistant}. How can I help you today?",
-        "thanks": "You're very welcome! Do you have any other questions about schemes?",
-        "small_talk": f"I am doing great! I am {assistant}. How can I assist you today?",
-        "list_all": "I found {count} government schemes. Pick any scheme name to see its details.",
-        "state_prompt": "Which state are you from? Please select or type your state name.",
-        "topic_intro": "I found several schemes related to {topic}.",
-        "state_intro": "Here are the major government schemes available in {topic}:",
-        "fallback": "Sorry, I couldn't understand your question clearly.",
+        "greeting": f"Welcome, this is {assistant}. What would you like to know?",
+        "thanks": "Glad that helped. Ask on if there is more.",
+        "small_talk": f"All well here. {assistant} answers questions about schemes.",
+        "list_all": "{count} schemes are on file. Choose a name to read more.",
+        "state_prompt": "For which state? Choose one or type its name.",
+        "topic_intro": "Schemes on {topic}:",
+        "state_intro": "Schemes in {topic}:",
+        "fallback": "That question wasn't clear to us.",
     }
     return spark.createDataFrame(
         [("en", key, text) for key, text in texts.items()], "lang string, key string, text string"

@@ -16,6 +16,7 @@ from ..fixed_values import (
     DOC_INCOME,
     HEADER_WORDS,
     NOISE_WORDS,
+    SCAN_DATE,
 )
 from ..functions.documents import (
     CAPITAL_SCHEMA,
@@ -48,7 +49,6 @@ VERIFIED, PARTIAL, PROCESSING, REJECTED = (
     "Verified", "Partially Verified", "Processing", "Rejected",
 )
 MISMATCH, NOT_SCANNED, PARSE_ERROR = "Mismatch", "Not Scanned", "Error Parsing"
-SCAN_DATE = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
 
 
 # ---- D1-D6 document text ------------------------------------------------------------

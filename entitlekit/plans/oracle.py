@@ -754,8 +754,8 @@ SQL["command_routes"] = routed(
 SQL["query_answers"] = routed(
     f"""SELECT query_id, lang, stage,
       md5(CASE stage WHEN 'R11' THEN 'Answer ' || faq_pos
-        WHEN 'R10' THEN 'I found several schemes related to ' || upper(topic) || '.'
-        WHEN 'R13' THEN 'Sorry, I couldn''t understand your question clearly.' ELSE card END) AS response,
+        WHEN 'R10' THEN 'Schemes on ' || upper(topic) || ':'
+        WHEN 'R13' THEN 'That question wasn''t clear to us.' ELSE card END) AS response,
       md5(array_to_string(CASE stage WHEN 'R11' THEN ({NAV} || related)[1:10]
         WHEN 'R10' THEN ({NAV} || topic_lists.questions)[1:12]
         WHEN 'R13' THEN ({NAV} || general)[1:7]
