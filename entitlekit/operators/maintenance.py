@@ -72,10 +72,18 @@ def fold_patches(changes: DataFrame, key: str, order: list[str], fields: list[st
 
 
 def update_fields(
-    base: DataFrame, changes: DataFrame, key: str, fields: list[str]
+    base: DataFrame, changes: DataFrame, key: str, fields: list[str], order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(base with supplied fields set, keys that matched nothing). One change row per key."""
-    patch = changes.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
+    """(base with supplied fields set, keys that matched nothing).
+
+    A key may have several changes: of each field the newest supplied value counts by ``order``, the
+    greatest one without it. Base rows never multiply.
+    """
+    if order:
+        patch = fold_patches(changes, key, order, fields)
+    else:
+        patch = changes.groupBy(key).agg(*[F.max(f).alias(f) for f in fields])
+    patch = patch.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
     joined = base.join(patch, key, "left")
     out = [
         F.coalesce(f"__{c}", F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns
@@ -100,11 +108,13 @@ def update_nested(
 ) -> DataFrame:
     """Set ``documents.<doc_key>`` from ``changes(key, doc_key, document)``.
 
-    With ``order`` the newest change of each document counts; without it each document may have
-    one change. A user's changes are folded into one map; a user holds few document types.
+    With ``order`` the newest change of each document counts, without it the greatest. A user's
+    changes are folded into one map; a user holds few document types.
     """
     if order:
         changes = last_write_wins(changes, [key, "doc_key"], order)
+    else:
+        changes = changes.groupBy(key, "doc_key").agg(F.max("document").alias("document"))
     per_user = changes.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("doc_key", "document"))).alias("__new")
     )

@@ -852,12 +852,13 @@ def streamed_upserts(spark, sf):
     work = _work_dir(spark)
     events = s.table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
-    changes = s.profile_changes_of(stream)
+    changes = s.profile_changes_of(stream).withColumn("event_id", F.col("name").cast("bigint"))
+    order = ("ts", "event_id")
     run = stream_upsert_profiles(
-        changes, f"{work}/log", "upserts", checkpoint=f"{work}/state"
+        changes, f"{work}/log", "upserts", order=order, checkpoint=f"{work}/state"
     )
     run.awaitTermination()
-    users = current_profiles(s.users(spark, sf), read_log(spark, f"{work}/log"))
+    users = current_profiles(s.users(spark, sf), read_log(spark, f"{work}/log", changes.schema), order=order)
     return _user_view(users, *_profile_view())
 
 

@@ -124,3 +124,22 @@ def test_tied_and_repeated_new_rows_are_accepted_or_rejected(spark):
     merged, rejects = m.insert_if_absent(base, spark.createDataFrame(rows, base.schema), "email", ["at"])
     assert sorted(r["email"] for r in merged.collect()) == ["a", "b", "old"]
     assert sorted(str(r["email"]) for r in rejects.collect()) == ["None", "a", "a", "b", "old"]
+
+
+def test_repeated_changes_of_a_key_never_multiply_its_row(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z")], "id long, name string, role string")
+    rows = [(1, "m", None, 1), (1, "k", "r", 2), (1, None, "q", 3), (1, "m", None, 1), (None, "n", "n", 1), (9, "o", None, 1)]
+    changes = spark.createDataFrame(rows, "id long, name string, role string, at int")
+    greatest, missing = m.update_fields(base, changes, "id", ["name", "role"])
+    assert sorted(map(tuple, greatest.where("id is not null").collect())) == [(1, "m", "r"), (2, "b", "y")]
+    newest, _ = m.update_fields(base, changes, "id", ["name", "role"], order=["at"])
+    assert sorted(map(tuple, newest.where("id is not null").collect())) == [(1, "k", "q"), (2, "b", "y")]
+    assert newest.count() == 3
+
+
+def test_repeated_document_changes_without_an_order(spark):
+    users = standins.users(spark, SF_DIR).where("user_id = 1")
+    entry = users.select("user_id", F.lit("income").alias("doc_key"), F.col("documents")["income"].alias("document"))
+    changes = entry.withColumn("document", F.col("document").withField("confidence", F.lit(7))).unionByName(entry)
+    once = m.update_nested(users, changes.union(changes)).first()
+    assert set(once.documents) == {"aadhaar", "income", "caste"} and once.documents["income"].confidence in (1, 7)
