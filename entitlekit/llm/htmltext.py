@@ -1,19 +1,27 @@
 """Operator 5: the main text of web pages, by a style tree of each site.
 
-A page is read as blocks of text under paths of block elements (a tag with its classes). What a tag or a
-class declares to be no content is left out, and so is all outside <article> or <main> where a page has
-one. The pages of a host are then merged into one tree: for each path, the entropy of the texts that its
-pages hold there and that of its presentation (the elements that make it up) tell how important the
-branch is. A branch that says the same in the same form on page after page is removed from each of them.
+A page is read as a tree of block elements; a branch is known by its path of tags with their classes.
+The pages of a host are merged into one tree of all their branches, menus and footers included. A branch
+has an importance there, from three figures of the host's different pages that hold it: the entropy of its
+form (the elements that make it up), that of its content (of the texts of its leaves, carried upwards by
+their words), and its share of the words of its pages. A branch that has one form and a small share, or the
+same text on page after page, is of no importance.
+
+The markup sets what a branch must reach. What is declared as no content (a footer, a class that says
+``ad``, whatever stands beside an <article>) must hold most of the words of its pages, in texts that differ, to
+stay; a branch that isn't declared goes only if it is of hardly any importance. So classes never remove the branch
+that holds a page's text, and every article stays. Scripts, controls and readers' comments always go.
 Pages that are copies of each other count once, so a text isn't taken for a template because it is copied.
 
-Counting is a grouped aggregation by (host, path, value), which no popular host makes uneven. Pages stay
-in their input splits if the removed branches are small enough to be broadcast; if not, the pages of a
-host are dealt by salt to as many tasks as there are shuffle partitions, each with a copy of its branches.
+Counting is a grouped aggregation by (host, branch, value), which no popular host makes uneven. Only branches that
+are judged against their declaration travel back to the pages. These stay in their input splits if that list is
+small enough to be broadcast; if not, the pages of a host are dealt by salt to as many tasks as there are
+shuffle partitions, each with a copy of its list.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -24,8 +32,10 @@ from pyspark.sql import functions as F
 
 from entitlekit.llm.common import buckets_of, checkpoint
 
-LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.15
-BROADCAST_BYTES = 64 << 20  # removed branches are broadcast up to this measured size, and joined by a shuffle beyond
+LEAST_PAGES = 4  # different pages of a host that hold a branch, for it to be removed without a declaration
+LEAST_CONTENT, LEAST_IMPORTANCE, MOST = 0.15, 0.05, 0.5
+BROADCAST_BYTES = 64 << 20  # verdicts are broadcast up to this measured size, and joined by a shuffle beyond
+DEPTH = 512  # as in browsers, what is nested deeper belongs to the branch at this depth
 
 # Element names of HTML, and words in classes and ids that declare what isn't content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,11 +44,15 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr br img".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-SKIPPED = frozenset(
-    "head script style template noscript nav footer aside form button select option menu dialog svg math canvas object "
-    "iframe textarea title audio video map noframes noembed input fieldset".split()
+NEVER = frozenset(
+    "head script style template noscript button select option svg math canvas object iframe textarea title audio video "
+    "map noframes noembed input datalist".split()
 )
+SHUT = frozenset("nav footer aside menu dialog".split())
+DECLARED = SHUT | {"form", "fieldset"}
 MAIN = frozenset({"article", "main"})
+CONTAINER = frozenset("html body div section center td th tr tbody table form fieldset article main".split())
+ITEM = frozenset("li dt dd tr td th".split())  # a run of them of one form counts as one, so a list has one form at any length
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices newsletter subscribe subscription popup modal overlay menu menus nav navbar navigation "
@@ -46,6 +60,10 @@ NOISE = frozenset(
     "reply replies share sharing social related recommended recommendations login signup pagination pager toolbar "
     "skip hidden".split()
 )
+NEUTRAL = frozenset(
+    "site page main top bottom left right box block area section list bar item items unit slot link links post posts article "
+    "articles story stories form inner outer container wrapper wrap content text primary secondary global js".split()
+)
 COMMENT = frozenset({"comment", "comments", "disqus", "respond", "reply", "replies"})
 NOISE_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"})
 #: Opening one of these closes an open one of the set, up to the nearest element that bounds it.
@@ -66,48 +84,77 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(raw)} if "=" in raw else {}
 
 
+def _digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _noise(attributes: dict[str, str]) -> set[str]:
+    """The words that declare noise, of the classes and the id that say nothing else (``has-sidebar`` does)."""
+    found: set[str] = set()
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = [w for w in re.findall(r"[^\W\d_]+", name)]
+        noise = NOISE.intersection(words)
+        if noise and all(w in noise or w in NEUTRAL for w in words):
+            found |= noise
+    return found
+
+
+# What the markup says of a branch: nothing; that it stands apart from the branch that holds most words; that it is content
+# only if it holds most words (declared where no article is beside it, or undeclared beside one); the same, and on several
+# pages (declared beside an article); that it is no content; that it is or leads to an article.
+PLAIN, APART, LOW, LOWER, NEVER_TEXT, ARTICLE = range(6)
+
+
 class Element:
-    __slots__ = ("comment", "label", "main", "name", "skip")
+    """An element of a page; an inline one lends its text to the block around it."""
 
-    def __init__(self, name: str, raw: str, parent: Element | None, seen_main: bool):
+    __slots__ = ("article", "comment", "depth", "form", "forms", "key", "kind", "label", "name", "never", "node", "noted", "own", "parent", "shut", "words")
+
+    def __init__(self, name: str, raw: str, parent: Element | None):
         attributes = _attributes(raw)
-        classes = re.findall(r"[a-z0-9]+", attributes.get("class", "") + " " + attributes.get("id", ""))
-        role = attributes.get("role", "")
+        role, noise = attributes.get("role", ""), _noise(attributes)
+        block = parent.node if parent else None
         self.name = name
-        self.label = name + "".join("." + c for c in attributes.get("class", "").split())
-        self.main = (parent is not None and parent.main) or name in MAIN or role == "main"
-        inside = parent is not None and parent.main
-        words = NOISE.intersection(classes)
+        inside = block is not None and block.article
         if inside:
-            words -= {"header", "masthead"}  # the heading of the article
-        by_class = name not in ("html", "body") and (bool(words) or role in NOISE_ROLES)
-        by_name = name in SKIPPED or (name == "header" and not inside) or "hidden" in raw.lower().split()
-        self.comment = (parent is not None and parent.comment) or bool(COMMENT.intersection(classes))
-        kept = parent is None or parent.skip == 0
-        # 1: declared by a class, which an article inside may overrule; 2: by the element itself
-        self.skip = 2 if by_name or (not kept and parent.skip == 2) else 1 if by_class or not kept else 0
-        if self.skip == 1 and not by_class and name in MAIN and not seen_main and not self.comment:
-            self.skip = 0
-
-
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, in a main element) of the blocks of a page that may be content, in order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[Element] = []
+            noise -= {"header", "masthead"}  # the heading of the article
+        if name in ("html", "body"):
+            noise, role = set(), ""
+        noted = bool(noise) or role in NOISE_ROLES or name in DECLARED or (name == "header" and not inside)
+        self.never = (parent is not None and parent.never) or name in NEVER or "hidden" in raw.lower().split() or (noted and name in INLINE)
+        self.comment = (parent is not None and parent.comment) or bool(COMMENT & noise)
+        self.parent = block
+        if name in INLINE or (block is not None and block.depth >= DEPTH):
+            self.node = block
+            if block is not None:
+                return
+        self.node = self
+        self.depth = block.depth + 1 if block else 0
+        self.label = name + "".join("." + c for c in attributes.get("class", "").split())
+        self.shut = (block is not None and block.shut) or name in SHUT or (name == "header" and not inside)
+        self.noted = noted
+        self.kind = NEVER_TEXT if noted and self.shut else LOW if noted else PLAIN
+        # an article inside what elements declare as no content, or among comments, is none
+        self.article = not self.comment and not self.shut and (inside or name in MAIN or role == "main")
+        self.words, self.own, self.forms, self.form, self.key = 0, [], [], 0, 0
+
+
+def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """The block elements of a page, parents first, and its (element, text) blocks, in order; no scripts and controls."""
+    root = Element("html", "", None)
+    nodes, out = [root], []
+    stack: list[Element] = [root]
     text: list[str] = []
-    at, seen_main = 0, False
-
-    def path() -> str:
-        return ">".join(e.label for e in stack if e.name not in INLINE)
+    at = 0
 
     def flush() -> None:
         words = " ".join("".join(text).split())
         if words:
-            out.append((path(), words, bool(stack) and stack[-1].main))
+            out.append((stack[-1].node, words))
         text.clear()
 
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, 0, -1):
             if stack[k].name == name:
                 if any(e.name not in INLINE for e in stack[k:]):
                     flush()
@@ -119,7 +166,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and (not stack or stack[-1].skip == 0):
+        if end > at and not stack[-1].never and not stack[-1].comment:
             text.append(html.unescape(page[at:end]))
         if m is None:
             break
@@ -127,103 +174,219 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         if m[2] is None:
             continue
         name = m[2].lower()
-        if m[1]:
-            if name == "br":
-                text.append(" ")
-            close(name)
-            continue
         if name == "br":
-            if not stack or stack[-1].skip == 0:
+            if not stack[-1].never and not stack[-1].comment:
                 text.append(" ")
             continue
+        if m[1]:
+            close(name)
+            continue
         if name in VOID:
             if name not in INLINE:
                 flush()
             continue
+        if name == "html":
+            continue
         if name not in INLINE:
             flush()
             if name in CLOSES:
                 kinds, bounds = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in bounds:
                         break
                     if stack[k].name in kinds:
                         del stack[k:]
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
+            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[k].name == "p":
                     del stack[k:]
                     break
                 if stack[k].name not in INLINE:
                     break
-        element = Element(name, m[3] or "", stack[-1] if stack else None, seen_main)
-        seen_main = seen_main or (element.main and element.skip == 0)
+        element = Element(name, m[3] or "", stack[-1])
         if name in RAW:
             stop = re.compile(f"</{name}", re.I).search(page, at)
             stop = stop.start() if stop else len(page)
-            if element.skip == 0 and stop > at:
+            if not element.never and not element.comment and stop > at:
                 text.append(html.unescape(page[at:stop]))
             at = stop
             closing = page.find(">", at)
             at = closing + 1 if closing >= 0 else len(page)
             continue
+        if element.node is element and not element.never and not element.comment:
+            nodes.append(element)
         if not (m[3] or "").rstrip().endswith("/") or name in ("p", "div", "article", "main", "section"):
             stack.append(element)
     flush()
-    return [b for b in out if b[2]] if any(b[2] for b in out) else out
-
+    return _settle(nodes, out)
+
+
+def _settle(nodes: list[Element], found: list[tuple[Element, str]]) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """Words, forms, kinds and keys of all branches."""
+    for node, text in found:
+        node.words += len(text.split())
+    free = {id(e): e.words for e in nodes}  # words outside of declared branches
+    for e in reversed(nodes):
+        if e.parent is not None:
+            e.parent.words += e.words
+            free[id(e.parent)] += 0 if e.noted else free[id(e)]
+    mains = [e for e in nodes if e.article and e.words and not (e.parent is not None and e.parent.article)]
+    if mains:
+        nodes, found = _beside_articles(nodes, found, mains)
+    else:
+        _apart(nodes, free)
+    for e in nodes:
+        e.key = _digest(f"{e.parent.key if e.parent is not None else 0}>{e.label}#{e.kind}")
+    for e, text in found:
+        e.own.append(text)
+    for e in reversed(nodes):
+        e.form = _digest(e.label + ",".join(map(str, reversed(e.forms))))
+        if e.parent is not None and not (e.name in ITEM and e.parent.forms[-1:] == [e.form]):
+            e.parent.forms.append(e.form)
+    return nodes, found
+
+
+def _beside_articles(nodes: list[Element], found: list[tuple[Element, str]], mains: list[Element]) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """Sets the kinds of a page with articles: those in declared branches count only where there are no others."""
+    under: set[int] = set()
+    for e in nodes:
+        if e.noted or (e.parent is not None and id(e.parent) in under):
+            under.add(id(e))
+    trunk: dict[int, Element] = {}
+    for e in [m for m in mains if id(m) not in under] or mains:
+        while e is not None and id(e) not in trunk:
+            trunk[id(e)], e = e, e.parent
+    for e in nodes:
+        if id(e) in trunk:
+            e.kind = ARTICLE
+        elif e.parent is not None and id(e.parent) in trunk and not e.parent.article and e.kind in (PLAIN, LOW):
+            e.kind = LOWER if e.noted else LOW
+    loose: dict[int, Element] = {}  # text right in the trunk is a branch of its own
+    moved = []
+    for e, text in found:
+        if id(e) in trunk and not e.article:
+            if id(e) not in loose:
+                loose[id(e)] = child = Element("#text", "", e)
+                child.kind = LOW
+            loose[id(e)].words += len(text.split())
+            e = loose[id(e)]
+        moved.append((e, text))
+    return nodes + list(loose.values()), moved
+
+
+def _apart(nodes: list[Element], free: dict[int, int]) -> None:
+    """Sets what stands apart from the containers that each hold most words of the one around them."""
+    undeclared = free[id(nodes[0])] > 0
+    words = free if undeclared else {id(e): e.words for e in nodes}
+    children: dict[int, list[Element]] = {}
+    for e in nodes[1:]:
+        if e.name in CONTAINER:
+            children.setdefault(id(e.parent), []).append(e)
+    at, trunk = nodes[0], []
+    while at is not None:
+        trunk.append(at)
+        inner = children.get(id(at), ())
+        at = next((e for e in inner if 2 * words[id(e)] > words[id(at)] and not (e.noted and undeclared)), None)
+        if at is not None:
+            for c in inner:
+                if c is not at and c.kind == PLAIN:
+                    c.kind = APART
+
+
+def blocks(page: str, verdicts: frozenset[int] = frozenset()) -> list[tuple[str, str, bool]]:
+    """(element with its classes, text, in an article) of the blocks of a page that stay, in order.
+
+    A branch in ``verdicts`` is judged against what the markup says of it.
+    """
+    nodes, found = parse(page)
+    gone: set[int] = set()
+    for e in nodes:
+        if (e.parent is not None and id(e.parent) in gone) or (e.kind in (LOW, LOWER, NEVER_TEXT)) != (e.key in verdicts):
+            gone.add(id(e))
+    return [(e.label, t, e.article) for e, t in found if id(e) not in gone]
 
-def _digest(value: str) -> int:
-    import hashlib
 
-    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _forms(same: list[Element]) -> list[int]:
+    return [e.form for k, e in enumerate(same) if not (k and e.name in ITEM and e.form == same[k - 1].form)]
 
 
 def page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The paths of each page with digests of their text and of their form, and of the whole page."""
+    """The branches of each page: words, digests of their own text and of their form, and the branches around them."""
     for batch in batches:
-        out = {k: [] for k in ("host", "page", "path", "content", "form")}
+        out: dict[str, list] = {k: [] for k in TREE.names}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found = blocks(page)
-            whole = _digest("\n".join(t for _, t, _ in found))
-            nodes: dict[str, list[str]] = {}
-            for path, text, _ in found:
-                nodes.setdefault(path, []).append(text)
-            for path, texts in nodes.items():
-                for k, v in zip(out, (host, whole, _digest(path), _digest("\n".join(texts)), len(texts))):
+            nodes, found = parse(page)
+            whole = _digest("\n".join(t for _, t in found))
+            merged: dict[int, list[Element]] = {}
+            for e in nodes:
+                if e.words:
+                    merged.setdefault(e.key, []).append(e)
+            for name, same in merged.items():
+                e, own, around = same[0], [t for x in same for t in x.own], []
+                up = e if own else None
+                while up is not None:
+                    around.append(up.key)
+                    up = up.parent
+                row = (host, whole, name, e.kind, sum(x.words for x in same), nodes[0].words, sum(len(t.split()) for t in own),
+                       _digest("\n".join(own)) if own else None, _digest(",".join(map(str, _forms(same)))), around)
+                for k, v in zip(out, row):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "host" else pa.int64()) for k, v in out.items()], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in TREE], schema=TREE)
+
+
+TREE = pa.schema(
+    [("host", pa.string()), *((k, pa.int64()) for k in ("page", "branch", "kind", "words", "of_words", "own_words", "content", "form")),
+     ("around", pa.list_(pa.int64()))]
+)
 
 
 def _entropy(counts: DataFrame, name: str) -> DataFrame:
-    """(host, path, pages, name) from the number n of pages of each value: entropy over that of all different."""
-    total = F.sum("n").alias("pages")
-    grouped = counts.groupBy("host", "path").agg(total, F.sum(F.col("n") * F.log("n")).alias("s"))
+    """(host, branch, pages, name) from the number n of pages of each value: entropy over that of all different."""
+    grouped = counts.groupBy("host", "branch").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     h = (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")
-    return grouped.select("host", "path", "pages", F.when(F.col("pages") > 1, h).otherwise(1.0).alias(name))
+    return grouped.select("host", "branch", "pages", F.when(F.col("pages") > 1, h).otherwise(1.0).alias(name))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, content, form, importance) of each branch; ``pages`` has host and html."""
-    nodes = checkpoint(
-        pages.select("host", "html").mapInArrow(page_nodes, "host string, page long, path long, content long, form long").distinct()
+    """(host, branch, kind, pages, form, content, share, importance) of each branch; ``pages`` has host and html.
+
+    ``content`` of a leaf is the entropy of its texts over the pages, of a branch the mean of its leaves by their words;
+    ``share`` is its part of all words of the pages that hold it; importance is content times the larger of form and share.
+    """
+    schema = "host string, page long, branch long, kind long, words long, of_words long, own_words long, content long, form long, around array<long>"
+    nodes = checkpoint(pages.select("host", "html").mapInArrow(page_nodes, schema).distinct())
+    form = _entropy(nodes.groupBy("host", "branch", "form").agg(F.count(F.lit(1)).alias("n")), "form")
+    leaf = _entropy(nodes.where("content is not null").groupBy("host", "branch", "content").agg(F.count(F.lit(1)).alias("n")), "content").drop("pages")
+    sums = nodes.groupBy("host", "branch").agg(
+        F.min("kind").alias("kind"), (F.sum("words") / F.sum("of_words")).alias("share"), F.sum("own_words").alias("own"),
+        F.max("around").alias("around"),  # equal on all pages, as a branch is named by its path
+    )
+    carried = (
+        sums.join(leaf, ["host", "branch"]).select("host", F.explode("around").alias("branch"), "own", "content")
+        .groupBy("host", "branch").agg((F.sum(F.col("own") * F.col("content")) / F.sum("own")).alias("content"))
     )
-    content = _entropy(nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n")), "content")
-    form = _entropy(nodes.groupBy("host", "path", "form").agg(F.count(F.lit(1)).alias("n")), "form")
-    tree = content.join(form.drop("pages"), ["host", "path"])
-    return tree.withColumn("importance", F.greatest("content", "form"))
+    tree = sums.drop("own", "around").join(form, ["host", "branch"]).join(carried, ["host", "branch"])
+    return tree.withColumn("importance", F.col("content") * F.greatest("form", "share"))
+
+
+def against_markup(tree: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, branch) that the tree judges against the markup: declared ones that stay, others that go."""
+    kind, several = F.col("kind"), F.col("pages") >= least_pages
+    stays = ((kind == LOW) | ((kind == LOWER) & several)) & (F.col("share") >= MOST) & (F.col("content") >= LEAST_CONTENT)
+    template = (F.col("content") < LEAST_CONTENT) & (F.col("share") < MOST)
+    goes = kind.isin(PLAIN, APART) & several & (template | ((kind == APART) & (F.col("importance") < LEAST_IMPORTANCE)))
+    return tree.where(stays | goes).select("host", "branch")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist()):
-            found, noise = blocks(page), set(noise or ())
-            texts.append("\n".join(t for path, t, _ in found if not noise or _digest(path) not in noise))
+            texts.append("\n".join(t for _, t, _ in blocks(page, frozenset(noise or ()))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _with_noise(sited: DataFrame, noise: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``sited`` with the list of removed branches of its host."""
+    """``sited`` with the list of branches of its host that are judged against their markup."""
     size = noise.agg(F.sum(F.size("noise") * F.lit(8) + F.octet_length("host") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         return sited.join(F.broadcast(noise), "host", "left")
@@ -233,21 +396,19 @@ def _with_noise(sited: DataFrame, noise: DataFrame, broadcast_bytes: int) -> Dat
     return dealt.join(salted.hint("shuffle_hash"), ["host", "salt"], "left")
 
 
-def extract_text(
-    pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Blocks are in page order, joined by a line end; white space inside a block is one space. A branch of
-    ``least_pages`` different pages or more and an importance below ``least_importance`` is removed. A
-    null or empty page has the empty text; a null url is a host of its own kind; repeated rows give a
-    row each; an empty table gives an empty table.
+    Blocks are in page order, joined by a line end; white space inside a block is one space. On fewer than
+    ``least_pages`` different pages that hold it, a branch goes only if the markup declares it. A null or empty page
+    has the empty text; a null url is a host of its own kind; repeated rows give a row each; an empty table gives
+    an empty table. A page of any length and nesting is read whole; branches nested deeper than ``DEPTH`` are one.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     sited = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"),
     )
-    low = style_tree(sited).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    noise = checkpoint(low.groupBy("host").agg(F.collect_list("path").alias("noise")))
+    verdicts = against_markup(style_tree(sited), least_pages)
+    noise = checkpoint(verdicts.groupBy("host").agg(F.collect_list("branch").alias("noise")))
     return _with_noise(sited, noise, broadcast_bytes).select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string")
