@@ -7,7 +7,8 @@ a size within these bounds: it is listed under each of them, and an equi-join on
 
 A licence may also stand inside other text as several lines, paragraphs or sentences. A text in which a
 stretch reaches t holds t / (2 - t) of a template's bigrams, so one of any 1 - t / (2 - t) of them and one
-more; only texts that do are cut into stretches of consecutive lines and sentences of a template's length.
+more; only texts that do are cut into stretches of consecutive lines and sentences of a template's length. They
+are cut in pieces of bounded length, and only where a piece holds enough of the template's bigrams.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def _units(text):
 
 
 def _groups(known: DataFrame, low: float, size: int) -> DataFrame:
-    """Rows of (probes, group): templates of about 8 MB, and bigrams of which a text with a match holds one."""
+    """Rows of (probes, held, group): templates of about 8 MB, bigrams of which a text with a match holds one, and all of theirs."""
     needed = F.ceil(F.size("template") * low - 1e-9).cast("int")
     probes = F.slice("template", F.lit(1), F.size("template") - needed + 1)
     return (
@@ -123,34 +124,51 @@ def _groups(known: DataFrame, low: float, size: int) -> DataFrame:
         .groupBy(F.pmod(F.xxhash64("license", "template"), F.lit(size // (8 << 20) + 1)))
         .agg(
             F.array_distinct(F.flatten(F.collect_list("probes"))).alias("probes"),
+            F.array_distinct(F.flatten(F.collect_list("template"))).alias("held"),
             F.collect_list(F.struct("license", "template", "length", "needed")).alias("group"),
-        ).select("probes", "group")
+        ).select("probes", "held", "group")
     )
 
 
-def stretches(docs: DataFrame, groups: DataFrame, low: float, high: float) -> DataFrame:
-    """(doc_id, license, template, grams) of the consecutive lines and sentences that may match a template."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select("doc_id", _units(text).alias("units")).withColumn("words", F.flatten("units"))
-    grams = whole.where(F.size("words") > 1).select("doc_id", "units", _bigrams("words").alias("all"))
-    met = grams.crossJoin(groups).where(F.arrays_overlap("all", "probes"))
-    likely = F.filter("group", lambda t: F.size(F.array_intersect(t["template"], F.col("all"))) >= t["needed"])
-    pairs = met.select("doc_id", "units", F.explode(likely).alias("t")).select("doc_id", "units", "t.*")
-    starts = pairs.select("*", F.posexplode(F.transform("units", lambda u: F.size(u))).alias("at", "first"))
-    # how many units from here on have a number of words that fits
-    least, most = F.floor(F.col("length") * low), F.ceil(F.col("length") * high)
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("fit"))
+def _likely(group, grams, held):
+    """The templates of which ``grams`` hold as many bigrams as a match needs; grams that no template has are left out once."""
+    one = F.transform(F.array(F.array_intersect(grams, held)), lambda c: F.filter(group, lambda t: F.size(F.array_intersect(t["template"], c)) >= t["needed"]))
+    return F.flatten(one)
 
-    def add(state, unit):
-        n, words = state["n"] + 1, state["words"] + F.size(unit)
-        fit = F.when((words >= least) & (words <= most), F.concat(state["fit"], F.array(n))).otherwise(state["fit"])
-        return F.struct(n.alias("n"), words.alias("words"), fit.alias("fit"))
 
-    window = F.slice("units", F.col("at") + 1, most.cast("int"))
-    fit = F.aggregate(window, none, add, lambda state: state["fit"])
-    chosen = starts.where("first > 0").select("doc_id", "license", "template", "units", "at", F.explode(fit).alias("n"))
-    words = chosen.select("doc_id", "license", "template", F.flatten(F.slice("units", F.col("at") + 1, F.col("n"))).alias("words"))
-    return words.where(F.size("words") > 1).select("doc_id", "license", "template", _bigrams("words").alias("grams"))
+def stretches(docs: DataFrame, groups: DataFrame, low: float, high: float, longest: int) -> DataFrame:
+    """(doc_id, license, template, grams) of the consecutive lines and sentences that may match a template.
+
+    A text that may hold a stretch is cut at every ``span`` words into pieces of two spans, where no stretch is longer than
+    a span: one that starts in the first half of a piece lies in it. So the work grows with the words of a text, not
+    with its units times its words.
+    """
+    span = max(1, math.ceil(longest * high))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    units = docs.select("doc_id", _units(text).alias("units"))
+    opens = F.flatten(F.transform("units", lambda u: F.transform(u, lambda w, i: i == 0)))  # whether a word begins a unit
+    whole = units.select("doc_id", F.flatten("units").alias("words"), F.concat(opens, F.array(F.lit(True))).alias("opens"))
+    grams = whole.where(F.size("words") > 1).select("doc_id", "words", "opens", _bigrams("words").alias("all"))
+    met = grams.crossJoin(groups).where(F.arrays_overlap("all", "probes"))
+    held = met.select("doc_id", "words", "opens", _likely(F.col("group"), F.col("all"), F.col("held")).alias("likely")).where(F.size("likely") > 0)
+    cuts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / span).cast("int"))
+    pieces = F.transform(cuts, lambda c: F.struct(
+        F.slice("words", c * span + 1, 2 * span).alias("words"), F.slice("opens", c * span + 1, 2 * span + 1).alias("opens")
+    ))
+    piece = held.select("doc_id", "likely", F.explode(pieces).alias("p")).select("doc_id", "likely", "p.words", "p.opens")
+    bound = piece.where(F.size("words") > 1).select("doc_id", "words", "opens", F.explode("likely").alias("t"), _bigrams("words").alias("near"))
+    pairs = bound.where(F.size(F.array_intersect("near", F.col("t.template"))) >= F.col("t.needed"))
+    starts = pairs.select(
+        "doc_id", "t", "words", "opens",
+        F.explode(F.filter(F.sequence(F.lit(0), F.least(F.lit(span), F.size("words")) - 1), lambda i: F.get("opens", i))).alias("at"),
+    )
+    # lengths in words, of whole units from here on, that fit the template
+    least = F.greatest(F.floor(F.col("t.length") * low).cast("int"), F.lit(2))
+    most = F.least(F.ceil(F.col("t.length") * high).cast("int"), F.size("words") - F.col("at"))
+    lengths = F.when(least <= most, F.filter(F.sequence(least, most), lambda n: F.get("opens", F.col("at") + n)))
+    chosen = starts.select("doc_id", "t", F.slice("words", F.col("at") + 1, F.greatest(most, F.lit(0))).alias("ahead"), F.explode(lengths).alias("n"))
+    words = chosen.select("doc_id", "t.license", "t.template", F.slice("ahead", F.lit(1), F.col("n")).alias("words"))
+    return words.select("doc_id", "license", "template", _bigrams("words").alias("grams"))
 
 
 def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,7 +177,7 @@ def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THR
     ``docs`` has doc_id and text, ``templates`` license and text (broadcast if its measured size is
     below ``BROADCAST_BYTES``); other columns are ignored. A null or empty text has no
     segment, a segment or template of fewer than two words has no bigram and matches nothing; rows
-    that repeat an id count as one document; empty tables give an empty table.
+    that repeat an id, or have none, count as one document; empty tables give an empty table. A text may have any length.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = (
@@ -169,14 +187,17 @@ def match_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THR
     sized = known.drop("words").withColumn("size", F.explode(F.sequence(
         F.ceil(F.size("template") * low - 1e-9).cast("int"), F.floor(F.size("template") * high + 1e-9).cast("int"),
     )))
-    size = sized.agg(F.sum(F.size("template") * F.lit(8) + 64)).first()[0] or 0
+    size, longest = known.agg(
+        F.sum((F.floor(F.size("template") * high) - F.ceil(F.size("template") * low) + 2) * (F.size("template") * F.lit(8) + 64)), F.max(F.size("words"))
+    ).first()
+    size = size or 0
     groups = _groups(known, low, size)
     if size <= BROADCAST_BYTES:
         sized, groups = F.broadcast(sized), F.broadcast(groups)
     common = F.size(F.array_intersect("grams", "template"))
     alone = segments(docs).withColumn("size", F.size("grams")).join(sized, "size").select("doc_id", "license", "template", "grams")
     scored = (
-        alone.unionByName(stretches(docs, groups, low, high))
+        alone.unionByName(stretches(docs, groups, low, high, longest or 1))
         .select("doc_id", "license", (2.0 * common / (F.size("grams") + F.size("template"))).alias("dice"))
         .where(F.col("dice") >= threshold)
     )
@@ -192,7 +213,8 @@ def licenses_of(docs: DataFrame, templates: DataFrame, threshold: float = THRESH
     )
     tied = F.filter("ranked", lambda s: s["dice"] == F.col("best_dice"))
     named = found.select("doc_id", "licenses", "best_dice", F.array_min(F.transform(tied, lambda s: s["license"])).alias("best_license"))
-    return docs.select("doc_id").join(named, "doc_id", "left").select(
+    rows = docs.select("doc_id")
+    return rows.join(named.withColumnRenamed("doc_id", "found_id"), rows["doc_id"].eqNullSafe(F.col("found_id")), "left").select(
         "doc_id", F.coalesce(F.size("licenses"), F.lit(0)).cast("long").alias("n_licenses"),
         F.coalesce(F.array_join("licenses", ","), F.lit("")).alias("licenses"), "best_license", "best_dice",
     )

@@ -119,7 +119,7 @@ WITH templates(license, text) AS (VALUES """ + _TEMPLATES + r"""
 ), template_words AS (
   SELECT license, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\n]+', ' ', 'g'), '[ \n]+'), lambda w: w <> '') AS words FROM templates
 ), template_grams AS (
-  SELECT license, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS template FROM template_words
+  SELECT license, len(words) AS length, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS template FROM template_words
 ), normal AS (
   SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g') AS normal FROM documents
 ), pieces AS (
@@ -131,14 +131,37 @@ WITH templates(license, text) AS (VALUES """ + _TEMPLATES + r"""
 ), scored AS (
   SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice
   FROM grams, template_grams WHERE len(grams) * 3 >= len(template) * 2 AND len(grams) * 2 <= len(template) * 3
+), lined AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+', '\1' || chr(10), 'g')), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10)),
+    lambda u: list_filter(string_split(u, ' '), lambda w: w <> '')), lambda u: len(u) > 0) AS units FROM documents
+), flat AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, units, flatten(units) AS words FROM lined
+), met AS MATERIALIZED (
+  SELECT r, doc_id, units, words, license, length, template
+  FROM (SELECT *, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS grams FROM flat WHERE len(words) > 1), template_grams
+  WHERE 3 * len(list_intersect(template, grams)) >= 2 * len(template)
+), opened AS (
+  SELECT r, license, k, len(u) AS n FROM (SELECT r, license, unnest(units) AS u, generate_subscripts(units, 1) AS k FROM met)
+), placed AS MATERIALIZED (
+  SELECT r, license, n, sum(n) OVER (PARTITION BY r, license ORDER BY k) AS upto FROM opened
+), stretches AS (
+  SELECT m.doc_id, m.license, m.template, list_slice(m.words, (a.upto - a.n + 1)::BIGINT, b.upto::BIGINT) AS words
+  FROM met m JOIN placed a ON a.r = m.r AND a.license = m.license
+  JOIN placed b ON b.r = a.r AND b.license = a.license AND b.upto - a.upto + a.n BETWEEN floor(m.length * 2 / 3) AND ceil(m.length * 3 / 2)
+), stretch_grams AS (
+  SELECT doc_id, license, template, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS grams FROM stretches WHERE len(words) > 1
+), every AS (
+  SELECT * FROM scored
+  UNION ALL
+  SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) FROM stretch_grams
 ), found AS (
-  SELECT doc_id, license, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY ALL
+  SELECT doc_id, license, max(dice) AS dice FROM every WHERE dice >= 0.8 GROUP BY ALL
 ), best AS (
   SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
   FROM found GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, best_license, best_dice
-FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
+FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id
 """
 
 
