@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from entitlekit.llm.common import U64, find_words, mix, slices, span_hashes, text_buffer
+from entitlekit.llm.common import U64, checkpoint, find_words, mix, slices, span_hashes, text_buffer
 
 MAX_LABELLED, MAX_FEATURES, LEAST_DOCS = 20_000, 6_000, 4
 PREFIXES = (4, 5, 6)  # bytes
@@ -121,11 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
-    """Each sentence of ``text`` that names a group, with the same sentence about other groups."""
+    """Each sentence of ``text`` that names a group, with the same sentence about each other group of its kind.
+
+    Of several names in a sentence all are swapped at once, those of smaller kinds in turn.
+    """
     for m in SENTENCE.finditer(text):
-        if NAMED.search(m[0]):
-            for turn in range(3):
-                yield m[0], NAMED.sub(lambda t: (others := SWAPS[t[0].lower()])[turn % len(others)], m[0])
+        turns = max((len(SWAPS[t.lower()]) for t in NAMED.findall(m[0])), default=0)
+        for turn in range(turns):
+            yield m[0], NAMED.sub(lambda t: (others := SWAPS[t[0].lower()])[turn % len(others)], m[0])
 
 
 def _examples(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -153,15 +156,16 @@ def _sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), np.array([v for x in lists for v in x], np.int64)
 
 
-def fit(rows: list, names: np.ndarray) -> Model:
+def fit(rows: list, names: np.ndarray, swaps: list) -> Model:
     """Weights by gradient steps on the log loss, the counterfactual penalty and a ridge.
 
-    The rarer toxic rows weigh more, by the root of how much rarer they are.
+    ``rows`` have toxic and active features, ``swaps`` the different changes that swaps make, with their
+    counts. The rarer toxic rows weigh more, by the root of how much rarer they are.
     """
     toxic = np.array([r["toxic"] for r in rows], float)
     row, at = _sparse([r["active"] for r in rows])
-    change_row, change = _sparse([c for r in rows for c in r["changes"]])
-    n, n_changes = len(rows), int(change_row.max()) + 1 if len(change_row) else 0
+    change_row, change = _sparse([s["change"] for s in swaps])
+    n, uses = len(rows), np.array([s["uses"] for s in swaps], float)
     sign, changed = np.sign(change), np.abs(change) - 1
     weights, bias = np.zeros(len(names)), float(np.log((toxic.sum() + 1) / (n - toxic.sum() + 1)))
     balance = np.where(toxic > 0, np.sqrt(max(1.0, (n - toxic.sum()) / max(1.0, toxic.sum()))), 1.0)
@@ -169,9 +173,9 @@ def fit(rows: list, names: np.ndarray) -> Model:
     for _ in range(STEPS):
         residual = (_sigmoid(bias + np.bincount(row, weights[at], minlength=n)) - toxic) * balance
         gradient = np.bincount(at, residual[row], minlength=len(names)) / n + L2 * weights
-        if n_changes:
-            moved = np.bincount(change_row, sign * weights[changed], minlength=n_changes)
-            gradient += 2 * COUNTERFACTUAL / n_changes * np.bincount(changed, sign * moved[change_row], minlength=len(names))
+        if len(swaps):
+            moved = uses / uses.sum() * np.bincount(change_row, sign * weights[changed], minlength=len(swaps))
+            gradient += 2 * COUNTERFACTUAL * np.bincount(changed, sign * moved[change_row], minlength=len(names))
         square += gradient**2
         weights -= RATE * gradient / np.sqrt(square)
         step = residual.mean()
@@ -202,8 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     best = counted.where(F.col("a") + F.col("b") >= LEAST_DOCS).orderBy(apart.desc(), "name").limit(MAX_FEATURES)
     names = np.sort(np.array([r["name"] for r in best.select("name").collect()], np.int64).view(U64))
     blank = Model(names, np.zeros(len(names)), 0.0)
-    rows = texts.mapInArrow(lambda b: _examples(b, blank), "toxic int, active array<int>, changes array<array<int>>").collect()
-    return fit(rows, names)
+    examples = checkpoint(texts.mapInArrow(lambda b: _examples(b, blank), "toxic int, active array<int>, changes array<array<int>>"))
+    # what a swap changes is mostly its two names, so the different changes are few
+    swaps = examples.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("uses"))
+    return fit(examples.select("toxic", "active").collect(), names, sorted(swaps.collect()))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str = "score") -> Iterator[pa.RecordBatch]:
