@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import text_buffer
+from entitlekit.llm.common import slices, text_buffer
 
 # The kinds of secrets, in order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -403,7 +403,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         masked = {i: redact(text, every) for i, (text, _, every) in enumerate(_scan_rows(batch)) if every}
         if masked:
             for name in {"text", "n_chars"}.intersection(batch.schema.names):
@@ -416,7 +416,11 @@ def mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets in its texts masked, and n_chars, if it has it, counted anew for those."""
+    """``docs`` with the secrets in its texts masked, and n_chars, if it has it, counted anew for those.
+
+    Only the column text is needed. A null text stays null and an empty one empty; rows that repeat are
+    masked each; other columns are kept as they are; an empty table gives an empty table.
+    """
     return docs.mapInArrow(mask_batches, docs.schema)
 
 
