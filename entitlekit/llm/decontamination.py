@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,9 +203,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return _find(docs, benchmark, block_bytes).drop("tag")
 
 
-def _find(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
-    texts = keyed(docs)
-    parts = []
+def _plans(texts: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Block, Plan]]:
+    """The blocks of the benchmark, each with the plan that the frequencies of its terms in ``texts`` ask for."""
     for part in blocks_of(benchmark, block_bytes):
         block = block_of(part.collect())  # of a checked size
         counts = np.zeros(len(block.terms), np.int64)
@@ -212,8 +212,16 @@ def _find(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
             uses = texts.mapInArrow(lambda b, block=block: count_terms(b, block), "term long, uses long")
             for row in uses.groupBy("term").agg(F.sum("uses").alias("uses")).collect():
                 counts[row["term"]] = row["uses"]
-        plan = plan_of(block, counts)
-        parts.append(texts.mapInArrow(lambda b, block=block, plan=plan: match(b, block, plan), SCHEMA))
+        yield block, plan_of(block, counts)
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    texts = keyed(docs)
+    return _found(texts, list(_plans(texts, benchmark, block_bytes)))
+
+
+def _found(texts: DataFrame, plans: list[tuple[Block, Plan]]) -> DataFrame:
+    parts = [texts.mapInArrow(lambda b, block=block, plan=plan: match(b, block, plan), SCHEMA) for block, plan in plans]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -248,9 +256,37 @@ def contamination(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """The rows whose texts one block of the benchmark doesn't contaminate, with all their columns."""
+    for part in (part for batch in batches for part in slices(batch, "text", 16 << 20)):
+        ids = pa.nulls(part.num_rows, pa.int64())  # not asked for here
+        texts = pa.RecordBatch.from_arrays([ids, ids, part.column(part.schema.get_field_index("text"))], names=["doc_id", "tag", "text"])
+        keep = []
+        for found in match(iter([texts]), block, plan):
+            hits = found.column("hits")
+            spans = pc.list_flatten(hits)
+            sizes = pc.subtract(spans.field("end"), spans.field("start")).to_numpy(zero_copy_only=False)
+            n_hit = np.bincount(pc.list_parent_indices(hits).to_numpy(), sizes, minlength=found.num_rows)
+            keep.append((n_hit == 0) | (20 * n_hit < found.column("n_words").to_numpy()))
+        yield part.filter(pa.array(np.concatenate(keep)))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = contamination(_find(docs, benchmark, block_bytes)).where("contaminated")
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text. Rows are judged by their texts alone: a row
+    without an id, or one of an id with several texts, too. A text without words is never contaminated, and
+    rows that repeat are kept or dropped together. With an empty benchmark all stay.
+
+    A benchmark of one block is looked for where the rows are read, so no text moves; of several blocks
+    the hits of a text are joined first, as only all of them together tell its share.
+    """
+    texts = keyed(docs)
+    plans = list(_plans(texts, benchmark, block_bytes))
+    if len(plans) == 1:
+        block, plan = plans[0]
+        return docs.mapInArrow(lambda b: clean_batches(b, block, plan), docs.schema)
+    bad = contamination(_found(texts, plans)).where("contaminated")
     bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct()
     tag = F.crc32(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (tag == bad["bad_tag"]), "left_anti")
