@@ -13,6 +13,9 @@ BLANKS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 BLANK_RUN = r"(?U)\s+"
+# Letters whose upper case is written with several, and the one capital of those that have one.
+GROWING = "".join(c for c in map(chr, range(0xDF, 0xFB18)) if len(c.upper()) > 1)
+CAPITALS = "".join("\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in GROWING)
 
 
 def col(value: Column | str) -> Column:
@@ -92,6 +95,13 @@ def clean_val_no_space(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(or_empty(value)), "[^a-z0-9]", "")
 
 
+def upper_letters(text: Column | str) -> Column:
+    """Upper case letter by letter, as SQL has it: a sharp s is one capital, not ``SS``."""
+    runs = F.regexp_extract_all(col(text), F.lit(f"([{GROWING}]+|[^{GROWING}]+)"), F.lit(1))
+    capitals = lambda r: F.translate(r, GROWING, CAPITALS)
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{GROWING}]"), capitals(r)).otherwise(F.upper(r))), "")
+
+
 def title_case(text: Column | str) -> Column:
     """Capitalize each run of letters, after any non-letter."""
     runs = F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))

@@ -36,6 +36,7 @@ from ..functions.text import (
     text_list,
     title_case,
     topic_title,
+    upper_letters,
 )
 from ..sizing import AUTO, lookup_join, strategy_for
 from .faq import (
@@ -211,7 +212,7 @@ def card_parts(schemes: DataFrame) -> DataFrame:
         return F.when(present(name), F.array(heading, F.col(name))).otherwise(none)
 
     parts = F.concat(
-        F.array(F.upper(or_empty("name")), or_empty("description")),
+        F.array(upper_letters(or_empty("name")), or_empty("description")),
         F.when(F.size(criteria) > 0, F.concat(F.array(criteria_head), criteria)).otherwise(none),
         F.array(documents_head, *[F.lit(f"• {d}") for d in REQUIRED_DOCUMENTS]),
         F.array(apply_head, F.coalesce("application_process", F.lit(DEFAULT_STEPS))),

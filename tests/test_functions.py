@@ -19,6 +19,15 @@ def test_title_case_after_any_non_letter(each):
     assert got == ["Tamil Nadu", "A.B-C D'E", "Anna"]
 
 
+def test_upper_case_is_that_of_sql_for_letters_that_would_grow(each):
+    import duckdb
+
+    texts = ["", "x\nßéñ ßß", "Straße ẞ ŉ ﬁ ᾳ", *text.GROWING]
+    sql = [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
+    assert each(text.upper_letters, texts) == sql
+    assert sql[1] == "X\nẞÉÑ ẞẞ"
+
+
 def test_steps_mask_and_labels(each, value):
     assert each(text.split_steps, ["1. Visit A. 2. Apply.", "a\n\n3.\nb"]) == [
         ["Visit A.", "Apply."], ["a", "b"],

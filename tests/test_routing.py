@@ -83,3 +83,8 @@ def test_card_layout(spark, catalog):
         "• Max Annual Income: Up to ₹1000\n\n\nREQUIRED DOCUMENTS:\n• Aadhaar Card\n• Identity Proof\n"
         "• Income Certificate\n• Bank Details\n\n\nHOW TO APPLY:\nApply via official portal. \n\nBENEFITS:\nMoney "
     )
+
+
+def test_card_heading_keeps_a_sharp_s_one_letter(spark):
+    schemes = spark.createDataFrame([{**make_scheme(1), "name": "Große Hilfe", "description": "Große Hilfe"}], SCHEME)
+    assert r.scheme_cards(schemes).first()["card"].startswith("GROẞE HILFE Große Hilfe")
