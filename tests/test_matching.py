@@ -165,3 +165,27 @@ def test_stratified_sample_is_seeded_and_full(spark):
     first = faq.stratified_sample(faqs, seed=5).collect()
     assert first == faq.stratified_sample(faqs, seed=5).collect()
     assert len(first) == 5 and {r.category for r in first} == {"c0", "c1", "c2"}
+
+def test_phrases_of_several_words_are_filed_by_words_and_others_by_pieces(spark):
+    texts = spark.createDataFrame([
+        (1, "xof theyy go"), (2, "a\x1cb  c d"), (3, "pre big house-boat"), (4, "say ñandú"), (5, " "), (6, "of  the go"), (7, "the big\nhouse is"),
+    ], "id long, t string")
+    phrases = ["of the", "f the", "big hou", "b  c", "e big house", "ñ", "andú", "big house", "y g", "the big\nhouse i", " ", "the go ", "theyy"]
+    catalog = spark.createDataFrame([(p, p) for p in phrases], "p string, needle string")
+    expected = {(r["id"], p) for r in texts.collect() for p in phrases if p.strip() and p in r["t"]}
+    many = catalog.unionByName(spark.range(c.LISTED_MOST + 1).selectExpr("concat('zz', id) p", "concat('zz', id) needle"))
+    for strategy in ("broadcast", "shuffle"):
+        for listed in (catalog, many):  # few phrases of one word, and too many to search for one by one
+            rows = c.texts_holding(texts, "id", "t", listed, "p", "needle", strategy=strategy).collect()
+            assert sorted((r["id"], r["p"]) for r in rows) == sorted(expected)
+    pieces = c.word_anchors(catalog, "needle", "p")
+    assert {r["p"] for r in pieces.collect()} == {p for p in phrases if len(p.split()) > 1}
+
+
+def test_texts_are_cut_by_word_if_all_phrases_have_several(spark):
+    texts = spark.createDataFrame([(1, "one two three")], "id long, t string")
+    catalog = spark.createDataFrame([("two thr", "two thr")], "p string, needle string")
+    held = c.texts_holding(texts, "id", "t", catalog, "p", "needle", strategy="broadcast")
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # that cuts words
+    assert held.count() == 1
