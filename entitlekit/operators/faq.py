@@ -37,10 +37,15 @@ from .containment import (
     GRAM,
     ROW_GROWTH,
     STEM,
-    head_piece,
+    any_of,
+    exploded,
+    head_of,
+    is_single,
     rare_anchors,
     text_pieces,
     texts_holding,
+    word_anchors,
+    word_probes,
 )
 from .positions import with_positions
 from .ranking import bounded_lists, keep_first, top_k
@@ -103,17 +108,17 @@ def faq_keys(faqs: DataFrame, boosters: DataFrame, strategy: str = AUTO) -> Data
 
 
 def keyed_query(rows: DataFrame, query: Column) -> DataFrame:
-    """``rows`` with (query_text, query_keys, needed): keywords longest first."""
+    """``rows`` with (query_text, query_words, query_keys, needed): keywords longest first."""
     longest_first = F.expr(
         "transform(array_sort(transform(query_keys, w -> struct(-length(w) as n, w as w))), s -> s.w)"
     )
-    keyed = rows.withColumn("query_text", clean_query(query))
-    keyed = keyed.withColumn("query_keys", keywords_of(F.col("query_text"))).withColumn("query_keys", longest_first)
+    keyed = rows.withColumn("query_text", clean_query(query)).withColumn("query_words", word_set("query_text"))
+    keyed = keyed.withColumn("query_keys", F.array_except("query_words", text_list(STOP_WORDS))).withColumn("query_keys", longest_first)
     return keyed.withColumn("needed", F.expr("(3 * size(query_keys) + 9) div 10"))
 
 
 def query_keys(queries: DataFrame) -> DataFrame:
-    """(query_id, query_text, query_keys, needed)."""
+    """(query_id, query_text, query_words, query_keys, needed)."""
     keyed = keyed_query(queries.select("query_id", or_empty("query").alias("query")), F.col("query"))
     return keyed.drop("query")
 
@@ -129,39 +134,41 @@ def _keys(kind: str, texts: str) -> Column:
     return F.expr(f"transform({texts}, t -> xxhash64('{kind}', t))")
 
 
-def faq_index(catalog: DataFrame) -> DataFrame:
-    """(key, kind, pos): every hashed key a FAQ can be found by."""
+def faq_index(catalog: DataFrame, anchors: bool = True) -> DataFrame:
+    """(key, kind, pos): every hashed key a FAQ can be found by; those for FAQ texts inside a query only with ``anchors``."""
 
     def rows(kind: str, keys: Column, source: DataFrame = catalog) -> DataFrame:
         return source.select(F.explode(keys).alias("key"), F.lit(kind).alias("kind"), "pos")
 
     scored = catalog.where(F.size("faq_keys") > 0)
-    anchors = rare_anchors(scored, "faq_text", "pos")
-    anchored = anchors.select(
-        tagged_key(ANCHOR, "anchor").alias("key"),
-        F.when(F.col("short"), SHORT).otherwise(ANCHOR).alias("kind"),
-        "pos",
-    )
     heads = text_pieces("faq_text", 1, STEM, f"xxhash64('{HEAD}', {{}})")
-    return (
+    keys = (
         rows(WHOLE, F.array(tagged_key(WHOLE, strip("faq_text"))))
         .unionByName(rows(WORD, _keys(WORD, "faq_keys")))
         .unionByName(rows(BOOSTER, _keys(BOOSTER, "faq_boosters")))
         .unionByName(rows(HEAD, heads, scored))
-        .unionByName(anchored)
+    )
+    return keys.unionByName(_anchored(scored)) if anchors else keys
+
+
+def _anchored(scored: DataFrame) -> DataFrame:
+    """(key, kind, pos): the piece that each FAQ text is found by inside a query."""
+    return rare_anchors(scored, "faq_text", "pos").select(
+        tagged_key(ANCHOR, "anchor").alias("key"),
+        F.when(F.col("short"), SHORT).otherwise(ANCHOR).alias("kind"),
+        "pos",
     )
 
 
-def query_probes(pieces: bool = True) -> Column:
-    """Keys a query looks up, apart from pieces of fewer than ``GRAM`` characters."""
-    keys = [
-        F.array(tagged_key(WHOLE, "query_text"), tagged_key(HEAD, or_empty(head_piece("query_text")))),
-        _keys(WORD, "slice(query_keys, 1, greatest(size(query_keys) - int(needed) + 1, 0))"),
+def query_probes(words: Column | None = None) -> Column:
+    """Keys a query looks up, apart from those for FAQ texts inside it; its keywords only if ``words`` holds."""
+    rare = _keys(WORD, "slice(query_keys, 1, greatest(size(query_keys) - int(needed) + 1, 0))")
+    none = F.array().cast("array<bigint>")
+    return F.concat(
+        F.array(tagged_key(WHOLE, "query_text"), tagged_key(HEAD, or_empty(head_of("query_words")))),
+        rare if words is None else F.when(words, rare).otherwise(none),
         _keys(BOOSTER, "query_keys"),
-    ]
-    if pieces:
-        keys.append(text_pieces("query_text", GRAM, GRAM, f"xxhash64('{ANCHOR}', {{}})"))
-    return F.concat(*keys)
+    )
 
 
 def hit_result(kind: Column) -> Column:
@@ -194,25 +201,32 @@ def faq_candidates(
 
     A pair may appear more than once; its highest score is its score. With a broadcast catalog
     the queries are probed in place. Otherwise only (id, key) rows are shuffled, salted by query.
+    Queries are cut inside words only if some FAQ text is one word.
     """
     strategy = strategy_for(strategy, faqs, growth=ROW_GROWTH * STEM)
     keyed, catalog = query_keys(queries), faq_keys(faqs, boosters, strategy)
-    index = faq_index(catalog)
-    short_probes = text_pieces("query_text", 1, GRAM - 1, f"xxhash64('{ANCHOR}', {{}})")
-    found = None
-    for wanted, probes in ((F.col("kind") != SHORT, query_probes()),
-                           (F.col("kind") == SHORT, short_probes)):
-        part, key = index.where(wanted), F.explode(probes).alias("key")
-        if strategy == BROADCAST:
-            hits = keyed.select("*", key).join(F.broadcast(part), "key")
-            hits = hits.join(F.broadcast(catalog), "pos")
-        else:
-            slim = lookup_join(keyed.select("query_id", key), part, ["key"], "inner", ["query_id"], strategy)
-            hits = lookup_join(slim, catalog, ["pos"], "inner", ["query_id"], strategy)
-            hits = hits.join(keyed, "query_id")
-        scored = _score_hits(hits)
-        found = scored if found is None else found.unionByName(scored)
-    return found
+    scored_texts = catalog.where(F.size("faq_keys") > 0)
+    worded = word_anchors(scored_texts, "faq_text", "pos").select(F.col("piece").alias("key"), F.lit(ANCHOR).alias("kind"), "pos", "short")
+    single = _anchored(scored_texts.where(is_single("faq_text")))
+    index = faq_index(catalog, anchors=False).unionByName(worded.drop("short")).unionByName(single)
+    keyed = keyed.withColumns({
+        "some_short": any_of(worded, "short"),
+        "some_single": any_of(single, F.col("kind") == ANCHOR), "short_single": any_of(single, F.col("kind") == SHORT),
+        "most_keys": catalog.agg(F.coalesce(F.max(F.size("faq_keys")), F.lit(0)).alias("most")).scalar(),
+    })
+    none = F.array().cast("array<bigint>")
+    cut = lambda flag, least, most: F.when(F.col(flag), text_pieces("query_text", least, most, f"xxhash64('{ANCHOR}', {{}})")).otherwise(none)
+    # a query that needs more shared keywords than any FAQ has reaches nothing by keywords alone
+    probes = F.concat(query_probes(F.col("needed") <= F.col("most_keys")), word_probes("query_words", "some_short"), cut("some_single", GRAM, GRAM), cut("short_single", 1, GRAM - 1))
+    if strategy == BROADCAST:
+        hits = exploded(keyed, probes, "key").join(F.broadcast(index), "key")
+        hits = hits.join(F.broadcast(catalog), "pos")
+    else:
+        slim = exploded(keyed, probes, "key").select("query_id", "key")
+        slim = lookup_join(slim, index, ["key"], "inner", ["query_id"], strategy)
+        hits = lookup_join(slim, catalog, ["pos"], "inner", ["query_id"], strategy)
+        hits = hits.join(keyed, "query_id")
+    return _score_hits(hits)
 
 
 def best_of(candidates: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def with_probes(rows: DataFrame, bits: Column, any_short: Column) -> DataFrame:
     anchors = text_pieces("topic_text", GRAM, GRAM, piece)
     asked = F.when(F.col("query_text") == F.col("topic_text"), none).otherwise(text_pieces("query_text", GRAM, GRAM, piece))
     short = F.when(F.col("any_short"), F.concat(text_pieces("topic_text", 1, GRAM - 1, piece), text_pieces("query_text", 1, GRAM - 1, piece))).otherwise(none)
-    scored = F.transform(query_probes(pieces=False), lambda k: at(k))
+    scored = F.transform(query_probes(), lambda k: at(k))
     search = F.concat(F.array(at(by_token)), topics, listed, anchors, asked, short, scored)
     probes = F.concat(F.when(open_, named).otherwise(none), F.when(searched, search).otherwise(none))
     kept = [c for c in rows.columns if c != "bits"]

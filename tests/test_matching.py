@@ -189,3 +189,18 @@ def test_texts_are_cut_by_word_if_all_phrases_have_several(spark):
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan  # that cuts words
     assert held.count() == 1
+
+
+def test_queries_are_read_once_and_hold_faqs_of_one_word_and_of_several(spark):
+    long_query = " ".join(f"w{i}" for i in range(60)) + " xquokkay red  panda den"
+    queries = spark.createDataFrame([(1, long_query), (2, "xquokkay"), (3, "red pandas")], "query_id long, query string")
+    faqs = spark.createDataFrame(
+        [(1, "quokka", "a", "c", ""), (2, "red  panda", "a", "c", ""), (3, "ok", "a", "c", "")],
+        "pos long, question string, answer string, category string, scheme string")
+    boosters = spark.createDataFrame([("panda",)], "word string")
+    for strategy in ("broadcast", "shuffle"):
+        best = faq.best_faq(queries, faqs, boosters, strategy)
+        found = {r["query_id"]: (r["faq_pos"], round(r["score"], 3)) for r in best.collect()}
+        assert found == {1: (2, round(2 / 64 + 0.7, 3)), 2: (1, 0.4), 3: (2, 0.5)}
+    plan = faq.best_faq(queries, faqs, boosters, "broadcast")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [query_id#") == 1
