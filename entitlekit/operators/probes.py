@@ -118,7 +118,7 @@ def with_probes(rows: DataFrame, bits: Column, any_short: Column) -> DataFrame:
 
 
 def probe(rows: DataFrame, index: DataFrame, texts: DataFrame, strategy: str) -> DataFrame:
-    """Each row with each catalog row that its keys hit (``kind`` null: none), not yet verified.
+    """Each row once by itself (``kind`` null) and with each catalog row that its keys hit, not yet verified.
 
     A broadcast index meets the rows in place. Otherwise only (query_id, key) is shuffled, and texts are
     joined back to their hits.
@@ -128,18 +128,25 @@ def probe(rows: DataFrame, index: DataFrame, texts: DataFrame, strategy: str) ->
     keyed = with_probes(rows, bits, any_short)
     index = index.drop("short")
     texts = texts.select(F.col("pos").alias("ref"), F.lit(FAQ).alias("kind"), "faq_text", "faq_keys", "faq_boosters")
+    own = F.array(F.lit(None).cast("struct<key:bigint,at:int>"))
+    keyed = keyed.withColumn("probes", F.concat(own, "probes"))
     if strategy == BROADCAST:
         slim = keyed.withColumn("probe", F.explode_outer("probes")).drop("probes")
         slim = slim.withColumns({"key": F.col("probe.key"), "at": F.col("probe.at")}).drop("probe")
         return slim.join(F.broadcast(index), "key", "left").join(F.broadcast(texts), ["kind", "ref"], "left")
-    slim = keyed.select("query_id", F.explode("probes").alias("probe")).select("query_id", "probe.*")
-    hits = lookup_join(slim, index, ["key"], "inner", ["query_id"], strategy)
+    slim = keyed.select("query_id", F.explode_outer("probes").alias("probe")).select("query_id", "probe.*")
+    hits = lookup_join(slim, index, ["key"], "left", ["query_id"], strategy)
+    hits = hits.where(F.col("key").isNull() | F.col("kind").isNotNull())
     hits = lookup_join(hits, texts, ["kind", "ref"], "left", ["query_id"], strategy)
-    return keyed.drop("probes").join(hits, "query_id", "left")
+    return keyed.drop("probes").join(hits, "query_id")
 
 
 def fold(hits: DataFrame, *keep: str) -> DataFrame:
-    """One row for each question (``keep``): the earliest verified hit of each kind, and the best FAQ."""
+    """One row for each question (``keep``): the earliest verified hit of each kind, and the best FAQ.
+
+    What is not verified goes before the rows are grouped, as texts among the kept values make Spark sort
+    them; the row that each question has by itself stays.
+    """
     kind, text, topic_text = F.col("kind"), F.col("text"), F.col("topic_text")
     held = F.size(F.filter("parts", lambda w: topic_text.contains(w)))
     word = F.get("topic_words", F.col("at"))
@@ -155,10 +162,12 @@ def fold(hits: DataFrame, *keep: str) -> DataFrame:
     result = F.when(kind == FAQ, hit_result(F.col("label")))
     checked = hits.select(*keep, "kind", "ref", "at", "label", "has_faqs", proved.alias("proved"), result.alias("result"))
 
+    reached = F.col("result.exact") | (F.col("result.score") >= FAQ_THRESHOLD)
+    checked = checked.where(F.col("kind").isNull() | F.coalesce("proved", F.lit(False)) | F.coalesce(reached, F.lit(False)))
+
     def least(kinds: list[str], value: Column) -> Column:
         return F.min(F.when(F.col("proved") & kind.isin(kinds), value))
 
-    reached = F.col("result.exact") | (F.col("result.score") >= FAQ_THRESHOLD)
     return checked.groupBy(*keep).agg(
         least([EXACT], F.col("ref")).alias("exact_pos"),
         least([NAME], F.col("ref")).alias("name_pos"),

@@ -88,3 +88,13 @@ def test_card_layout(spark, catalog):
 def test_card_heading_keeps_a_sharp_s_one_letter(spark):
     schemes = spark.createDataFrame([{**make_scheme(1), "name": "Große Hilfe", "description": "Große Hilfe"}], SCHEME)
     assert r.scheme_cards(schemes).first()["card"].startswith("GROẞE HILFE Große Hilfe")
+
+
+def test_unverified_hits_go_before_rows_are_grouped(spark, catalog):
+    schemes, faqs, keywords = catalog
+    queries = spark.createDataFrame([(1, "xyzzy"), (2, "ayushman hospital")], "query_id long, query string")
+    for strategy in ("broadcast", "shuffle"):
+        routes = r.route_queries(queries, schemes, faqs, keywords, strategy=strategy)
+        plan = routes._jdf.queryExecution().optimizedPlan().toString()
+        assert any("isnull(kind#" in line and " Filter " in line for line in plan.splitlines())
+        assert {x["query_id"]: x["stage"] for x in routes.collect()} == {1: "R13", 2: "R9"}
