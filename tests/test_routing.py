@@ -95,6 +95,6 @@ def test_unverified_hits_go_before_rows_are_grouped(spark, catalog):
     queries = spark.createDataFrame([(1, "xyzzy"), (2, "ayushman hospital")], "query_id long, query string")
     for strategy in ("broadcast", "shuffle"):
         routes = r.route_queries(queries, schemes, faqs, keywords, strategy=strategy)
-        plan = routes._jdf.queryExecution().optimizedPlan().toString()
-        assert any("isnull(kind#" in line and " Filter " in line for line in plan.splitlines())
+        plan = routes._jdf.queryExecution().analyzed().toString()
+        assert any("Filter " in line and "coalesce(proved#" in line for line in plan.splitlines())
         assert {x["query_id"]: x["stage"] for x in routes.collect()} == {1: "R13", 2: "R9"}
