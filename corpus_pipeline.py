@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitlekit.llm import decontamination, minhash, packing, secrets, toxicity
-from entitlekit.llm.common import read, work_folder
+from entitlekit.llm.common import read, small_batches, work_folder
 
 #: No SQL: the classifier of the first stage is fitted.
 ORACLE_SQL = None
@@ -36,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others. A null or empty text scores what a text without known words does. A score of exactly 0.5
     goes. Columns of any name are kept as they are, and an empty table gives an empty table.
     """
+    small_batches(spark)
     labels = read(spark, sf_dir, "labels").where(~toxicity.held_out())
     model = toxicity.train(read(spark, sf_dir, "documents"), labels)
     score = _free(docs, "toxic_score")
@@ -53,6 +54,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The rows are stored with their numbers. If at most ``MOST_SENT`` rows go, their numbers are sent to
     all tasks and no text is moved; otherwise rows are joined by their number, which is no row's but its own.
     """
+    small_batches(spark)
     folder, key = f"{work_folder(spark)}/rows-{uuid.uuid4().hex}", _free(docs, "row_key")
     docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(f"{folder}/all")
     rows = spark.read.parquet(f"{folder}/all")
@@ -85,6 +87,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows without an id and repeated rows are masked like others. A null or empty text stays as it is.
     Columns of other names are kept as they are, and an empty table gives an empty table.
     """
+    small_batches(spark)
     return secrets.mask_secrets(docs)
 
 
@@ -94,6 +97,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece of the closing id alone. Rows that repeat, or have no id, are packed
     each. Other columns are left out, and an empty table gives no pieces.
     """
+    small_batches(spark)
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitlekit.llm.common import find_words, keyed, merge_spans, name_words, ranges, slices, text_buffer
+from entitlekit.llm.common import find_words, keyed, merge_spans, name_words, ranges, slices, small_batches, text_buffer
 
 WINDOW, SLOP, NEAR_TERMS = 13, 10, 3
 BLOCK_BYTES = 2 << 20
@@ -156,7 +156,7 @@ def _phrases(terms, rows, block: Block, plan: Plan):
 
 def match(batches: Iterator[pa.RecordBatch], block: Block, plan: Plan) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in (part for batch in batches for part in slices(batch, "text", 16 << 20)):
+    for batch in (part for batch in batches for part in slices(batch, "text")):
         names, rows = words_of(batch)
         found = list(_phrases(block.number(names), rows, block, plan)) if len(plan.pivots) else []
         hits = [[] for _ in range(batch.num_rows)]
@@ -205,6 +205,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 def _plans(texts: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Block, Plan]]:
     """The blocks of the benchmark, each with the plan that the frequencies of its terms in ``texts`` ask for."""
+    small_batches(texts.sparkSession)
     for part in blocks_of(benchmark, block_bytes):
         block = block_of(part.collect())  # of a checked size
         counts = np.zeros(len(block.terms), np.int64)
@@ -258,7 +259,7 @@ def contamination(found: DataFrame) -> DataFrame:
 
 def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, plan: Plan) -> Iterator[pa.RecordBatch]:
     """The rows whose texts one block of the benchmark doesn't contaminate, with all their columns."""
-    for part in (part for batch in batches for part in slices(batch, "text", 16 << 20)):
+    for part in (part for batch in batches for part in slices(batch, "text")):
         ids = pa.nulls(part.num_rows, pa.int64())  # not asked for here
         texts = pa.RecordBatch.from_arrays([ids, ids, part.column(part.schema.get_field_index("text"))], names=["doc_id", "tag", "text"])
         keep = []
