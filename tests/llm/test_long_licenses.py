@@ -45,3 +45,15 @@ def test_a_text_of_a_million_words(spark):
     got = {r["doc_id"]: r["licenses"] for r in licenses.licenses_of(docs, licenses.templates_table(spark)).collect()}
     assert got == {1: "", 2: "mit"}
     assert time.monotonic() - started < 60
+
+
+def test_only_texts_that_hold_a_licence_are_cut(spark, tmp_path):
+    mit, notice = licenses.TEMPLATES["mit"], licenses.TEMPLATES["mit-notice"]
+    rows = [(k, _prose(k, 20)) for k in range(40)] + [(50, "x. " + notice + " y"), (51, _prose(51, 9) + "\n" + mit), (52, mit[: len(mit) // 2]), (53, None), (None, notice)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    scanned = licenses.licenses_of(docs, licenses.templates_table(spark))
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2  # the texts are read once, the ids once more
+    assert not any("Filter" in line and "xxhash64" in line for line in plan.split("\n"))  # no bigrams made twice to filter by them
+    assert {r["doc_id"]: r["licenses"] for r in scanned.collect() if r["licenses"]} == {50: "mit-notice", 51: "mit", None: "mit-notice"}
